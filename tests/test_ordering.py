@@ -88,7 +88,8 @@ def test_ranks(data):
 @pytest.mark.parametrize("min_cell", [1, 7])
 def test_leave_self_out_matches_definition(data, limit, min_cell):
     df, recs = data
-    bench = al.leave_self_out(df, min_cell, ["g"], "t", "v", "k", od.hot_keys(df, ["g"], limit))
+    cells = al.cell_table(df, min_cell, ["g"], "v")
+    bench = al.leave_self_out(df, cells, ["g"], "t", "v", "k", limit).join(cells.select("g", "cell_no"), "cell_no")
     got = {(r["g"], r["t"]): r for r in rows(bench)}
     groups = defaultdict(list)
     for r in recs:
@@ -105,8 +106,9 @@ def test_leave_self_out_matches_definition(data, limit, min_cell):
 
 def test_leave_self_out_ignores_partitioning(data):
     df, _ = data
-    a = rows(al.leave_self_out(df.repartition(1), 3, ["g"], "t", "v", "k"), "g", "t")
-    b = rows(al.leave_self_out(df.repartition(13), 3, ["g"], "t", "v", "k"), "g", "t")
+    cells = al.cell_table(df, 3, ["g"], "v")
+    a = rows(al.leave_self_out(df.repartition(1), cells, ["g"], "t", "v", "k"), "cell_no", "t")
+    b = rows(al.leave_self_out(df.repartition(13), cells, ["g"], "t", "v", "k"), "cell_no", "t")
     assert a == b
 
 

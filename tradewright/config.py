@@ -8,8 +8,9 @@ DAY_MS = 86_400_000
 HOUR_MS = 3_600_000
 
 SCOPE = ["snapshot_date", "exchange"]
-TRADER = [*SCOPE, "trader_id"]
-CELL = [*SCOPE, "symbol", "month", "side"]
+# The most selective key first: sorts then settle most comparisons on the first column.
+TRADER = ["trader_id", *SCOPE]
+CELL = ["symbol", "month", "side", *SCOPE]
 
 # The flag vocabulary, in the order in which flags are listed.
 DISQUALIFYING = [

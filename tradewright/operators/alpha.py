@@ -7,13 +7,12 @@ sorted cell the k-th row not owned by t stands at rank k + (t's own rows with at
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.config import CELL
-from tradewright.operators.ordering import (
-    exclusive_prefix, group_quantiles, hot_keys, lookup_ranks, median, split_hot, value_grid,
-)
+from tradewright.operators.ordering import exclusive_prefix, group_quantiles, lookup_ranks, median, value_grid
+from tradewright.session import cut, hot_rows
 
 
 def cell_benchmark(rows: DataFrame, min_cell: int, cell: list[str] = CELL, value: str = "pr") -> DataFrame:
@@ -23,99 +22,110 @@ def cell_benchmark(rows: DataFrame, min_cell: int, cell: list[str] = CELL, value
     return sizes.join(group_quantiles(usable, cell, {"bench": median(value)}), cell)
 
 
-def leave_self_out(rows: DataFrame, min_cell: int, cell: list[str] = CELL, trader: str = "trader_id",
-                   value: str = "pr", key: str = "position_key", hot: DataFrame | None = None) -> DataFrame:
+def cell_table(rows: DataFrame, min_cell: int, cell: list[str] = CELL, value: str = "pr") -> DataFrame:
+    """Stage table of the qualifying cells with their size and a compact number for sorting and joining."""
+    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_cell"))
+    return cut(sizes.filter(F.col("n_cell") >= min_cell).withColumn("cell_no", F.monotonically_increasing_id()))
+
+
+def leave_self_out(rows: DataFrame, cells: DataFrame, cell: list[str] = CELL, trader: str = "trader_id",
+                   value: str = "pr", key: str = "position_key", limit: int | None = None) -> DataFrame:
     """One row per (cell, trader) of the qualifying cells: n_cell, n_own, bench, lso (NULL when alone)."""
+    limit = hot_rows(rows) if limit is None else limit
     usable = rows.filter(F.col(value).isNotNull()).select(*cell, trader, value, key)
-    if hot is None:
-        hot = hot_keys(usable, cell)
-    cold, big = split_hot(usable, cell, hot)
-    return _by_window(cold, min_cell, cell, trader, value, key).unionByName(
-        _by_value(big, min_cell, cell, trader, value))
+    hot = cells.filter(F.col("n_cell") > limit)
+    out = _by_window(_numbered(usable, cells.filter(F.col("n_cell") <= limit), cell), trader, value, key)
+    if not hot.isEmpty():
+        out = out.unionByName(_by_value(_numbered(usable, hot, cell), trader, value))
+    return out
+
 
+def _numbered(rows: DataFrame, cells: DataFrame, cell: list[str]) -> DataFrame:
+    return rows.join(cells, cell).drop(*cell)
 
-def _targets(ranked: DataFrame, cell: list[str], trader: str, weight: F.Column) -> DataFrame:
+
+def _targets(ranked: DataFrame, trader: str, weight: Column) -> DataFrame:
     """Ranks of the two middle rows among the others; `_others` counts them before each own row."""
     k1 = F.floor((F.col("n_cell") - F.col("n_own") - 1) / 2)
     k2 = F.floor((F.col("n_cell") - F.col("n_own")) / 2)
-    return ranked.groupBy(*cell, trader, "n_cell", "n_own").agg(
-        F.sum(F.when(F.col("_others") <= k1, weight).otherwise(F.lit(0))).alias("_own1"),
-        F.sum(F.when(F.col("_others") <= k2, weight).otherwise(F.lit(0))).alias("_own2"),
-    ).withColumn("_g1", k1 + F.col("_own1")).withColumn("_g2", k2 + F.col("_own2")).drop("_own1", "_own2")
+    return ranked.groupBy("cell_no", trader, "n_cell", "n_own").agg(
+        (k1 + F.sum(F.when(F.col("_others") <= k1, weight).otherwise(F.lit(0)))).cast("long").alias("_g1"),
+        (k2 + F.sum(F.when(F.col("_others") <= k2, weight).otherwise(F.lit(0)))).cast("long").alias("_g2"))
 
 
-def _by_window(rows: DataFrame, min_cell: int, cell: list[str], trader: str, value: str, key: str) -> DataFrame:
-    in_cell, in_own = Window.partitionBy(*cell), Window.partitionBy(*cell, trader)
-    ranked = (
-        rows.withColumn("n_cell", F.count(F.lit(1)).over(in_cell)).filter(F.col("n_cell") >= min_cell)
-        .withColumn("_g", F.row_number().over(in_cell.orderBy(value, key)) - 1)
-        .withColumn("_others", F.col("_g") - (F.row_number().over(in_own.orderBy(value, key)) - 1))
-        .withColumn("n_own", F.count(F.lit(1)).over(in_own))
-        .withColumn("_top_own", F.max("n_own").over(in_cell))
+def _centre(rank: Column) -> Column:
+    """Is this 0-based rank one of the two middle ranks of the whole cell?"""
+    return (rank == F.floor((F.col("n_cell") - 1) / 2)) | (rank == F.floor(F.col("n_cell") / 2))
+
+
+def _by_window(rows: DataFrame, trader: str, value: str, key: str) -> DataFrame:
+    """Ordinary cells: rank inside the cell's task, then keep only the few middle ranks that are asked for."""
+    in_cell, in_own = Window.partitionBy("cell_no"), Window.partitionBy("cell_no", trader)
+    ranked = rows.select("cell_no", "n_cell", trader, value,
+                         (F.row_number().over(in_cell.orderBy(value, key)) - 1).cast("long").alias("_g"))
+    placed = (
+        ranked.select("*", (F.col("_g") - F.row_number().over(in_own.orderBy("_g")) + 1).alias("_others"))
+        .select("*", F.count(F.lit(1)).over(in_own).alias("n_own"))
     )
-    targets = _targets(ranked, cell, trader, F.lit(1))
-    # Only ranks within half the largest own count of the middle can be asked for.
-    middle = ranked.filter(
-        (F.col("_g") >= F.floor((F.col("n_cell") - F.col("_top_own") - 1) / 2))
-        & (F.col("_g") <= F.floor((F.col("n_cell") + F.col("_top_own")) / 2) + 1))
-    values = middle.select(*cell, F.col("_g").cast("long").alias("_rank"), F.col(value).alias("_v"))
-    centre = (F.col("_g") == F.floor((F.col("n_cell") - 1) / 2)) | (F.col("_g") == F.floor(F.col("n_cell") / 2))
-    bench = middle.filter(centre).groupBy(*cell).agg(F.avg(value).alias("bench"))
-    asks = targets.filter(F.col("n_cell") > F.col("n_own")).select(
-        *cell, trader, F.explode(F.array(F.col("_g1").cast("long"), F.col("_g2").cast("long"))).alias("_rank"))
-    lso = asks.join(values, [*cell, "_rank"]).groupBy(*cell, trader).agg(F.avg("_v").alias("lso"))
-    return _assemble(targets, lso, bench, cell, trader)
-
-
-def _by_value(rows: DataFrame, min_cell: int, cell: list[str], trader: str, value: str) -> DataFrame:
-    n_cell = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_cell")).filter(F.col("n_cell") >= min_cell)
+    targets = cut(_targets(placed, trader, F.lit(1)))
+    band = targets.groupBy("cell_no").agg(F.min("_g1").alias("_from"), F.max("_g2").alias("_to"))
+    values = ranked.join(band, "cell_no").filter(
+        F.col("_g").between(F.col("_from"), F.col("_to")) | _centre(F.col("_g")))
+    return _assemble(targets, cut(values.select("cell_no", "n_cell", F.col("_g").alias("_rank"),
+                                                F.col(value).alias("_v"))), trader)
+
+
+def _by_value(rows: DataFrame, trader: str, value: str) -> DataFrame:
+    """Hot cells: equal values are counted first and the ordering is cut into chunks."""
     own = (
-        rows.groupBy(*cell, trader, value).agg(F.count(F.lit(1)).alias("_own_c"))
+        rows.groupBy("cell_no", "n_cell", trader, value).agg(F.count(F.lit(1)).alias("_own_c"))
         .withColumn("_chunk", value_grid(F.col(value)))
     )
-    pooled = exclusive_prefix(
-        own.groupBy(*cell, "_chunk", value).agg(F.sum("_own_c").alias("c")), cell, "_chunk", [value], "c", "lo")
-    n_own = own.groupBy(*cell, trader).agg(F.sum("_own_c").alias("n_own")).join(F.broadcast(n_cell), cell)
+    pooled = cut(exclusive_prefix(
+        own.groupBy("cell_no", "_chunk", value).agg(F.sum("_own_c").alias("c")),
+        ["cell_no"], "_chunk", [value], "c", "lo"))
+    n_own = own.groupBy("cell_no", trader).agg(F.sum("_own_c").alias("n_own"))
     ranked = (
-        exclusive_prefix(own, [*cell, trader], "_chunk", [value], "_own_c", "_own_lo")
-        .join(pooled.select(*cell, value, "lo"), [*cell, value])
+        exclusive_prefix(own, ["cell_no", trader], "_chunk", [value], "_own_c", "_own_lo")
+        .join(pooled.select("cell_no", value, "lo"), ["cell_no", value])
         .withColumn("_others", F.col("lo") - F.col("_own_lo"))
-        .join(n_own, [*cell, trader])
+        .join(n_own, ["cell_no", trader])
     )
-    targets = _targets(ranked, cell, trader, F.col("_own_c"))
-    asks = targets.filter(F.col("n_cell") > F.col("n_own")).select(
-        *cell, trader, F.explode(F.array(F.col("_g1").cast("long"), F.col("_g2").cast("long"))).alias("_rank"))
-    found = lookup_ranks(pooled, cell, value, asks, "_rank")
-    lso = asks.join(found, [*cell, "_rank"]).groupBy(*cell, trader).agg(F.avg(value).alias("lso"))
-    middle = n_cell.select(*cell, F.explode(F.array(
-        F.floor((F.col("n_cell") - 1) / 2), F.floor(F.col("n_cell") / 2))).alias("_rank"))
-    bench = middle.join(lookup_ranks(pooled, cell, value, middle, "_rank"), [*cell, "_rank"]).groupBy(*cell).agg(
-        F.avg(value).alias("bench"))
-    return _assemble(targets, lso, bench, cell, trader)
-
-
-def _assemble(targets: DataFrame, lso: DataFrame, bench: DataFrame, cell: list[str], trader: str) -> DataFrame:
+    targets = cut(_targets(ranked, trader, F.col("_own_c")))
+    ranks = targets.select("cell_no", "n_cell", F.explode(F.array(
+        "_g1", "_g2", F.floor((F.col("n_cell") - 1) / 2), F.floor(F.col("n_cell") / 2))).alias("_rank")).distinct()
+    found = lookup_ranks(pooled, ["cell_no"], value, ranks, "_rank").withColumnRenamed(value, "_v")
+    return _assemble(targets, cut(ranks.join(found, ["cell_no", "_rank"])), trader)
+
+
+def _assemble(targets: DataFrame, values: DataFrame, trader: str) -> DataFrame:
+    """`values` holds only the middle ranks, so it is usually small enough for a broadcast; Catalyst decides."""
+    first = values.select("cell_no", F.col("_rank").alias("_g1"), F.col("_v").alias("_v1"))
+    second = values.select("cell_no", F.col("_rank").alias("_g2"), F.col("_v").alias("_v2"))
+    bench = values.filter(_centre(F.col("_rank"))).groupBy("cell_no").agg(F.avg("_v").alias("bench"))
+    alone = F.col("n_cell") == F.col("n_own")
     return (
-        targets.join(lso, [*cell, trader], "left").join(bench, cell)
-        .select(*cell, trader, F.col("n_cell").cast("long").alias("n_cell"),
-                F.col("n_own").cast("long").alias("n_own"), "bench", "lso")
+        targets.join(first, ["cell_no", "_g1"], "left").join(second, ["cell_no", "_g2"], "left").join(bench, "cell_no")
+        .select("cell_no", trader, "n_cell", F.col("n_own").cast("long").alias("n_own"), "bench",
+                F.when(~alone, (F.col("_v1") + F.col("_v2")) / 2).alias("lso"))
     )
 
 
-def with_alpha(rows: DataFrame, benchmark: DataFrame, cell: list[str] = CELL, trader: str = "trader_id",
-               value: str = "pr") -> DataFrame:
+def with_alpha(rows: DataFrame, cells: DataFrame, benchmark: DataFrame, cell: list[str] = CELL,
+               trader: str = "trader_id", value: str = "pr") -> DataFrame:
     """Adds alpha (leave-self-out) and alpha_incl (against the whole cell); NULL outside qualifying cells."""
     return (
-        rows.join(benchmark, [*cell, trader], "left")
+        rows.join(cells.select(*cell, "cell_no"), cell, "left")
+        .join(benchmark, ["cell_no", trader], "left")
         .withColumn("alpha", F.col(value) - F.col("lso"))
         .withColumn("alpha_incl", F.col(value) - F.col("bench"))
-        .drop("lso", "bench")
+        .drop("lso", "bench", "cell_no")
     )
 
 
-def self_dominance(benchmark: DataFrame, trader_keys: list[str]) -> DataFrame:
+def self_dominance(cells: DataFrame, benchmark: DataFrame, scope: list[str], trader: str = "trader_id") -> DataFrame:
     """Per trader: rows lost because the trader is alone in the cell, and the largest share of any cell."""
-    return benchmark.groupBy(*trader_keys).agg(
+    return benchmark.join(cells.select("cell_no", *scope), "cell_no").groupBy(*scope, trader).agg(
         F.sum(F.when(F.col("n_cell") == F.col("n_own"), F.col("n_own")).otherwise(F.lit(0)))
         .alias("n_alpha_dropped_self_dominated"),
         F.max(F.col("n_own") / F.col("n_cell")).alias("max_cell_share"))

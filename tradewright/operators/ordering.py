@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.config import DAY_MS
-from tradewright.session import hot_rows
+from tradewright.session import cut, hot_rows
 
 Grid = Callable[[Column], Column]
 
@@ -40,37 +40,29 @@ def time_grid(v: Column) -> Column:
     return F.floor(v / DAY_MS).cast("int")
 
 
-def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame:
-    """The groups with more than `limit` rows: at most rows / limit of them."""
-    limit = hot_rows(df) if limit is None else limit
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > limit).select(*keys)
-
+AUTO = object()  # "find the hot groups of the input yourself"
 
-def _match(keys: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
 
+def hot_keys(df: DataFrame, keys: list[str], limit: int | None = None) -> DataFrame | None:
+    """The groups with more than `limit` rows, as a stage table; None when there are none, as is usual.
 
-def _renamed(hot: DataFrame, keys: list[str]) -> DataFrame:
-    return hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys])
+    One column-pruned count decides the plan: without hot groups the ordinary operator is used alone.
+    """
+    limit = hot_rows(df) if limit is None else limit
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = sizes.filter(F.col("_rows") > limit).select(*keys)
+    return None if hot.isEmpty() else cut(hot)
 
 
-def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    listed = F.broadcast(_renamed(hot, keys))
-    return df.join(listed, _match(keys), "left_anti"), df.join(listed, _match(keys), "left_semi")
+def _resolve(hot, df: DataFrame, keys: list[str]) -> DataFrame | None:
+    return hot_keys(df, keys) if hot is AUTO else hot
 
 
-def with_chunk(df: DataFrame, keys: list[str], grid: Column, hot: DataFrame | None, out: str = "_chunk") -> DataFrame:
-    """Chunk number along the ordering for rows of hot groups, one single chunk for all others."""
-    if not keys:
-        return df.withColumn(out, grid)
-    if hot is None:
-        hot = hot_keys(df, keys)
-    listed = F.broadcast(_renamed(hot, keys).withColumn("_is_hot", F.lit(True)))
-    return (
-        df.join(listed, _match(keys), "left")
-        .withColumn(out, F.when(F.col("_is_hot"), grid).otherwise(F.lit(0)))
-        .drop("_is_hot", *[f"_hot_{k}" for k in keys])
-    )
+def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(ordinary rows, hot rows); NULL keys compare equal."""
+    listed = F.broadcast(hot.select(*[F.col(k).alias(f"_hot_{k}") for k in keys]))
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys])
+    return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
 
 
 def exclusive_prefix(df: DataFrame, keys: list[str], chunk: str, order: list, weight: str | Column, out: str) -> DataFrame:
@@ -103,18 +95,28 @@ def running_max(df: DataFrame, keys: list[str], chunk: str, order: list, value:
     )
 
 
-def position_in_group(df: DataFrame, keys: list[str], order: list, time_col: str, hot: DataFrame | None = None) -> DataFrame:
-    """Adds `pos` (0-based position by `order`) and `cnt` (rows of the group). `order` starts with `time_col`."""
+def position_in_group(df: DataFrame, keys: list[str], order: list, time_col: str, hot=AUTO,
+                      counted: Column | None = None) -> DataFrame:
+    """Adds `pos` (0-based position by `order`) and `cnt` (rows of the group, or non-NULL values of `counted`).
+
+    `order` starts with `time_col`, whose days are the chunks of a hot group.
+    """
+    counted = F.lit(1) if counted is None else counted
+    hot = _resolve(hot, df, keys)
     if hot is None:
-        hot = hot_keys(df, keys)
+        return _window_position(df, keys, order, counted)
     cold, big = split_hot(df, keys, hot)
-    w = Window.partitionBy(*keys)
-    small = cold.withColumn("pos", (F.row_number().over(w.orderBy(*order)) - 1).cast("long")).withColumn(
-        "cnt", F.count(F.lit(1)).over(w))
     chunked = big.withColumn("_chunk", time_grid(F.col(time_col)))
-    counted = exclusive_prefix(chunked, keys, "_chunk", order, F.lit(1), "pos").drop("_chunk")
-    sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("cnt"))
-    return small.unionByName(counted.join(F.broadcast(sizes), keys).withColumn("pos", F.col("pos").cast("long")))
+    placed = exclusive_prefix(chunked, keys, "_chunk", order, F.lit(1), "pos").drop("_chunk")
+    sizes = big.groupBy(*keys).agg(F.count(counted).alias("cnt"))
+    placed = placed.join(F.broadcast(sizes), keys).withColumn("pos", F.col("pos").cast("long"))
+    return _window_position(cold, keys, order, counted).unionByName(placed)
+
+
+def _window_position(df: DataFrame, keys: list[str], order: list, counted: Column) -> DataFrame:
+    w = Window.partitionBy(*keys)
+    return df.select("*", (F.row_number().over(w.orderBy(*order)) - 1).cast("long").alias("pos"),
+                     F.count(counted).over(w).alias("cnt"))
 
 
 def value_ranks(df: DataFrame, keys: list[str], value: str, grid: Grid = value_grid, carry: list | None = None) -> DataFrame:
@@ -207,14 +209,15 @@ def exclusive_quantile(column: str, num: int, den: int) -> Quantile:
     return Quantile(column, "exclusive", num=num, den=den)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], hot: DataFrame | None = None,
+def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], hot=AUTO,
                     grids: dict[str, Grid] | None = None) -> DataFrame:
     """Exact order statistics per group, one row per group. Without keys: of the whole input."""
     grids = grids or {}
     if not keys:
         return _chunked_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted, grids).drop("_all")
+    hot = _resolve(hot, df, keys)
     if hot is None:
-        hot = hot_keys(df, keys)
+        return _collected_quantiles(df, keys, wanted)
     cold, big = split_hot(df, keys, hot)
     return _collected_quantiles(cold, keys, wanted).unionByName(_chunked_quantiles(big, keys, wanted, grids))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tradewright.config import DAY_MS, HOUR_MS
 from tradewright.functions.columns import guarded_price_return, month_of
-from tradewright.session import configure
+from tradewright.session import configure, cut
 
 CURRENT, PREVIOUS, EXCHANGE = "2002-01-01", "2000-01-01", "binance"
 
@@ -19,9 +19,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small file that cannot be split would keep the whole map stage in one task; spread it over the cores.
+
+    With as many splits as cores, as on any large input, this does nothing.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def raw_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Closed positions, one per line item; traders are suppliers and symbols are part types."""
-    line, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    line, part = spread(table(spark, sf_dir, "lineitem")), table(spark, sf_dir, "part")
     ship_ms = "unix_millis(cast(l_shipdate as timestamp))"
     month_end_ms = "unix_millis(cast(last_day(cast(l_shipdate as date)) as timestamp)) + 86399000"
     jitter = ("((l_orderkey * 7919 + l_partkey * 104729 + l_suppkey * 31 + l_linenumber) % 9973 - 4986)"
@@ -122,7 +131,7 @@ def equity_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly OHLC of the event values per event type; hours without events are gaps."""
-    ev = table(spark, sf_dir, "events").select(
+    ev = spread(table(spark, sf_dir, "events")).select(
         F.col("event_type").alias("symbol"), F.col("event_id"), F.col("value"),
         F.expr("unix_millis(cast(ts as timestamp))").alias("ms"))
     order = F.struct("ms", "event_id")
@@ -136,7 +145,7 @@ def candles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def candle_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One trade per event on the symbol of its event type, entered at the event's value."""
     edge = "((event_id * 7919) % 9973 - 4986) / 9973.0D * 0.08D + (user_id % 7 - 3) * 0.002D"
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events")).select(
         F.lit(EXCHANGE).alias("exchange"), F.lit(CURRENT).alias("snapshot_date"),
         F.col("event_id").alias("position_key"), F.col("user_id").cast("string").alias("trader_id"),
         F.concat(F.lit("user"), F.col("user_id")).alias("nick"), F.col("event_type").alias("symbol"),
@@ -152,3 +161,19 @@ def candle_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("cast(1 + event_id % 50 as double)").alias("max_oi"),
         F.expr("(1 + event_id % 50) * if(event_id % 4 = 0, 0.9D, 1.0D)").alias("closed_volume"),
     )
+
+
+_STAGED: dict[tuple, DataFrame] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, build) -> DataFrame:
+    """The stage table of `build(spark, sf_dir)`: written once per application, as the ingest job would."""
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+    if key not in _STAGED:
+        _STAGED[key] = cut(build(spark, sf_dir))
+    return _STAGED[key]
+
+
+def forget_stages() -> None:
+    """Makes the next query write its stage tables again (for timing)."""
+    _STAGED.clear()

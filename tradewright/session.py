@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 # A group with more rows than this is never sorted or collected by one task; see operators/ordering.py.
 HOT_ROWS_KEY = "spark.tradewright.hotGroupRows"
-HOT_ROWS_DEFAULT = 200_000
+HOT_ROWS_DEFAULT = 1_000_000
 
 
 def configure(spark: SparkSession) -> SparkSession:
@@ -23,17 +24,20 @@ def hot_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_KEY, str(HOT_ROWS_DEFAULT)))
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where the cluster names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    current = spark.sparkContext.getCheckpointDir()
-    if current is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="tradewright-"))
-        current = spark.sparkContext.getCheckpointDir()
-    return current
+def stage_dir(spark: SparkSession) -> str:
+    """The shared folder named by the cluster; a local one only where the cluster names none (tests)."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tradewright-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise `df` reliably so that several consumers share one computation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes a stage table to the shared folder and reads it back.
+
+    The consumers share one computation, lost executors only re-read files, and the planner knows the size.
+    """
+    path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
