@@ -47,10 +47,11 @@ def with_features(candles: DataFrame) -> DataFrame:
 
 def dense_grid(candles: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     """One row per step from a symbol's first to last candle; `src` is the last candle at or before the step."""
-    following = F.lead("open_ms").over(Window.partitionBy("symbol").orderBy("open_ms"))
-    until = F.coalesce(following - step_ms, F.col("open_ms"))
-    return candles.select("symbol", F.col("open_ms").alias("src"), F.explode(
-        F.sequence(F.col("open_ms"), F.greatest(F.col("open_ms"), until), F.lit(step_ms))).alias("slot_ms"))
+    w = Window.partitionBy("symbol").orderBy("open_ms")
+    spans = candles.select("symbol", "open_ms", F.lead("open_ms").over(w).alias("_next"))
+    until = F.greatest(F.col("open_ms"), F.coalesce(F.col("_next") - step_ms, F.col("open_ms")))
+    return spans.select("symbol", F.col("open_ms").alias("src"),
+                        F.explode(F.sequence("open_ms", until, F.lit(step_ms).cast("long"))).alias("slot_ms"))
 
 
 def as_of(trades: DataFrame, candles: DataFrame, columns: list[str], at: str = "opened_ms",

@@ -38,12 +38,12 @@ def net_returns(rows: DataFrame, bound: float = 3.0) -> DataFrame:
 def cohorts(df: DataFrame, value: str, parts: int, at_least_one: bool = True, ident: str = "trader_id") -> DataFrame:
     """Best and worst n div parts traders by `value` as cohort 'top' / 'bottom'."""
     r = ordinal_rank(df.withColumn("_neg", -F.col(value)), [], "_neg", ident, "_place")
-    n = r.agg(F.count(F.lit(1)).alias("_n"))
-    size = F.floor(F.col("_n") / parts)
+    n = r.agg(F.count(F.lit(1)).alias("_traders"))
+    size = F.floor(F.col("_traders") / parts)
     size = F.greatest(F.lit(1), size) if at_least_one else size
-    cohort = F.when(F.col("_place") < size, "top").when(F.col("_place") >= F.col("_n") - size, "bottom")
+    cohort = F.when(F.col("_place") < size, "top").when(F.col("_place") >= F.col("_traders") - size, "bottom")
     return r.crossJoin(F.broadcast(n)).withColumn("cohort", cohort).filter(F.col("cohort").isNotNull()).drop(
-        "_neg", "_place", "_n")  # one row
+        "_neg", "_place", "_traders")  # one row
 
 
 # ---- descriptive --------------------------------------------------------------------------------------------
