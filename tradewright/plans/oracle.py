@@ -135,13 +135,13 @@ def detect_ctes() -> str:
         "no_alpha": "coalesce(t_stat, 0) < 2.5",
         "mdd_high": "mdd >= 35",
         "alpha_decay": "alpha_h2 < alpha_h1",
-        "inactive": "last_close < max_close - 30 * 86400000",
-        "went_dark": "last_open < max_open - 21 * 86400000",
+        "inactive": "last_close < max_close - 30::BIGINT * 86400000",
+        "went_dark": "last_open < max_open - 21::BIGINT * 86400000",
         "mass_close_loss": "mass IS NOT NULL",
         "no_listing_data": "NOT listed",
         "copiers_losing": "copier_pnl < 0 AND copier_count_total >= 10 AND (copier_pnl / copier_count_total <= -50"
                           " OR (coalesce(realized, 0) > 0 AND copier_pnl <= -0.5 * realized))",
-        "fresh_start": "epoch_ms(CAST(snapshot_date AS TIMESTAMP)) - start_time < 120 * 86400000",
+        "fresh_start": "epoch_ms(CAST(snapshot_date AS TIMESTAMP)) - start_time < 120::BIGINT * 86400000",
         "regime_onesided": "n_months >= 2 AND n_good / n_months < 0.5",
         "thin_benchmark": "top_share > 0.40",
     }
