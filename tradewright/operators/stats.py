@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewright.operators.ordering import (
     average_rank, exclusive_prefix, group_quantiles, index_quantile, ordinal_rank, value_ranks,
 )
+from tradewright.session import cut
 
 # Fixed values of the portable draw: plain integer arithmetic below 2**62, so any SQL engine repeats it.
 MODULUS = 2_147_483_647
@@ -40,7 +41,7 @@ def ranked(df: DataFrame, columns: list[str], ties: str = "average", keys: list[
 def spearman(df: DataFrame, pairs: dict[str, tuple[str, str]], ties: str = "average") -> DataFrame:
     """One row: n and one rank correlation per named pair."""
     columns = sorted({c for pair in pairs.values() for c in pair})
-    r = ranked(df, columns, ties)
+    r = ranked(cut(df.select("trader_id", *columns)), columns, ties)
     return r.agg(F.count(F.lit(1)).alias("n"),
                  *[correlation(f"rank_{a}", f"rank_{b}").alias(name) for name, (a, b) in pairs.items()])
 
@@ -65,8 +66,8 @@ def _shuffled(df: DataFrame, n_iter: int, seed: int) -> DataFrame:
 
 def permutation_p(df: DataFrame, a: str, b: str, n_iter: int = 10_000, seed: int = 42, ident: str = "trader_id") -> DataFrame:
     """Two-sided permutation p of the rank correlation: (hits + 1) / (n_iter + 1)."""
-    base = numbered(ranked(df.select(ident, a, b), [a, b]), ident).select(
-        "slot", F.col(f"rank_{a}").alias("x"), F.col(f"rank_{b}").alias("y"))
+    base = cut(numbered(ranked(cut(df.select(ident, a, b)), [a, b]), ident).select(
+        "slot", F.col(f"rank_{a}").alias("x"), F.col(f"rank_{b}").alias("y")))
     observed = base.agg(F.count(F.lit(1)).alias("n"), correlation("x", "y").alias("rho"))
     partners = base.select(F.col("slot").alias("place"), F.col("y").alias("py"))
     sims = _shuffled(base.select("slot", "x"), n_iter, seed).join(partners, "place").groupBy("step").agg(
@@ -77,14 +78,14 @@ def permutation_p(df: DataFrame, a: str, b: str, n_iter: int = 10_000, seed: int
 
 def bootstrap_ci(df: DataFrame, a: str, b: str, n_iter: int = 2_000, seed: int = 42, ident: str = "trader_id") -> DataFrame:
     """95% interval of the rank correlation; ranks are recomputed inside every resample."""
-    base = numbered(df.select(ident, a, b), ident)
+    base = cut(numbered(df.select(ident, a, b), ident))
     n = base.agg(F.count(F.lit(1)).alias("n"))
     drawn = (
         _repeated(base.select("slot"), n_iter, seed).join(F.broadcast(n))  # one row
         .select("step", (F.col("draw") % F.col("n")).alias("slot"))
         .groupBy("step", "slot").agg(F.count(F.lit(1)).alias("copies"))
     )
-    sample = drawn.join(base.select("slot", a, b), "slot")
+    sample = cut(drawn.join(base.select("slot", a, b), "slot"))
     for c in (a, b):
         counts = sample.groupBy("step", c).agg(F.sum("copies").alias("c")).withColumn("_chunk", F.lit(0))
         ranks = exclusive_prefix(counts, ["step"], "_chunk", [c], "c", "lo").select(
@@ -104,7 +105,7 @@ def bootstrap_ci(df: DataFrame, a: str, b: str, n_iter: int = 2_000, seed: int =
 def mean_permutation_p(df: DataFrame, value: str, label: str, n_iter: int = 20_000, seed: int = 11,
                        ident: str = "position_key") -> DataFrame:
     """Two-sided permutation p of the difference of means between label true and false."""
-    base = numbered(df.select(ident, value, label), ident)
+    base = cut(numbered(df.select(ident, value, label), ident))
     observed = base.agg(
         F.count(F.when(F.col(label), 1)).alias("n_a"), F.count(F.lit(1)).alias("n"),
         F.avg(F.when(F.col(label), F.col(value))).alias("mean_a"), F.avg(F.when(~F.col(label), F.col(value))).alias("mean_b"))

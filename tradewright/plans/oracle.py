@@ -466,7 +466,7 @@ LIQ = "CASE WHEN leverage <= 10 THEN '<=10x' WHEN leverage <= 25 THEN '11-25x' W
 DOW = "['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(make_timestamp(opened_ms * 1000))]"
 BLOCK = "lpad(CAST(hour(make_timestamp(opened_ms * 1000)) // 6 * 6 AS VARCHAR), 2, '0') || '-' || lpad(CAST(hour(make_timestamp(opened_ms * 1000)) // 6 * 6 + 5 AS VARCHAR), 2, '0') || 'h'"
 LOCAL_HOUR = "hour(make_timestamp((opened_ms - 5 * 3600000) * 1000))"
-ASOF = """asof AS (SELECT t.*, f.open_ms AS candle_ms, f.close, f.high, f.low, f.i, f.r4, f.r24, f.r72, f.ma_incl, f.ma_ctx, f.ma_prior, f.range_pos, f.vol
+ASOF = """ao AS (SELECT t.*, f.open_ms AS candle_ms, f.close, f.high, f.low, f.i, f.r4, f.r24, f.r72, f.ma_incl, f.ma_ctx, f.ma_prior, f.range_pos, f.vol
   FROM trd t ASOF LEFT JOIN feat f ON t.symbol = f.symbol AND t.opened_ms >= f.open_ms)"""
 EXC = """exc AS (SELECT *, CASE WHEN sgn = 1 THEN lo / avg_cost - 1 ELSE 1 - hi / avg_cost END AS mae, CASE WHEN sgn = 1 THEN hi / avg_cost - 1 ELSE 1 - lo / avg_cost END AS mfe,
   abs(CASE WHEN sgn = 1 THEN lo / avg_cost - 1 ELSE 1 - hi / avg_cost END) AS amae FROM (
@@ -480,7 +480,7 @@ SQL["a12_symbol_breakdowns"] = P + " UNION ALL ".join(
     for d, e in (("duration", DUR_WEEK), ("leverage", LEV), ("hour", f"lpad(CAST({LOCAL_HOUR} AS VARCHAR), 2, '0')")))
 SQL["w3_candle_features"] = _with(CAN, FEAT) + "SELECT symbol, open_ms, i, " + ", ".join(
     f"{r(c)} AS {c}" for c in ("close", "r4", "r24", "r72", "ma_incl", "ma_ctx", "ma_prior", "range_pos", "vol")) + " FROM feat"
-SQL["j9_as_of"] = _with(CAN, FEAT, TRD, ASOF) + f"SELECT position_key, candle_ms, {r('close')} AS close FROM asof"
+SQL["j9_as_of"] = _with(CAN, FEAT, TRD, ASOF) + f"SELECT position_key, candle_ms, {r('close')} AS close FROM ao"
 SQL["j10_interval_excursions"] = CE + f"SELECT position_key, {r('mae')} AS mae, {r('mfe')} AS mfe FROM exc"
 SQL["a21_excursion_profile"] = CE + f"""SELECT CASE WHEN net > 0 THEN 'winner' ELSE 'loser' END AS outcome, count(*) AS n, {r(med('amae'))} AS mae_med,
   {r(idx('amae', '75e-2'))} AS mae_p75, {r(idx('amae', '90e-2'))} AS mae_p90, {r(idx('amae', '95e-2'))} AS mae_p95 FROM exc WHERE net <> 0 GROUP BY ALL"""
@@ -491,7 +491,7 @@ SQL["a21_excursion_by_duration"] = CE + f"""SELECT {DUR_SHORT} AS bucket, count(
 SQL["a21_liquidation_risk"] = CE + f"""SELECT {LIQ} AS band, count(*) AS n, {r(share('amae * leverage > 0.8'))} AS consumed_share, {r(med('amae'))} AS mae_med
   FROM exc GROUP BY ALL HAVING count(*) >= 30"""
 REG = ("reg AS (SELECT *, CASE WHEN close > ma_incl THEN 1 ELSE -1 END AS regime, CASE WHEN sgn = (CASE WHEN close > ma_incl THEN 1 ELSE -1 END) THEN 1e0 ELSE 0e0 END AS aligned"
-       " FROM asof WHERE ma_incl IS NOT NULL AND avg_cost > 0 AND avg_close > 0 AND abs(pr) <= 3)")
+       " FROM ao WHERE ma_incl IS NOT NULL AND avg_cost > 0 AND avg_close > 0 AND abs(pr) <= 3)")
 CR = (CAN, FEAT, TRD, ASOF, REG)
 SQL["a18_regime_cells"] = _with(*CR) + f"""SELECT regime, side, count(*) AS n, {r(share('pr > 0') + ' * 100')} AS wr, {r('avg(aligned)')} AS aligned_share, {r(med('pr'))} AS med_pr FROM reg GROUP BY ALL"""
 SQL["e4_regime_adaptation"] = _with(*CR, """hv AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY trader_id ORDER BY opened_ms, position_key) - 1 >= count(*) OVER (PARTITION BY trader_id) // 2
@@ -520,14 +520,14 @@ _rules = {"duration": DUR_WEEK, "leverage": LEV, "side": "side", "regime x side"
           "partial close": "CASE WHEN partial THEN 'partial' ELSE 'full' END", "day of week": DOW, "hour UTC": BLOCK}
 SQL["a19_rules_oos"] = _with(*CR, calendar("reg", "rh"), "lng AS (" + " UNION ALL ".join(
     f"SELECT pr, half, '{k}' AS feature, {e} AS cell FROM rh" for k, e in _rules.items()) + ")")[:-1] + ",\n" + compare_ctes("lng", "pr")
-ENT = """ent0 AS (SELECT *, close / ma_ctx - 1 AS ma FROM asof WHERE i >= 200 AND abs(net) <= 3)"""
+ENT = """ent0 AS (SELECT *, close / ma_ctx - 1 AS ma FROM ao WHERE i >= 200 AND abs(net) <= 3)"""
 _terc = ", ".join(f"{slot(f, i, 3)} AS {f}_{i}" for f in ("r4", "r24", "r72", "ma", "range_pos", "vol") for i in (1, 2))
 SQL["a20_entry_context"] = _with(CAN, FEAT, TRD, ASOF, ENT, calendar("ent0", "ent"), f"edg AS (SELECT {_terc} FROM ent WHERE half = 0)", "lng AS (" + " UNION ALL ".join(
     f"SELECT net, half, '{f}' AS feature, CASE WHEN {f} < {f}_1 THEN 'low' WHEN {f} < {f}_2 THEN 'mid' ELSE 'high' END AS cell FROM ent, edg"
     for f in ("r4", "r24", "r72", "ma", "range_pos", "vol")) + ")")[:-1] + ",\n" + compare_ctes("lng", "net")
 SQL["a20_momentum_side"] = _with(CAN, FEAT, TRD, ASOF, ENT, calendar("ent0", "ent"),
                                  "lng AS (SELECT net, half, 'momentum x side' AS feature, CASE WHEN r24 > 0 THEN 'up' ELSE 'down' END || '+' || side AS cell FROM ent)")[:-1] + ",\n" + compare_ctes("lng", "net")
-RUL = (CAN, FEAT, TRD, ASOF, "kn AS (SELECT * EXCLUDE (r24, r72, high, low), r24 AS m24, r72 AS m72, close / ma_prior - 1 AS ma FROM asof WHERE i >= 200 AND abs(net) <= 3)",
+RUL = (CAN, FEAT, TRD, ASOF, "kn AS (SELECT * EXCLUDE (r24, r72, high, low), r24 AS m24, r72 AS m72, close / ma_prior - 1 AS ma FROM ao WHERE i >= 200 AND abs(net) <= 3)",
        EXC.format(src="kn"), calendar("exc", "rul0"),
        f"qq AS (SELECT {slot('m24', 2, 3)} AS m24_q, {slot('m72', 2, 3)} AS m72_q, {slot('ma', 2, 3)} AS ma_q FROM rul0 WHERE half = 0)",
        "rul AS (SELECT *, CASE WHEN mae <= -0.024 THEN -0.024e0 ELSE net END AS st, m24 > m24_q AND m72 > m72_q AND ma > ma_q AS r1 FROM rul0, qq)")
@@ -537,7 +537,7 @@ SELECT half, rule, count(*) AS n, {r('avg(v)')} AS mean, {r(share('v > 0') + ' *
 SQL["e17_stop_level_grid"] = _with(*RUL) + f"""SELECT half, stop, count(*) AS n, {r('avg(CASE WHEN mae <= -stop THEN -stop ELSE net END)')} AS mean_stopped, {r('avg(net)')} AS mean_free
   FROM rul, (VALUES (1e-2), (2e-2), (24e-3), (5e-2), (1e-1)) s(stop) GROUP BY ALL"""
 SQL["e14_entry_containment"] = _with(CAN, FEAT, TRD, ASOF) + f"""SELECT avg_cost >= low AND avg_cost <= high AS inside, count(*) AS n, {r(share('partial'))} AS partial_share,
-  {r(med('dur_h'))} AS dur_med FROM asof WHERE low IS NOT NULL GROUP BY ALL"""
+  {r(med('dur_h'))} AS dur_med FROM ao WHERE low IS NOT NULL GROUP BY ALL"""
 SQL["e28_relative_thresholds"] = _with(CAN, FEAT, TRD, """ft AS (SELECT symbol, open_ms, i, r24 > quantile_cont(r24, 0.6666666666666666) OVER w AS h24, r72 > quantile_cont(r72, 0.6666666666666666) OVER w AS h72
   FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY open_ms ROWS BETWEEN 720 PRECEDING AND 1 PRECEDING))""",
     "aj AS (SELECT t.*, f.h24, f.h72 FROM trd t ASOF JOIN ft f ON t.symbol = f.symbol AND t.opened_ms >= f.open_ms WHERE f.i >= 200 AND abs(net) <= 3)", calendar("aj", "ah")) + f"""

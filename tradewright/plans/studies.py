@@ -14,6 +14,7 @@ from tradewright.operators.ordering import (
     AUTO, exclusive_quantile, group_quantiles, hot_keys, index_quantile, median, ordinal_rank, position_in_group,
     slot_quantile, time_grid,
 )
+from tradewright.session import cut
 
 
 # ---- splits -------------------------------------------------------------------------------------------------
@@ -26,8 +27,8 @@ def own_halves(rows: DataFrame, order: str = "opened_ms", keys: list[str] | None
 
 def calendar_halves(rows: DataFrame, order: str = "opened_ms") -> DataFrame:
     """half by one cut for everybody: the element n div 2 of all times in order."""
-    cut = group_quantiles(rows, [], {"cut_ms": slot_quantile(order, 1, 2)}, grids={order: time_grid})
-    return rows.crossJoin(F.broadcast(cut)).withColumn("half", (F.col(order) >= F.col("cut_ms")).cast("int"))  # one row
+    edge = group_quantiles(rows, [], {"cut_ms": slot_quantile(order, 1, 2)}, grids={order: time_grid})
+    return rows.crossJoin(F.broadcast(edge)).withColumn("half", (F.col(order) >= F.col("cut_ms")).cast("int"))  # one row
 
 
 def net_returns(rows: DataFrame, bound: float = 3.0) -> DataFrame:
@@ -123,6 +124,7 @@ def pair_select(rows: DataFrame, value: str = "roi", min_traders: int = 20, min_
         F.avg(v).alias("_mean"), F.sum("pnl").alias("_usd"), F.count(F.lit(1)).alias("_n"),
         F.count(F.when(v > 0, 1)).alias("_nw"), F.sum(F.when(v > 0, v)).alias("_w"),
         F.count(F.when(v < 0, 1)).alias("_nl"), F.sum(F.when(v < 0, v)).alias("_l"), F.sum(v).alias("_v"))
+    per = cut(per)
     out = per.groupBy("symbol").agg(
         F.sum("_n").alias("npos"), F.count(F.lit(1)).alias("ntr"), F.sum("_usd").alias("usd"),
         (F.avg((F.col("_mean") > 0).cast("double")) * 100).alias("pct_win"), F.count(F.when(F.col("_mean") > 0, 1)).alias("n_winners"),
@@ -177,7 +179,7 @@ def quartile_rows(rows: DataFrame, min_positions: int = 10) -> DataFrame:
 
 
 def behaviour_quartiles(rows: DataFrame) -> DataFrame:
-    picked = quartile_rows(rows)
+    picked = cut(quartile_rows(rows))
     split = picked.withColumn("_w", F.when(F.col("pr") > 0, F.col("pr"))).withColumn(
         "_l", F.when(F.col("pr") < 0, -F.col("pr")))
     q = group_quantiles(split, ["cohort"], {
@@ -210,7 +212,7 @@ def elite_rows(rows: DataFrame, min_positions: int = 30) -> DataFrame:
 
 
 def elite_out_of_sample(rows: DataFrame, keys: tuple[str, ...] = ("cohort", "symbol")) -> DataFrame:
-    e = elite_rows(rows)
+    e = cut(elite_rows(rows))
     k = list(keys)
     traders = e.groupBy(*k, "trader_id").agg(F.lit(1).alias("_x")).groupBy(*k).agg(F.count(F.lit(1)).alias("n_traders"))
     q = group_quantiles(e, k, {"med_net": median("net"), "dur_med": median("dur_h"), "lev_med": median("leverage")})
@@ -224,7 +226,7 @@ def persistence(rows: DataFrame, split: str = "own", min_half: int = 10, value:
     """Does win rate, payoff or expectancy of the first half predict the second? One row per metric."""
     valid = rows.filter(F.col(value).isNotNull())
     halved = own_halves(valid) if split == "own" else calendar_halves(valid)
-    per = stats.halves_profile(halved, value, min_half)
+    per = cut(stats.halves_profile(halved, value, min_half))
     parts = []
     for name in ("wr", "payoff", "exp"):
         a, b = f"{name}1", f"{name}2"
@@ -267,7 +269,7 @@ def pooled_halves(rows: DataFrame, demean: bool, min_half: int = 30) -> DataFram
 def pooled_persistence(rows: DataFrame, n_perm: int = 10_000, n_boot: int = 2_000) -> DataFrame:
     parts = []
     for name, demean in (("raw", False), ("demeaned", True)):
-        per = pooled_halves(rows, demean)
+        per = cut(pooled_halves(rows, demean))
         parts.append(stats.permutation_p(per, "exp1", "exp2", n_perm).crossJoin(
             stats.bootstrap_ci(per, "exp1", "exp2", n_boot)).withColumn("control", F.lit(name)))  # one row each
     return parts[0].unionByName(parts[1])
@@ -281,7 +283,7 @@ def style_vs_skill(rows: DataFrame, min_positions: int = 20) -> DataFrame:
         F.count(F.lit(1)).alias("n_pos"), F.avg((v > 0).cast("double")).alias("wr"),
         (F.avg(F.when(v > 0, v)) / F.abs(F.avg(F.when(v < 0, v)))).alias("payoff"), F.avg(v).alias("exp"),
     ).filter((F.col("n_pos") >= min_positions) & F.col("payoff").isNotNull())
-    r = stats.ranked(per, ["wr", "payoff", "exp"], "ordinal")
+    r = stats.ranked(cut(per), ["wr", "payoff", "exp"], "ordinal")
     pairs = [("wr", "payoff"), ("wr", "exp"), ("payoff", "exp")]
     return r.agg(F.count(F.lit(1)).alias("n"),
                  *[stats.correlation(a, b).alias(f"pearson_{a}_{b}") for a, b in pairs],
@@ -305,7 +307,7 @@ def with_regime(trades: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 def regime_cells(trades: DataFrame, candles: DataFrame) -> DataFrame:
-    r = with_regime(trades, candles)
+    r = cut(with_regime(trades, candles))
     keys = ["regime", "side"]
     sums = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.avg((F.col("pr") > 0).cast("double")) * 100).alias("wr"),
                                 F.avg("aligned").alias("aligned_share"))
@@ -319,6 +321,7 @@ def regime_adaptation(trades: DataFrame, candles: DataFrame, min_positions: int
         F.count(F.lit(1)).alias("n_pos"), F.avg(F.when(F.col("half") == 0, F.col("aligned"))).alias("a1"),
         F.avg(F.when(F.col("half") == 1, F.col("aligned"))).alias("a2"),
         F.avg(F.when(F.col("half") == 1, F.col("pr"))).alias("r2")).filter(F.col("n_pos") >= min_positions)
+    per = cut(per)
     rho = stats.spearman(per, {"rho_alignment": ("a1", "a2"), "rho_return": ("a1", "r2")}, "ordinal")
     mid = group_quantiles(per, [], {"_mid": median("a1")})
     split = per.crossJoin(F.broadcast(mid))  # one row
@@ -356,7 +359,7 @@ def _compare_periods(df: DataFrame, keys: list[str], cell: str, value: str, floo
 
 def entry_context(trades: DataFrame, candles: DataFrame) -> DataFrame:
     """Tercile cells of every feature; the edges come from the first period only."""
-    df = entry_features(trades, candles)
+    df = cut(entry_features(trades, candles))
     edges = group_quantiles(df.filter(F.col("half") == 0), [], {
         f"{f}_{i}": slot_quantile(f, i, 3) for f in FEATURES for i in (1, 2)})
     cell = lambda f: F.when(F.col(f) < F.col(f"{f}_1"), "low").when(F.col(f) < F.col(f"{f}_2"), "mid").otherwise("high")
@@ -367,7 +370,7 @@ def entry_context(trades: DataFrame, candles: DataFrame) -> DataFrame:
 
 
 def momentum_side(trades: DataFrame, candles: DataFrame) -> DataFrame:
-    df = entry_features(trades, candles).withColumn("feature", F.lit("momentum x side")).withColumn(
+    df = cut(entry_features(trades, candles)).withColumn("feature", F.lit("momentum x side")).withColumn(
         "cell", F.concat(F.when(F.col("r24") > 0, "up").otherwise("down"), F.lit("+"), F.col("side")))
     return _compare_periods(df, ["feature"], "cell", "net")
 
@@ -407,7 +410,7 @@ def liquidation_risk(paths: DataFrame, floor: int = 30) -> DataFrame:
 
 def rules_oos(trades: DataFrame, candles: DataFrame) -> DataFrame:
     """Eight structural features, judged in the first period and checked in the second."""
-    r = calendar_halves(with_regime(trades, candles))
+    r = cut(calendar_halves(with_regime(trades, candles)))
     label = F.when(F.col("regime") == 1, "bull").otherwise("bear")
     partial = fc.partial_close("closed_volume", "max_oi", 0.02)
     features = {
@@ -429,7 +432,7 @@ def rule_rows(trades: DataFrame, candles: DataFrame, levels: int = 17) -> DataFr
                        (F.col("close") / F.col("ma_prior") - 1).alias("ma"))
     joined = as_of(net_returns(trades), candles.join(ctx, ["symbol", "open_ms"], "left"), ["m24", "m72", "ma"])
     known = joined.filter(F.col("m24").isNotNull() & F.col("m72").isNotNull() & F.col("ma").isNotNull())
-    df = calendar_halves(excursions(known, candles, levels).drop("mfe"))
+    df = cut(calendar_halves(excursions(known, candles, levels).drop("mfe")))
     edges = group_quantiles(df.filter(F.col("half") == 0), [], {f"{c}_q": slot_quantile(c, 2, 3) for c in ("m24", "m72", "ma")})
     return df.crossJoin(F.broadcast(edges))  # one row
 
