@@ -671,3 +671,20 @@ SQL["e23_cell_drift"] = _with(POS2, V, f"cb AS (SELECT snapshot_date, symbol, mo
     "o AS (SELECT * FROM cb WHERE snapshot_date = '2000-01-01')", "w AS (SELECT * FROM cb WHERE snapshot_date = '2002-01-01')") + f"""
 SELECT coalesce(o.symbol, w.symbol) AS symbol, coalesce(o.month, w.month) AS month, coalesce(o.side, w.side) AS side, o.n AS n_old, {r('o.b')} AS bench_old, w.n AS n_new, {r('w.b')} AS bench_new,
   o.n IS NOT NULL AND coalesce(w.n, 0) < 0.5 * o.n AS shrank FROM o FULL JOIN w ON o.symbol = w.symbol AND o.month = w.month AND o.side = w.side"""
+
+_SIGNAL = (
+    CAN, FEAT, "hx AS (SELECT f.*, hold, count(*) OVER (PARTITION BY symbol, hold) AS nc FROM feat f, (VALUES (24), (48), (72), (120)) h(hold))",
+    "fr AS (SELECT symbol, hold, i FROM hx WHERE i >= 200 AND i < nc - hold AND r24 > 0.0055 AND r72 > 0.0063 AND close > ma_incl)",
+    """pk AS (SELECT symbol, hold, min(i) AS i FROM fr GROUP BY ALL UNION ALL
+  SELECT p.symbol, p.hold, min(f.i) AS i FROM pk p JOIN fr f ON f.symbol = p.symbol AND f.hold = p.hold AND f.i >= p.i + p.hold GROUP BY p.symbol, p.hold)""",
+    """sg AS (SELECT pk.symbol, pk.hold, pk.i, a.open_ms, b.close / a.close - 1 - 8e-4 AS ret FROM pk JOIN feat a ON a.symbol = pk.symbol AND a.i = pk.i
+  JOIN feat b ON b.symbol = pk.symbol AND b.i = pk.i + pk.hold)""")
+_R = lambda *ctes: _with(*ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+SQL["e9_signal_event_study"] = _R(*_SIGNAL, "cu AS (SELECT *, product(1 + ret) OVER (PARTITION BY symbol, hold ORDER BY i) AS eq FROM sg)",
+    "cv AS (SELECT *, greatest(1, max(eq) OVER (PARTITION BY symbol, hold ORDER BY i)) AS peak FROM cu)") + f"""
+SELECT symbol, hold, count(*) AS n, {r('avg(ret)', 4)} AS mean, {r(share('ret > 0') + ' * 100', 4)} AS wr, {r('product(1 + ret)', 4)} AS equity,
+  {r('max((peak - eq) / peak)', 4)} AS mdd, {r(med('ret'), 4)} AS med FROM cv GROUP BY ALL"""
+SQL["e9_signal_by_year"] = _R(*_SIGNAL, """bh AS (SELECT symbol, year(make_timestamp(open_ms * 1000)) AS year, product(1 + ret) - 1 AS b FROM (
+  SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY open_ms) - 1 AS ret FROM can) GROUP BY ALL)""") + f"""
+SELECT symbol, hold, year, count(*) AS n, {r('avg(ret)', 4)} AS mean, {r('product(1 + ret)', 4)} AS equity, {r('any_value(b)', 4)} AS buy_and_hold
+  FROM (SELECT *, year(make_timestamp(open_ms * 1000)) AS year FROM sg) LEFT JOIN bh USING (symbol, year) GROUP BY symbol, hold, year"""

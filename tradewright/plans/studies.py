@@ -513,9 +513,12 @@ def signal_trades(candles: DataFrame, holds: tuple[int, ...] = (24, 48, 72, 120)
     """
     w = Window.partitionBy("symbol").orderBy("open_ms")
     feats = with_features(candles).withColumn("n_candles", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
-    exits = feats.select("symbol", "open_ms", "i", "r24", "r72", "close", "ma_incl", "n_candles", F.explode(F.array(*[
-        F.struct(F.lit(h).cast("long").alias("hold"), F.lead("close", h).over(w).alias("exit")) for h in holds])).alias("_e")).select(
-        "*", "_e.hold", (F.col("_e.exit") / F.col("close") - 1 - fee).alias("ret")).drop("_e")
+    ahead = feats.select("symbol", "open_ms", "i", "r24", "r72", "close", "ma_incl", "n_candles",
+                         *[F.lead("close", h).over(w).alias(f"_exit{h}") for h in holds])
+    exits = cut(ahead.withColumn("_e", F.explode(F.array(*[
+        F.struct(F.lit(h).cast("long").alias("hold"), F.col(f"_exit{h}").alias("exit")) for h in holds]))).select(
+        "symbol", "open_ms", "i", "r24", "r72", "close", "ma_incl", "n_candles", "_e.hold",
+        (F.col("_e.exit") / F.col("close") - 1 - fee).alias("ret")))
     fires = (F.col("i") >= 200) & (F.col("i") < F.col("n_candles") - F.col("hold")) & (F.col("r24") > th24) & (
         F.col("r72") > th72) & (F.col("close") > F.col("ma_incl"))
     picks = exits.filter(fires).groupBy("symbol", "hold").agg(
@@ -528,11 +531,11 @@ def signal_event_study(trades: DataFrame) -> DataFrame:
     """Per symbol and holding period: n, mean, median, win rate, compounded equity and its drawdown."""
     keys = ["symbol", "hold"]
     upto = Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    curve = trades.withColumn("_eq", F.exp(F.sum(F.log1p("ret")).over(upto))).withColumn(
+    curve = trades.withColumn("_eq", F.product(1 + F.col("ret")).over(upto)).withColumn(
         "_peak", F.greatest(F.lit(1.0), F.max("_eq").over(upto)))
     sums = curve.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), (F.avg((F.col("ret") > 0).cast("double")) * 100).alias("wr"),
-        F.exp(F.sum(F.log1p("ret"))).alias("equity"), F.max((F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("mdd"))
+        F.product(1 + F.col("ret")).alias("equity"), F.max((F.col("_peak") - F.col("_eq")) / F.col("_peak")).alias("mdd"))
     return sums.join(group_quantiles(trades, keys, {"med": median("ret")}), keys)
 
 
@@ -541,9 +544,9 @@ def signal_by_year(trades: DataFrame, candles: DataFrame) -> DataFrame:
     year = lambda c: F.year(F.timestamp_millis(c))
     w = Window.partitionBy("symbol").orderBy("open_ms")
     hold = candles.withColumn("_r", F.col("close") / F.lag("close").over(w) - 1).groupBy(
-        "symbol", year("open_ms").alias("year")).agg((F.exp(F.sum(F.log1p("_r"))) - 1).alias("buy_and_hold"))
+        "symbol", year("open_ms").alias("year")).agg((F.product(1 + F.col("_r")) - 1).alias("buy_and_hold"))
     sig = trades.groupBy("symbol", "hold", year("open_ms").alias("year")).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.exp(F.sum(F.log1p("ret"))).alias("equity"))
+        F.count(F.lit(1)).alias("n"), F.avg("ret").alias("mean"), F.product(1 + F.col("ret")).alias("equity"))
     return sig.join(hold, ["symbol", "year"], "left")
 
 
