@@ -19,6 +19,7 @@ from tradewright.operators import stats as st
 from tradewright.operators import trend as tr
 from tradewright.operators.alpha import cell_benchmark, cell_table, leave_self_out, with_alpha
 from tradewright.operators.ordering import group_quantiles, index_quantile, median, slot_quantile
+from tradewright.plans import raw_lines as rl
 from tradewright.plans import studies as sd
 from tradewright.plans import testbed as tb
 from tradewright.plans.analysis import Analysis, analyse
@@ -428,7 +429,25 @@ def vanished(s, p):
     return sd.vanished_history(kept, tb.trader_snapshot(s, p), tb.PREVIOUS, tb.CURRENT)
 
 
+def _cols(build: Query, *columns: str) -> Query:
+    return lambda s, p: rounded(build(s, p).select(*columns), 4)
+
+
 QUERIES: dict[str, Query] = {
+    "s1_read_binance": _cols(rl.binance, "trader_id", "symbol", "side", "opened_ms", "closed_ms", "dur_h", "leverage", "notional", "margin", "pnl", "partial"),
+    "s2_read_phemex": _cols(rl.phemex, "trader_id", "position_key", "symbol", "side", "opened_ms", "leverage", "notional", "pnl"),
+    "s3_read_okx": _cols(lambda s, p: rl.ps.read_okx(rl.okx_lines(s, p)), "trader_id", "position_key", "side", "opened_ms", "closed_ms", "leverage", "notional", "pnl"),
+    "s4_read_bybit": _cols(rl.bybit, "trader_id", "position_key", "symbol", "leverage", "notional", "pnl"),
+    "s5_read_bitget": _cols(rl.bitget, "trader_id", "position_key", "side", "leverage", "roi", "pnl", "is_raw"),
+    "s6_read_kucoin": _cols(rl.kucoin, "trader_id", "symbol", "opened_ms", "closed_ms", "leverage", "pnl"),
+    "s7_listing": rl.listing, "s9_open_sums": lambda s, p: rounded(rl.open_sums(s, p).drop(*SCOPE), 4),
+    "s13_bybit_pages": _cols(rl.bybit_pages, "trader_id", "position_key", "side", "leverage", "pnl", "roi", "margin", "opened_ms"),
+    "s14_bitget_pages": _cols(rl.bitget_pages, "trader_id", "position_key", "side", "leverage", "pnl", "roi", "opened_ms"),
+    "s15_kucoin_open": _cols(rl.kucoin_open_pages, "trader_id", "symbol", "side", "unrealized_pnl", "realized_pnl", "trade_fee", "opened_ms"),
+    "s16_split_closed_open": rl.split_open, "s17_pivot_and_metric_text": lambda s, p: rounded(rl.metric_text(s, p)),
+    "s19_unify_traders": lambda s, p: rl.unified(s, p), "s21_statuses": rl.statuses,
+    "s22_detail": lambda s, p: rounded(rl.details(s, p).select("trader_id", "retired", "copier_pnl", "copier_count_total")),
+    "s24_assemble_records": rl.records,
     "roster": flagship,
     "a1_cell_benchmark": cell_benchmarks,
     "a2_leave_self_out": leave_self_out_table,

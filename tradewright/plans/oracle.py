@@ -688,3 +688,43 @@ SQL["e9_signal_by_year"] = _R(*_SIGNAL, """bh AS (SELECT symbol, year(make_times
   SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY open_ms) - 1 AS ret FROM can) GROUP BY ALL)""") + f"""
 SELECT symbol, hold, year, count(*) AS n, {r('avg(ret)', 4)} AS mean, {r('product(1 + ret)', 4)} AS equity, {r('any_value(b)', 4)} AS buy_and_hold
   FROM (SELECT *, year(make_timestamp(open_ms * 1000)) AS year FROM sg) LEFT JOIN bh USING (symbol, year) GROUP BY symbol, hold, year"""
+
+# ---- sources ------------------------------------------------------------------------------------------------
+
+ITEMS = """it AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey AS k, CAST(l_suppkey AS VARCHAR) AS t, 'P' || (l_partkey % 50) AS sym, l_orderkey AS o,
+  l_linenumber AS ln, l_quantity AS qty, l_extendedprice AS px, l_discount AS disc, l_tax AS tax, l_returnflag AS flag, l_linestatus AS st, epoch_ms(l_shipdate) AS ms FROM lineitem)"""
+FIRST = "f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS rn FROM it{where}) WHERE rn = 1)"
+SQL["s1_read_binance"] = _with(ITEMS) + f"""SELECT t AS trader_id, sym AS symbol, CASE WHEN st = 'O' THEN 'Long' ELSE 'Short' END AS side, ms AS opened_ms,
+  CASE WHEN flag <> 'R' THEN ms + 3600000 * ln END AS closed_ms, CASE WHEN flag <> 'R' THEN CAST(ln AS DOUBLE) END AS dur_h, lev AS leverage, {r('qty * tax', 4)} AS notional,
+  {r('qty * tax / lev', 4)} AS margin, CASE WHEN ln <> 3 THEN {r('px', 4)} END AS pnl, flag = 'A' AND 1 < qty AS partial FROM (SELECT *, CASE WHEN ln = 7 THEN 1e0 ELSE ln END AS lev FROM it)"""
+SQL["s2_read_phemex"] = _with(ITEMS, FIRST.format(keys="t, o", order="k", where="")) + f"""SELECT t AS trader_id, CAST(o AS VARCHAR) AS position_key, sym AS symbol, CASE WHEN st = 'O' THEN 'Long' ELSE 'Short' END AS side,
+  CASE WHEN ln = 2 THEN ms - 1 ELSE ms END AS opened_ms, {r('CASE WHEN ln = 7 THEN 0 ELSE px / qty END', 4)} AS leverage, {r('px', 4)} AS notional, {r('disc', 4)} AS pnl FROM f"""
+SQL["s3_read_okx"] = _with(ITEMS, FIRST.format(keys="t, o", order="k", where="")) + f"""SELECT t AS trader_id, CAST(o AS VARCHAR) AS position_key, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, ms AS opened_ms,
+  CASE WHEN flag <> 'R' THEN ms + 60000 END AS closed_ms, CAST(ln AS DOUBLE) AS leverage, {r('qty * ln', 4)} AS notional, {r('disc', 4)} AS pnl FROM f"""
+SQL["s4_read_bybit"] = _with(ITEMS, FIRST.format(keys="o", order="k", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN CAST(o AS VARCHAR) END AS position_key, sym AS symbol,
+  CAST(ln AS DOUBLE) AS leverage, {r('qty * ln', 4)} AS notional, {r('disc', 4)} AS pnl FROM (SELECT * EXCLUDE (rn) FROM f UNION ALL SELECT * FROM it WHERE o % 50 = 0)"""
+SQL["s5_read_bitget"] = _with(ITEMS, FIRST.format(keys="t, o", order="flag = 'R', k DESC", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN CAST(o AS VARCHAR) END AS position_key,
+  CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, CAST(ln AS DOUBLE) AS leverage, {r('qty', 4)} AS roi, {r('px', 4)} AS pnl, flag = 'R' AS is_raw
+  FROM (SELECT * EXCLUDE (rn) FROM f UNION ALL SELECT * FROM it WHERE o % 50 = 0)"""
+SQL["s6_read_kucoin"] = _with(ITEMS, FIRST.format(keys="t, ms, ms + o % 5", order="k DESC", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN 'S' END AS symbol, ms AS opened_ms, ms + o % 5 AS closed_ms,
+  CAST(ln AS DOUBLE) AS leverage, {r('px', 4)} AS pnl FROM (SELECT * EXCLUDE (rn) FROM f UNION ALL SELECT * FROM it WHERE o % 50 = 0)"""
+SQL["s7_listing"] = """SELECT 'binance' AS exchange, CAST(s_suppkey AS VARCHAR) AS trader_id, CASE WHEN s_suppkey % 4 <> 0 AND s_suppkey % 3 <> 0 THEN s_suppkey * 1000 END AS start_time,
+  s_suppkey % 4 <> 0 AS listed FROM supplier"""
+SQL["s9_open_sums"] = _with(ITEMS) + f"""SELECT t AS trader_id, {r("sum(CASE WHEN flag = 'A' THEN 0 ELSE tax END)", 4)} AS upl_sum, 0e0 AS upl_neg_sum, count(*) AS n_open, TRUE AS has_upl FROM it GROUP BY ALL"""
+SQL["s13_bybit_pages"] = _with(ITEMS) + f"""SELECT t AS trader_id, CAST(k AS VARCHAR) AS position_key, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, CAST(ln AS DOUBLE) AS leverage, {r('px', 4)} AS pnl,
+  {r('disc', 4)} AS roi, {r('qty', 4)} AS margin, ms AS opened_ms FROM it"""
+SQL["s14_bitget_pages"] = _with(ITEMS) + f"""SELECT t AS trader_id, CAST(k AS VARCHAR) AS position_key, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, CAST(ln AS DOUBLE) AS leverage, {r('px', 4)} AS pnl,
+  {r('qty', 4)} AS roi, ms AS opened_ms FROM it"""
+SQL["s15_kucoin_open"] = _with(ITEMS) + f"""SELECT t AS trader_id, sym AS symbol, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, {r('px', 4)} AS unrealized_pnl, {r('disc', 4)} AS realized_pnl,
+  {r('tax', 4)} AS trade_fee, ms AS opened_ms FROM it"""
+SQL["s16_split_closed_open"] = _with(ITEMS, FIRST.format(keys="t, o", order="k", where="")) + "SELECT t AS trader_id, CASE WHEN flag = 'R' THEN 'open' ELSE 'closed' END AS kind, count(*) AS n FROM f GROUP BY ALL"
+SQL["s17_pivot_and_metric_text"] = "SELECT c_custkey AS trader_id, round(c_acctbal, 2) AS pnl, CAST(c_nationkey AS DOUBLE) AS roi, CAST(NULL AS DOUBLE) AS rank FROM customer"
+SQL["s19_unify_traders"] = """SELECT 'okx' AS exchange, CAST(s_nationkey AS VARCHAR) AS trader_id, arg_max(s_name, s_suppkey) AS nickname, CAST(arg_max(s_acctbal, s_suppkey) AS VARCHAR) AS pnl_usd, NULL AS roi,
+  NULL AS aum_usd, NULL AS followers, NULL AS win_rate, '{}' AS extra_json FROM supplier GROUP BY s_nationkey
+UNION ALL SELECT 'bybit', CAST(c_custkey AS VARCHAR), c_name, NULL, NULL, '', CAST(c_nationkey AS VARCHAR), NULL, '{"segment":"' || c_mktsegment || '"}' FROM customer"""
+SQL["s21_statuses"] = """SELECT CAST(o_custkey AS VARCHAR) AS trader_id, CASE WHEN bool_or(o_orderkey % 97 <> 0 AND o_orderkey % 89 = 0) THEN 'error' WHEN bool_or(o_orderkey % 97 = 0) THEN 'protected' ELSE 'ok' END AS status
+  FROM orders GROUP BY ALL"""
+SQL["s22_detail"] = """SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, s_suppkey % 7 = 0 AS retired, CASE WHEN s_suppkey % 7 > 1 AND s_suppkey % 5 <> 0 THEN s_acctbal END AS copier_pnl,
+  CASE WHEN s_suppkey % 7 > 1 THEN s_nationkey END AS copier_count_total FROM supplier WHERE s_suppkey % 7 <> 1"""
+SQL["s24_assemble_records"] = P + """SELECT trader_id, page, max(c) AS n_pos, count(*) AS n_in_page, min(opened_ms) AS first_ms FROM (
+  SELECT *, (row_number() OVER (PARTITION BY trader_id ORDER BY opened_ms, position_key) - 1) // 100 AS page, count(*) OVER (PARTITION BY trader_id) AS c FROM pos) GROUP BY trader_id, page"""
