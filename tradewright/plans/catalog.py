@@ -435,7 +435,8 @@ def _cols(build: Query, *columns: str) -> Query:
 
 QUERIES: dict[str, Query] = {
     "s1_read_binance": _cols(rl.binance, "trader_id", "symbol", "side", "opened_ms", "closed_ms", "dur_h", "leverage", "notional", "margin", "pnl", "partial"),
-    "s2_read_phemex": _cols(rl.phemex, "trader_id", "position_key", "symbol", "side", "opened_ms", "leverage", "notional", "pnl"),
+    "s2_read_phemex": lambda s, p: rounded(rl.phemex(s, p).select(
+        "trader_id", "position_key", "symbol", "side", "opened_ms", "leverage", "notional", "pnl"), 4, leverage=9),
     "s3_read_okx": _cols(lambda s, p: rl.ps.read_okx(rl.okx_lines(s, p)), "trader_id", "position_key", "side", "opened_ms", "closed_ms", "leverage", "notional", "pnl"),
     "s4_read_bybit": _cols(rl.bybit, "trader_id", "position_key", "symbol", "leverage", "notional", "pnl"),
     "s5_read_bitget": _cols(rl.bitget, "trader_id", "position_key", "side", "leverage", "roi", "pnl", "is_raw"),

@@ -698,10 +698,10 @@ SQL["s1_read_binance"] = _with(ITEMS) + f"""SELECT t AS trader_id, sym AS symbol
   CASE WHEN flag <> 'R' THEN ms + 3600000 * ln END AS closed_ms, CASE WHEN flag <> 'R' THEN CAST(ln AS DOUBLE) END AS dur_h, lev AS leverage, {r('qty * tax', 4)} AS notional,
   {r('qty * tax / lev', 4)} AS margin, CASE WHEN ln <> 3 THEN {r('px', 4)} END AS pnl, flag = 'A' AND 1 < qty AS partial FROM (SELECT *, CASE WHEN ln = 7 THEN 1e0 ELSE ln END AS lev FROM it)"""
 SQL["s2_read_phemex"] = _with(ITEMS, FIRST.format(keys="t, o", order="k", where="")) + f"""SELECT t AS trader_id, CAST(o AS VARCHAR) AS position_key, sym AS symbol, CASE WHEN st = 'O' THEN 'Long' ELSE 'Short' END AS side,
-  CASE WHEN ln = 2 THEN ms - 1 ELSE ms END AS opened_ms, {r('CASE WHEN ln = 7 THEN 0 ELSE px / qty END', 4)} AS leverage, {r('px', 4)} AS notional, {r('disc', 4)} AS pnl FROM f"""
+  CASE WHEN ln = 2 THEN ms - 1 ELSE ms END AS opened_ms, {r('CASE WHEN ln = 7 THEN 0 ELSE px / qty END', 9)} AS leverage, {r('px', 4)} AS notional, {r('disc', 4)} AS pnl FROM f"""
 SQL["s3_read_okx"] = _with(ITEMS, FIRST.format(keys="t, o", order="k", where="")) + f"""SELECT t AS trader_id, CAST(o AS VARCHAR) AS position_key, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, ms AS opened_ms,
   CASE WHEN flag <> 'R' THEN ms + 60000 END AS closed_ms, CAST(ln AS DOUBLE) AS leverage, {r('qty * ln', 4)} AS notional, {r('disc', 4)} AS pnl FROM f"""
-SQL["s4_read_bybit"] = _with(ITEMS, FIRST.format(keys="o", order="k", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN CAST(o AS VARCHAR) END AS position_key, sym AS symbol,
+SQL["s4_read_bybit"] = _with(ITEMS, FIRST.format(keys="o", order="k, CAST(t AS BIGINT)", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN CAST(o AS VARCHAR) END AS position_key, sym AS symbol,
   CAST(ln AS DOUBLE) AS leverage, {r('qty * ln', 4)} AS notional, {r('disc', 4)} AS pnl FROM (SELECT * EXCLUDE (rn) FROM f UNION ALL SELECT * FROM it WHERE o % 50 = 0)"""
 SQL["s5_read_bitget"] = _with(ITEMS, FIRST.format(keys="t, o", order="flag = 'R', k DESC", where=" WHERE o % 50 <> 0")) + f"""SELECT t AS trader_id, CASE WHEN o % 50 <> 0 THEN CAST(o AS VARCHAR) END AS position_key,
   CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, CAST(ln AS DOUBLE) AS leverage, {r('qty', 4)} AS roi, {r('px', 4)} AS pnl, flag = 'R' AS is_raw

@@ -13,8 +13,12 @@ from tradewright.plans import testbed as tb
 from tradewright.sources import pages as pg
 from tradewright.sources import positions as ps
 
-def _place():
-    return F.struct(F.lit("line").alias("file"), F.col("k").alias("block"), F.lit(0).cast("long").alias("row"))
+def _tie():
+    return F.lit(0).cast("long")
+
+
+def _place(tie=None):
+    return F.struct(F.lit("line").alias("file"), F.col("k").alias("block"), (_tie() if tie is None else F.col(tie).cast("long")).alias("row"))
 
 
 def _items(s: SparkSession, p: str) -> DataFrame:
@@ -27,7 +31,8 @@ def _items(s: SparkSession, p: str) -> DataFrame:
 
 
 def _lines(df: DataFrame, *fields) -> DataFrame:
-    return df.select(F.to_json(F.struct(*fields)).alias("value"), _place().alias("file_pos"))
+    place = _place("t" if "t" in df.columns else None)
+    return df.select(F.to_json(F.struct(*fields)).alias("value"), place.alias("file_pos"))
 
 
 def _nested(df: DataFrame, *item) -> DataFrame:
