@@ -9,7 +9,7 @@ from tradewright.config import SCOPE, TRADER, FunnelConfig
 from tradewright.operators import screens
 from tradewright.operators.alpha import cell_table, leave_self_out, self_dominance, with_alpha
 from tradewright.operators.metrics import profile
-from tradewright.operators.ordering import AUTO, _resolve, group_quantiles, index_quantile, median
+from tradewright.operators.ordering import AUTO, _resolve, group_quantiles, index_quantile, median, ordinal_rank
 
 
 def position_concentration(rows: DataFrame, kind: str) -> DataFrame:
@@ -122,8 +122,9 @@ def rejection_counts(funnelled: DataFrame) -> DataFrame:
 
 
 def survivors(funnelled: DataFrame) -> DataFrame:
-    order = Window.partitionBy(*SCOPE).orderBy(F.col("score").desc(), "trader_id")
-    return funnelled.filter(F.col("reject_reason").isNull()).withColumn("place", F.row_number().over(order))
+    """Survivors with their place by score; survivors are not limited in number, so the ranking is chunked."""
+    left = funnelled.filter(F.col("reject_reason").isNull()).withColumn("_neg", -F.col("score"))
+    return ordinal_rank(left, SCOPE, "_neg", "trader_id", "place").withColumn("place", F.col("place") + 1).drop("_neg")
 
 
 def closest_misses(funnelled: DataFrame, limit: int = 10) -> DataFrame:

@@ -68,33 +68,36 @@ def positional_series(traders: DataFrame, values: str, end_ms: DataFrame) -> Dat
     )
 
 
+def running_pnl(rows: DataFrame, hot=AUTO) -> DataFrame:
+    """Cumulative PnL and its running peak per trader, by close; a hot trader's history is chunked by day."""
+    hot = _resolve(hot, rows, TRADER)
+    order = ["closed_ms", "position_key"]
+    slim = rows.select(*TRADER, *order, "pnl")
+    if hot is None:
+        return _running_by_window(slim, order)
+    cold, big = split_hot(slim, TRADER, hot)
+    chunked = big.withColumn("_chunk", time_grid(F.col("closed_ms")))
+    summed = exclusive_prefix(chunked, TRADER, "_chunk", order, "pnl", "_before").withColumn(
+        "cum_pnl", F.col("_before") + F.col("pnl"))
+    peaked = running_max(summed, TRADER, "_chunk", order, "cum_pnl", "peak_pnl").drop("_before", "_chunk")
+    return _running_by_window(cold, order).unionByName(peaked)
+
+
 def trade_screen(rows: DataFrame, hot=AUTO) -> DataFrame:
     """Drop of cumulative PnL from its running peak, trade by trade, once the peak is positive.
 
     Traders whose cumulative PnL was never positive have no row.
     """
-    hot = _resolve(hot, rows, TRADER)
-    order = ["closed_ms", "position_key"]
-    slim = rows.select(*TRADER, *order, "pnl")
-    if hot is None:
-        placed = _running_by_window(slim, order)
-    else:
-        cold, big = split_hot(slim, TRADER, hot)
-        chunked = big.withColumn("_chunk", time_grid(F.col("closed_ms")))
-        summed = exclusive_prefix(chunked, TRADER, "_chunk", order, "pnl", "_before").withColumn(
-            "_cum", F.col("_before") + F.col("pnl"))
-        peaked = running_max(summed, TRADER, "_chunk", order, "_cum", "_peak").drop("_before", "_chunk")
-        placed = _running_by_window(cold, order).unionByName(peaked)
-    drop = (F.col("_cum") - F.col("_peak")) / F.col("_peak")
+    drop = (F.col("cum_pnl") - F.col("peak_pnl")) / F.col("peak_pnl")
     return (
-        placed.filter(F.col("_peak") > 0).withColumn("_drop", drop).groupBy(*TRADER)
+        running_pnl(rows, hot).filter(F.col("peak_pnl") > 0).withColumn("_drop", drop).groupBy(*TRADER)
         .agg(F.min("_drop").alias("depth"), F.min_by("closed_ms", F.struct("_drop", "closed_ms")).alias("trough_ts"))
     )
 
 
 def _running_by_window(df: DataFrame, order: list[str]) -> DataFrame:
     upto = Window.partitionBy(*TRADER).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_cum", F.sum("pnl").over(upto)).withColumn("_peak", F.max("_cum").over(upto))
+    return df.withColumn("cum_pnl", F.sum("pnl").over(upto)).withColumn("peak_pnl", F.max("cum_pnl").over(upto))
 
 
 def monthly_screen(rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradewright.operators.ordering import (
-    average_rank, exclusive_prefix, group_quantiles, index_quantile, ordinal_rank, value_ranks,
+    average_rank, exclusive_prefix, group_quantiles, index_quantile, ordinal_rank, value_grid, value_ranks,
 )
 from tradewright.session import cut
 
@@ -87,7 +87,7 @@ def bootstrap_ci(df: DataFrame, a: str, b: str, n_iter: int = 2_000, seed: int =
     )
     sample = cut(drawn.join(base.select("slot", a, b), "slot"))
     for c in (a, b):
-        counts = sample.groupBy("step", c).agg(F.sum("copies").alias("c")).withColumn("_chunk", F.lit(0))
+        counts = sample.groupBy("step", c).agg(F.sum("copies").alias("c")).withColumn("_chunk", value_grid(F.col(c)))
         ranks = exclusive_prefix(counts, ["step"], "_chunk", [c], "c", "lo").select(
             "step", c, (F.col("lo") + (F.col("c") + 1) / 2.0).alias(f"rank_{c}"))
         sample = sample.join(ranks, ["step", c])

@@ -90,6 +90,13 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.withColumn("warnings", F.array_join("warnings", ",")).drop("start_time", "prev_date"))
 
 
+def ranking(spark: SparkSession, sf: str) -> DataFrame:
+    """The ranked universe behind the roster, seated or not."""
+    t = _analysis(spark, sf).tiered
+    return rounded(t.select(*TRADER, "nick", "n", "n_alpha", "alpha", "t_stat", "payoff", "score", "tier", "weight",
+                            F.array_join(F.array_sort("flags"), ",").alias("flags")))
+
+
 # ---- positions, cells, metrics ------------------------------------------------------------------------------
 
 def _d(value: Callable[[DataFrame], DataFrame], **digits: int) -> Query:
@@ -222,7 +229,7 @@ def misses(s, p):
 
 
 def funnel_order(s, p):
-    return rounded(fn.survivors(_funnel("phemex")(s, p)).select("place", "trader_id", "score"))
+    return rounded(fn.survivors(_funnel("bybit")(s, p)).select("place", "trader_id", "score"))
 
 
 # ---- quality ------------------------------------------------------------------------------------------------
@@ -337,8 +344,7 @@ def interval_excursions(s, p):
 
 
 def cumulative_pnl(s, p):
-    rows = sc._running_by_window(_valid(s, p).select(*TRADER, "closed_ms", "position_key", "pnl"), ["closed_ms", "position_key"])
-    return rounded(rows.select("trader_id", "position_key", F.col("_cum").alias("cum_pnl"), F.col("_peak").alias("peak_pnl")), 2)
+    return rounded(sc.running_pnl(_valid(s, p)).select("trader_id", "position_key", "cum_pnl", "peak_pnl"), 2)
 
 
 def tied_ranks(s, p):

@@ -412,7 +412,7 @@ for _name in SCREENS:
         SQL["a22_rejection_counts"] = _base + "SELECT coalesce(failed[1], 'survivor') AS reason, count(*) AS n_traders FROM fun GROUP BY ALL"
         SQL["e25_closest_misses"] = _base + f"""SELECT place, trader_id, {r('t_stat')} AS t_stat, array_to_string(failed, ',') AS failed FROM (
   SELECT *, row_number() OVER (ORDER BY t_stat DESC, trader_id) AS place FROM fun WHERE len(failed) > 0) WHERE place <= 10"""
-    if _name == "phemex":
+    if _name == "bybit":
         SQL["o2_funnel_survivors"] = _base + f"""SELECT row_number() OVER (ORDER BY t_stat * 0.5 + alpha * 100 * 0.3 + payoff * 0.2 DESC, trader_id) AS place, trader_id,
   {r('t_stat * 0.5 + alpha * 100 * 0.3 + payoff * 0.2')} AS score FROM fun WHERE len(failed) = 0"""
 _okx = SCREENS["okx"][1].replace("scr AS", "s1 AS")
