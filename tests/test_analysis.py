@@ -1,4 +1,4 @@
-"""Pipeline operators on small hand-written rows."""
+"""Analysis operators on small hand-written rows."""
 
 import pytest
 from conftest import rows
