@@ -454,7 +454,9 @@ QUERIES: dict[str, Query] = {
     "s16_split_closed_open": rl.split_open, "s17_pivot_and_metric_text": lambda s, p: rounded(rl.metric_text(s, p)),
     "s19_unify_traders": lambda s, p: rl.unified(s, p), "s21_statuses": rl.statuses,
     "s22_detail": lambda s, p: rounded(rl.details(s, p).select("trader_id", "retired", "copier_pnl", "copier_count_total")),
-    "s24_assemble_records": rl.records,
+    "s24_assemble_records": rl.records, "s10_equity_points": lambda s, p: rounded(rl.equity_points(s, p)),
+    "s11_latest_status": lambda s, p: rounded(rl.manifest(s, p), 2), "s12_candle_file": lambda s, p: rounded(rl.candle_file(s, p), 2),
+    "s20_leaderboards": lambda s, p: rounded(rl.leaderboards(s, p), 2), "s23_recommend_list": lambda s, p: rounded(rl.recommended(s, p), 2),
     "roster": flagship,
     "a1_cell_benchmark": cell_benchmarks,
     "a2_leave_self_out": leave_self_out_table,

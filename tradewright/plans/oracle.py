@@ -728,3 +728,12 @@ SQL["s22_detail"] = """SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, s_suppkey
   CASE WHEN s_suppkey % 7 > 1 THEN s_nationkey END AS copier_count_total FROM supplier WHERE s_suppkey % 7 <> 1"""
 SQL["s24_assemble_records"] = P + """SELECT trader_id, page, max(c) AS n_pos, count(*) AS n_in_page, min(opened_ms) AS first_ms FROM (
   SELECT *, (row_number() OVER (PARTITION BY trader_id ORDER BY opened_ms, position_key) - 1) // 100 AS page, count(*) OVER (PARTITION BY trader_id) AS c FROM pos) GROUP BY trader_id, page"""
+SQL["s10_equity_points"] = "SELECT CAST(user_id AS VARCHAR) AS trader_id, event_id AS ts, round(value * 1e-2, 6) AS value FROM events"
+SQL["s11_latest_status"] = """SELECT CAST(o_custkey AS VARCHAR) AS trader_id, arg_max(CASE WHEN o_orderkey % 3 = 0 THEN 'ok' ELSE 'protected' END, o_orderkey) AS status,
+  round(arg_max(o_totalprice, o_orderkey), 2) AS amount FROM orders WHERE o_orderkey % 3 < 2 GROUP BY ALL"""
+SQL["s12_candle_file"] = """SELECT event_type AS symbol, epoch_ms(ts) // 3600000 * 3600000 AS open_ms, round(arg_min(value, event_id), 2) AS close FROM events
+  WHERE epoch_ms(ts) // 3600000 * 3600000 < 1706000000000 GROUP BY ALL"""
+SQL["s20_leaderboards"] = """SELECT CAST(o_custkey AS VARCHAR) AS trader_id, 'first' AS kept, round(arg_min(o_totalprice, o_orderkey), 2) AS amount FROM orders GROUP BY ALL
+  UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'last', round(arg_max(o_totalprice, o_orderkey), 2) FROM orders GROUP BY ALL"""
+SQL["s23_recommend_list"] = """SELECT CAST(c_custkey AS VARCHAR) AS trader_id, c_name AS nick, round(c_acctbal, 2) AS pnl30, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS mdd30,
+  CAST(NULL AS DOUBLE) AS roi30, c_custkey % 2 = 0 AS show_position FROM customer"""

@@ -169,3 +169,45 @@ def statuses(s, p):
 def records(s, p):
     rows = tb.staged(s, p, tb.positions)
     return ps.assemble_records(rows, 100).select("trader_id", "page", "n_pos", F.size("positions").cast("long").alias("n_in_page"), F.get("positions", F.lit(0))["opened_ms"].alias("first_ms"))
+
+
+def _order_log(s, p):
+    order = tb.spread(tb.table(s, p, "orders"))
+    return order.select(
+        text("o_custkey").alias("trader_id"), F.expr("case o_orderkey % 3 when 0 then 'ok' when 1 then 'protected' else 'error' end").alias("status"),
+        F.col("o_totalprice").alias("amount"), F.struct(F.lit("log").alias("file"), F.col("o_orderkey").alias("block"), F.lit(0).cast("long").alias("row")).alias("file_pos"))
+
+
+def manifest(s, p):
+    return pg.latest_status(_order_log(s, p), "bybit").select("trader_id", "status", "amount")
+
+
+def leaderboards(s, p):
+    log = _order_log(s, p)
+    first = pg.leaderboard(log, "trader_id", "first").select("trader_id", F.lit("first").alias("kept"), "amount")
+    return first.unionByName(pg.leaderboard(log, "trader_id", "last").select("trader_id", F.lit("last").alias("kept"), "amount"))
+
+
+def candle_file(s, p):
+    from tradewright.operators.candles import clean_candles
+
+    ticks = tb.spread(tb.table(s, p, "events")).select(
+        F.col("event_type").alias("symbol"), F.expr("unix_millis(cast(ts as timestamp)) div 3600000 * 3600000").alias("open_ms"),
+        F.col("value").alias("close"), F.col("event_id").alias("file_pos"))
+    return clean_candles(ticks, 1706000000000).select("symbol", "open_ms", "close")
+
+
+def recommended(s, p):
+    cust = tb.table(s, p, "customer").withColumn("k", F.col("c_custkey"))
+    return pg.project_recommend_list(_lines(
+        cust, F.col("c_custkey").alias("userId"), F.col("c_name").alias("nickName"), text("c_acctbal").alias("pnl30d"),
+        F.when(F.col("k") % 3 == 0, "n/a").otherwise(text("c_nationkey")).alias("mdd30d"), (F.col("k") % 2 == 0).alias("showPosition"))).select(
+        "trader_id", "nick", "pnl30", "mdd30", "roi30", "show_position")
+
+
+def equity_points(s, p):
+    series = tb.table(s, p, "events").select(
+        text("user_id").alias("trader_id"), F.lit(tb.CURRENT).alias("snapshot_date"), F.lit("okx").alias("exchange"),
+        F.array(F.struct(text("event_id").alias("beginTs"), text("value").alias("pnlRatio")),
+                F.struct(F.lit("x").alias("beginTs"), F.lit("1").alias("pnlRatio"))).alias("pnlRatios"))
+    return pg.equity_points(series, "pnlRatios", "beginTs", "pnlRatio", 0.01).select("trader_id", "ts", "value")
