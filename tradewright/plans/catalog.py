@@ -340,7 +340,7 @@ def as_of_trades(s, p):
 
 def interval_excursions(s, p):
     e = cd.excursions(_trades(s, p), _candles(s, p), levels=11)
-    return rounded(e.select("position_key", "mae", "mfe"))
+    return rounded(e.select("position_key", "mae", "mfe"), 9)
 
 
 def cumulative_pnl(s, p):

@@ -481,7 +481,7 @@ SQL["a12_symbol_breakdowns"] = P + " UNION ALL ".join(
 SQL["w3_candle_features"] = _with(CAN, FEAT) + "SELECT symbol, open_ms, i, " + ", ".join(
     f"{r(c)} AS {c}" for c in ("close", "r4", "r24", "r72", "ma_incl", "ma_ctx", "ma_prior", "range_pos", "vol")) + " FROM feat"
 SQL["j9_as_of"] = _with(CAN, FEAT, TRD, ASOF) + f"SELECT position_key, candle_ms, {r('close')} AS close FROM ao"
-SQL["j10_interval_excursions"] = CE + f"SELECT position_key, {r('mae')} AS mae, {r('mfe')} AS mfe FROM exc"
+SQL["j10_interval_excursions"] = CE + f"SELECT position_key, {r('mae', 9)} AS mae, {r('mfe', 9)} AS mfe FROM exc"
 SQL["a21_excursion_profile"] = CE + f"""SELECT CASE WHEN net > 0 THEN 'winner' ELSE 'loser' END AS outcome, count(*) AS n, {r(med('amae'))} AS mae_med,
   {r(idx('amae', '75e-2'))} AS mae_p75, {r(idx('amae', '90e-2'))} AS mae_p90, {r(idx('amae', '95e-2'))} AS mae_p95 FROM exc WHERE net <> 0 GROUP BY ALL"""
 SQL["a21_capture_profile"] = CE + f"""SELECT {r(med('cap'))} AS cap_med, {r(excl('cap', 1, 4))} AS cap_p25, {r(excl('cap', 3, 4))} AS cap_p75
