@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewright.config import CELL, FUNNELS, SCOPE, TRADER
+from tradewright.config import FUNNELS, SCOPE, TRADER
 from tradewright.functions import columns as fc
 from tradewright.operators import candles as cd
 from tradewright.operators import funnel as fn
@@ -16,14 +16,12 @@ from tradewright.operators import quality as ql
 from tradewright.operators import rank as rk
 from tradewright.operators import screens as sc
 from tradewright.operators import stats as st
-from tradewright.operators import trend as tr
 from tradewright.operators.alpha import cell_benchmark, cell_table, leave_self_out, with_alpha
 from tradewright.operators.ordering import group_quantiles, index_quantile, median, slot_quantile
 from tradewright.plans import raw_lines as rl
 from tradewright.plans import studies as sd
 from tradewright.plans import testbed as tb
 from tradewright.plans.analysis import Analysis, analyse
-from tradewright.session import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_CELL = 20
@@ -54,20 +52,16 @@ def _alpha_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tb.staged(spark, sf, alpha_rows)
 
 
-def _min_cell(sf: str) -> int:
-    return 5 if sf.rstrip("/").endswith("sf0.001") else MIN_CELL
-
-
 _ANALYSES: dict[tuple, Analysis] = {}
 
 
-def _analysis(spark: SparkSession, sf: str) -> Analysis:
+def _analysis(spark: SparkSession, sf: str, min_cell: int = MIN_CELL) -> Analysis:
     """The two-snapshot analysis; its stage tables are shared by the queries of one application."""
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, sf, min_cell)
     if key not in _ANALYSES:
         _ANALYSES[key] = analyse(
             tb.staged(spark, sf, tb.two_snapshots), tb.trader_snapshot(spark, sf, (tb.PREVIOUS, tb.CURRENT)),
-            tb.open_positions(spark, sf), _min_cell(sf))
+            tb.open_positions(spark, sf), min_cell)
     return _ANALYSES[key]
 
 
@@ -90,9 +84,9 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows.withColumn("warnings", F.array_join("warnings", ",")).drop("start_time", "prev_date"))
 
 
-def ranking(spark: SparkSession, sf: str) -> DataFrame:
+def ranking(spark: SparkSession, sf: str, min_cell: int = MIN_CELL) -> DataFrame:
     """The ranked universe behind the roster, seated or not."""
-    t = _analysis(spark, sf).tiered
+    t = _analysis(spark, sf, min_cell).tiered
     return rounded(t.select(*TRADER, "nick", "n", "n_alpha", "alpha", "t_stat", "payoff", "score", "tier", "weight",
                             F.array_join(F.array_sort("flags"), ",").alias("flags")))
 

@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewright.config import BAD, CELL, DAY_MS, HOUR_MS, SCOPE, TRADER, DetectConfig
+from tradewright.config import BAD, CELL, SCOPE, TRADER
 from tradewright.functions import columns as fc
 from tradewright.operators import stats
 from tradewright.operators.candles import as_of, excursions, regime, with_features
-from tradewright.operators.detect import copiers_losing
 from tradewright.operators.ordering import (
     AUTO, exclusive_quantile, group_quantiles, hot_keys, index_quantile, median, ordinal_rank, position_in_group,
     slot_quantile, time_grid,
