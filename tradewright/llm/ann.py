@@ -82,7 +82,7 @@ def index(vectors: DataFrame, models, lists: int, rows_per_task: int) -> tuple[D
         for batch in batches:
             v = batch.column("v")
             for width, at in by_width(v):
-                model = models.value[width]
+                model = Model(**models.value[width])
                 near = model.distances(model.rotated(rows_of(v.take(pa.array(at)), width), False)).argmin(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(at)), v.take(pa.array(at)), pa.array(near, pa.int32()), pa.array(np.full(len(at), width), pa.int32())], names=["vec_id", "v", "list", "width"])
 
@@ -161,7 +161,8 @@ def survivors(block: Block, mine: np.ndarray, bound: np.ndarray, points: np.ndar
 
 def scan(indexed: DataFrame, shared, models, k: int, columns: int, epsilon: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = shared.value
+        blocks = {w: Block(**b) for w, b in shared.value.items()}
+        fitted = {w: Model(**m) for w, m in models.value.items()}
         bounds = {w: b.bound.copy() for w, b in blocks.items()}
         best = {w: [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)] for w in blocks}
         for batch in batches:
@@ -171,7 +172,7 @@ def scan(indexed: DataFrame, shared, models, k: int, columns: int, epsilon: floa
                     continue
                 block, bound = blocks[width], bounds[width]
                 x, ids = rows_of(v.take(pa.array(at)), width), all_ids[at]
-                points = models.value[width].rotated(x, False)
+                points = fitted[width].rotated(x, False)
                 for one in np.unique(lists[at]):
                     rows, mine_all = np.flatnonzero(lists[at] == one), np.flatnonzero(block.probes[:, one])
                     step = max(1, STRIP // max(1, len(rows)))
@@ -188,7 +189,7 @@ def scan(indexed: DataFrame, shared, models, k: int, columns: int, epsilon: floa
                     Q, _, S = best[width]
                     last = np.flatnonzero(np.bincount(Q, minlength=len(block.ids)) >= k)
                     worst = S[np.searchsorted(Q, last, side="right") - 1]
-                    norm = (block.original[last] ** 2).sum(axis=1) + models.value[width].length ** 2
+                    norm = (block.original[last] ** 2).sum(axis=1) + fitted[width].length ** 2
                     bound[last] = np.minimum(bound[last], (norm - 2 * worst) * (1 + 1e-9) + 1e-12)
         for width, (q, c, s) in best.items():
             yield pa.RecordBatch.from_arrays([pa.array(blocks[width].ids[q]), pa.array(c), pa.array(s)], names=["query_id", "vec_id", "score"])
@@ -210,12 +211,12 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, lists: int = 64,
     vectors = cut(real_vectors(embeddings))
     widths = [r[0] for r in vectors.select(F.size("v")).distinct().collect()]  # lengths of vectors: a handful
     models = {w: fit(vectors, w, lists, sample, seed) for w in widths}
-    shared_models = spark.sparkContext.broadcast(models)
+    shared_models = spark.sparkContext.broadcast({w: vars(m) for w, m in models.items()})
     found = None
     if widths:
         indexed, sizes = index(vectors, shared_models, lists, rows_per_task)
         for rows in query_blocks(vectors, every, block):
-            shared = spark.sparkContext.broadcast(prepare(rows, models, sizes, k, probes))
+            shared = spark.sparkContext.broadcast({w: vars(b) for w, b in prepare(rows, models, sizes, k, probes).items()})
             hits = scan(indexed, shared, shared_models, k, columns, epsilon)
             part = cut(hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))).where(F.col("rank") <= k))
             found = part if found is None else found.unionByName(part)

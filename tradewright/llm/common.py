@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tradewright.session import cut
 
-__all__ = ["cut", "held_out", "labelled_sample", "per_row", "table", "utf8"]
+__all__ = ["cut", "held_out", "labelled_sample", "per_row", "rows_of", "slices", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,14 +24,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, label) of at most `bound` labelled rows that are not held out, chosen by a hash of doc_id.
+    """(text, y) of labelled rows that are not held out: at most bound / 2 of either label, chosen by a hash of doc_id over all labels.
 
-    The ids below the bound-th smallest hash are found first (ids only), so texts of other rows never move. Labels other
+    The ids are found first, without texts, so texts of other rows never move. Labels other
     than 0 and 1 and rows without a text take no part; of several labels for one id the largest counts.
     """
     mine = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
     mine = mine.where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    chosen = mine.orderBy(F.xxhash64("id"), "id").limit(bound)
+    first, second = (mine.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(bound // 2) for y in (0, 1))
+    chosen = first.unionByName(second)
     texts = docs.select(F.col("doc_id").alias("id"), "text").where(F.col("text").isNotNull())
     return texts.join(F.broadcast(chosen), "id")  # at most `bound` rows of two numbers
 
@@ -41,6 +42,18 @@ def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def slices(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of neighbouring items that add up to about `most`."""
+    start = total = 0
+    for i, size in enumerate(sizes):
+        if total and total + size > most:
+            yield slice(start, i)
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield slice(start, len(sizes))
+
+
 def per_row(df: DataFrame, column: str, function, fields: dict[str, pa.DataType], schema: str) -> DataFrame:
     """The columns of df other than `column`, and those that function(list of bytes) makes of it, batch by batch."""
     kept = [c for c in df.columns if c != column]

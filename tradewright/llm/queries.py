@@ -2,25 +2,53 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewright.llm import ann, mixing, topk
+from tradewright.llm import ann, bpe, mixing, quality, token_counts, topk, toxicity, warc
 from tradewright.llm.common import table
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_top_k, op8_nearest_neighbours, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_warc, op4_exact_top_k, op5_token_counts, op8_nearest_neighbours, op9_toxicity, op10_mixing)}
+
+OP3 = """
+with p as (select page_id, sha1(coalesce(html, '')) payload_digest, octet_length(encode(coalesce(html, '')))::bigint payload_bytes from pages),
+r as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end last from p)
+select page_id, payload_bytes, payload_digest, case when last is not null and page_id is distinct from last then 'revisit' else 'response' end record_type,
+    case when page_id is distinct from last then last end refers_to from r
+"""
 
 OP4 = """
 with v as (select vec_id, min(embedding) e from embeddings where vec_id is not null and embedding is not null
@@ -63,4 +91,4 @@ def _mixing_sql(shards: int = 16, blocks: int = 4096, seed: int = 10) -> str:
     """
 
 
-SQL = {"op4_exact_top_k": OP4, "op10_mixing": _mixing_sql()}
+SQL = {"op3_warc": OP3, "op4_exact_top_k": OP4, "op10_mixing": _mixing_sql()}

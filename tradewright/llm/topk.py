@@ -85,7 +85,7 @@ def histogram_pass(vectors: DataFrame, shared, lo, span, need) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, low, size, want = shared.value, lo.value, span.value, need.value
+        scorer, low, size, want = Scorer(*shared.value), lo.value, span.value, need.value
         wide = bin_width(size)
         counts = np.zeros((len(low), BINS), np.int64)
         for batch in batches:
@@ -114,7 +114,7 @@ def best_of(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> n
 
 def final_pass(vectors: DataFrame, shared, least, ids, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, floor = shared.value, least.value
+        scorer, floor = Scorer(*shared.value), least.value
         held: list[list[np.ndarray]] = [[], [], []]
 
         def shrink() -> None:
@@ -153,7 +153,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, block: int = 4096)
     bound = (most or 0) ** 2 * max(width or 0, 1)
     found = None
     for rows in query_blocks(vectors, every, block):
-        shared = spark.sparkContext.broadcast(Scorer(rows, bound < 2**53))
+        shared = spark.sparkContext.broadcast((rows, bound < 2**53))
         ids = rows.column("vec_id").to_numpy()
         n = len(ids)
         lo, span, need = np.full(n, -bound, np.int64), np.full(n, min(2 * bound + 1, 2**63 - 1), np.int64), np.full(n, k, np.int64)
