@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -41,3 +42,17 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{stage_dir(df.sparkSession)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes the folders of stage tables that nothing reads any more, and lets Spark drop the shuffle files of finished jobs."""
+    for df in tables:
+        spark = df.sparkSession
+        home = stage_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if folder.rsplit("/", 1)[-1].startswith("stage-") and folder.rsplit("/", 1)[0].split(":")[-1].lstrip("/").startswith(home.split(":")[-1].lstrip("/")):
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()  # Spark's cleaner works on what the driver's JVM has collected
