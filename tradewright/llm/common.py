@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewright.session import cut
+from tradewright.session import cut, release
 
-__all__ = ["cut", "held_out", "labelled_sample", "per_row", "rows_of", "slices", "table", "utf8"]
+__all__ = ["cut", "held_out", "labelled_sample", "per_row", "release", "rows_of", "salted_join", "slices", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,3 +72,19 @@ def per_row(df: DataFrame, column: str, function, fields: dict[str, pa.DataType]
 def rows_of(array: pa.Array, width: int) -> np.ndarray:
     """A list column of equal lengths as a matrix."""
     return array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), width)
+
+
+SALTS = 64
+
+
+def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], many: str, total: int, spread: Column) -> DataFrame:
+    """rows left-joined with a table that has each key once and, in column `many`, how many rows have it.
+
+    Keys of more than a thousandth of the rows are hot. There are at most a thousand of them, so their list is broadcast; their rows are
+    spread by `spread` over SALTS copies of the table's row. Every other key fits a partition.
+    """
+    is_hot = F.col(many) * 1000 > total
+    hot = unique.where(is_hot).select(*keys, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
+    copies = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_hot, SALTS - 1).otherwise(0).cast("long"))))
+    return rows.join(F.broadcast(hot), keys, "left").withColumn("_salt", salt).drop("_hot").join(copies.drop(many), [*keys, "_salt"], "left").drop("_salt")

@@ -18,29 +18,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import cut, utf8
+from tradewright.llm.common import cut, salted_join, utf8
 from tradewright.session import stage_dir
 
 MAGIC = 0x184D2A5D  # of the skippable frame that holds a dictionary
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-SALTS = 64
 
 
 def with_references(pages: DataFrame, least: int) -> DataFrame:
-    """page_id, url, html and refers_to, the page with the largest id among those with the same payload of at least `least` bytes.
-
-    A payload of more than a thousandth of all pages is hot; there are at most a thousand of those, they are broadcast, and their pages
-    join over SALTS copies of the reference. No other payload is more than a thousandth of a partition's share.
-    """
+    """page_id, url, html and refers_to, the page with the largest id among those with the same payload of at least `least` bytes."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", "html", F.sha1(html.cast("binary")).alias("sha"), F.octet_length(html).alias("n"))
-    total = pages.count()
     copies = cut(rows.where(F.col("n") >= least).groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("many")).where("many > 1"))
-    hot = copies.where(F.col("many") * 1000 > total).select("sha", F.lit(SALTS).alias("salts"))
-    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS))).otherwise(F.lit(0).cast("long"))
-    salted = copies.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("many") * 1000 > total, SALTS - 1).otherwise(0).cast("long"))))
-    placed = rows.join(F.broadcast(hot), "sha", "left").withColumn("salt", salt)
-    joined = placed.join(salted.select("sha", "n", "salt", "refers_to"), ["sha", "n", "salt"], "left")
+    joined = salted_join(rows, copies, ["sha", "n"], "many", pages.count(), F.struct("page_id", "url"))
     own = F.col("refers_to").isNull() | F.col("page_id").eqNullSafe(F.col("refers_to"))
     return joined.select("page_id", "url", "html", F.when(~own, F.col("refers_to")).alias("refers_to"))
 
