@@ -122,7 +122,7 @@ def word_counts(docs: DataFrame, pattern: str, flush: int = 200_000) -> DataFram
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int = 400_000) -> DataFrame:
+def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int = 500_000) -> DataFrame:
     """docs with a column ids (array<int>), the token ids of the whole text as the tiktoken library gives them, without special tokens.
 
     NULL and empty texts have no ids. The frequent words' ids are broadcast (at most `broadcast_words`); a document's other words are
@@ -137,6 +137,27 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
     ids = known.column("ids").combine_chunks()
     table = spark.sparkContext.broadcast((known.column("word").combine_chunks(), ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)))
 
+    def segments(made: list[tuple[bytes, list[str]]]) -> list[pa.Array]:
+        """The runs of known ids between a document's rare words, the rare words' places in its list of them, and that list."""
+        runs, places, ids = [[0]], [], []
+        counts = np.zeros(len(made), np.int64)
+        total = 0
+        for k, (raw, _) in enumerate(made):
+            have = np.frombuffer(raw, np.int32)
+            gaps = np.flatnonzero(have < 0)
+            places.append(-1 - have[gaps])
+            counts[k] = len(gaps)
+            ids.append(have[have >= 0])
+            runs.append(total + gaps - np.arange(len(gaps)))
+            total += len(have) - len(gaps)
+            runs.append([total])
+        ends = pa.array(np.concatenate(runs), pa.int32())
+        inner = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(ids)))
+        gap_ends = np.append(0, np.cumsum(counts))
+        outer = pa.array(gap_ends + np.arange(len(made) + 1), pa.int32())
+        return [pa.ListArray.from_arrays(outer, inner), pa.ListArray.from_arrays(pa.array(gap_ends, pa.int32()), pa.array(np.concatenate(places))),
+                pa.array([m[1] for m in made], pa.list_(pa.string()))]
+
     def split_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
@@ -170,45 +191,21 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
                     size += len(texts[at])
                     made.append(one(texts[at].decode("utf-8", "replace")))
                     at += 1
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("whole").slice(start, at - start), pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.list_(pa.string()))],
-                    names=["whole", "gapped", "rare"])
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gapped, rare = batch.column("gapped").to_pylist(), batch.column("rare_ids").to_pylist()
-            out = []
-            for raw, more in zip(gapped, rare):
-                have = np.frombuffer(raw, np.int32)
-                if more:
-                    lengths = np.array([len(x) for x in more])
-                    starts, flat_ids = np.cumsum(lengths) - lengths, np.concatenate([np.array(x, np.int32) for x in more])
-                    gap = have < 0
-                    many = np.ones(len(have), np.int64)
-                    many[gap] = lengths[-1 - have[gap]]
-                    owner = np.repeat(np.arange(len(have)), many)
-                    within = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
-                    value = have[owner]
-                    in_gap = value < 0
-                    value[in_gap] = flat_ids[starts[-1 - value[in_gap]] + within[in_gap]]
-                    have = value
-                out.append(have)
-            ends = np.cumsum([0, *(len(x) for x in out)])
-            made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
-            yield pa.RecordBatch.from_arrays([batch.column("whole"), made], names=["whole", "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column("whole").slice(start, at - start), *segments(made)], names=["whole", "runs", "places", "rare"])
 
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole"))
     whole = packed.schema["whole"].dataType.simpleString()
-    gapped = packed.mapInArrow(split_documents, f"whole {whole}, gapped binary, rare array<string>")
-    folded = gapped.select("whole", "gapped", F.transform("rare", lambda w: fold(w.cast("binary"), literal, longest)).alias("rare_ids"))
-    return folded.mapInArrow(fill, f"whole {whole}, ids array<int>").select("whole.*", "ids")
+    known_runs = packed.mapInArrow(split_documents, f"whole {whole}, runs array<array<int>>, places array<int>, rare array<string>")
+    folded = known_runs.withColumn("rare", F.transform("rare", lambda w: fold(w.cast("binary"), literal, longest)))
+    filled = F.transform("runs", lambda run, i: F.when(i < F.size("places"), F.concat(run, F.get("rare", F.get("places", i)))).otherwise(run))
+    return folded.select("whole.*", F.flatten(filled).alias("ids"))
 
 
 def decoded(ids: Column, rank_file: str) -> Column:
     """The bytes (binary) of an array of token ids: its pieces one after the other. NULL and empty arrays give no bytes."""
-    pieces = {rank: piece.hex() for piece, rank in ranks_of(rank_file).items()}
+    pieces = {rank: piece.decode("latin-1") for piece, rank in ranks_of(rank_file).items()}  # a character per byte
     literal = F.from_json(F.lit(json.dumps([pieces.get(i, "") for i in range(max(pieces) + 1)])), "array<string>")
-    return F.unhex(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(literal, i)), ""))
+    return F.encode(F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get(literal, i)), ""), "ISO-8859-1")
 
 
 def digests(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
