@@ -196,9 +196,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole"))
     whole = packed.schema["whole"].dataType.simpleString()
     known_runs = packed.mapInArrow(split_documents, f"whole {whole}, runs array<array<int>>, places array<int>, rare array<string>")
-    folded = known_runs.withColumn("rare", F.transform("rare", lambda w: fold(w.cast("binary"), literal, longest)))
-    filled = F.transform("runs", lambda run, i: F.when(i < F.size("places"), F.concat(run, F.get("rare", F.get("places", i)))).otherwise(run))
-    return folded.select("whole.*", F.flatten(filled).alias("ids"))
+    rare_ids = F.transform("rare", lambda w: fold(w.cast("binary"), literal, longest))
+    filled = let(rare_ids, lambda rare: F.transform("runs", lambda run, i: F.when(i < F.size("places"), F.concat(run, F.get(rare, F.get("places", i)))).otherwise(run)))
+    return known_runs.select("whole.*", F.flatten(filled).alias("ids"))
 
 
 def decoded(ids: Column, rank_file: str) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tradewright.session import cut, release
 
-__all__ = ["cut", "held_out", "labelled_sample", "per_row", "release", "rows_of", "salted_join", "slices", "table", "utf8"]
+__all__ = ["cut", "held_out", "labelled_sample", "per_row", "release", "rows_of", "salted_join", "slices", "sweep", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,12 @@ def rows_of(array: pa.Array, width: int) -> np.ndarray:
 SALTS = 64
 
 
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written: its cleaner works on what the driver's JVM has collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def salted_join(rows: DataFrame, unique: DataFrame, keys: list[str], many: str, total: int, spread: Column) -> DataFrame:
     """rows left-joined with a table that has each key once and, in column `many`, how many rows have it.
 
