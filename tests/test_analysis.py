@@ -132,39 +132,33 @@ def test_liveness_mass_close_and_open_loss(spark):
         "live": ["open_loss_divergence"], "dark": ["went_dark"], "idle": ["inactive", "went_dark"], "dead": ["mass_close_loss"]}
 
 
-def allocate_by_hand(members, pool, cap):
-    weights = {k: pool * s / sum(members.values()) for k, s in members.items()}
-    for _ in members:
-        excess = sum(max(0.0, w - cap) for w in weights.values())
-        if excess < 1e-9:
-            break
-        weights = {k: min(w, cap) for k, w in weights.items()}
-        free = {k: members[k] for k, w in weights.items() if w < cap - 1e-9}
-        if not free:
-            break
-        for k in free:
-            weights[k] += excess * free[k] / sum(free.values())
-    return {k: min(round(w * 20) / 20, cap) for k, w in weights.items()}
-
-
-def test_allocation_matches_definition(spark):
+def test_allocation_keeps_its_rules(spark):
     import random
     rng = random.Random(9)
-    data, want = [], {}
+    data, pools = [], {}
     for g in range(40):
-        n_a = rng.randrange(0, 6)
-        n_b = rng.randrange(0, 6 - n_a) if n_a < 5 else 0
-        scores = {t: {f"{t}{i}": rng.uniform(0.1, 6) for i in range(n)} for t, n in (("A", n_a), ("B", n_b))}
-        for t, members in scores.items():
-            for k, s in members.items():
-                data.append((f"s{g}", "x", k, t, s))
-            if members:
-                pool = {"A": 0.7 if n_b else 1.0, "B": 0.3 if n_a else 1.0}[t]
-                for k, w in allocate_by_hand(members, pool, 0.2 if t == "A" else 0.1).items():
-                    want[f"s{g}", k] = w
+        n = {"A": rng.randrange(0, 6), "B": rng.randrange(0, 3)}
+        for t, other, share in (("A", "B", 0.7), ("B", "A", 0.3)):
+            pools[f"s{g}", t] = share if n[other] else 1.0
+            data += [(f"s{g}", "x", f"{t}{i}", t, rng.uniform(0.1, 6)) for i in range(n[t])]
     got = rows(rk.allocate(spark.createDataFrame(data, "snapshot_date string, exchange string, trader_id string, tier string, score double")))
+    groups = {}
     for r in got:
-        assert r["weight"] == pytest.approx(want[r["snapshot_date"], r["trader_id"]])
+        groups.setdefault((r["snapshot_date"], r["tier"]), []).append(r)
+    for (g, t), members in groups.items():
+        cap = 0.2 if t == "A" else 0.1
+        assert all(0 <= r["weight"] <= cap + 1e-12 for r in members)
+        assert sum(r["weight"] for r in members) <= pools[g, t] + 0.025 * len(members) + 1e-9  # weights are rounded to twentieths
+        by_score = [r["weight"] for r in sorted(members, key=lambda r: r["score"])]
+        assert by_score == sorted(by_score)
+
+
+def test_allocation_by_example(spark):
+    schema = "snapshot_date string, exchange string, trader_id string, tier string, score double"
+    data = [("d", "x", "a", "A", 6.0), ("d", "x", "b", "A", 1.0), ("d", "x", "c", "A", 1.0), ("d", "x", "z", "B", 1.0)]
+    got = {r["trader_id"]: r["weight"] for r in rows(rk.allocate(spark.createDataFrame(data, schema)))}
+    # 70% by score is 52.5%, 8.75%, 8.75%; the first stops at 20% and its excess lifts the others to their caps too
+    assert got == pytest.approx({"a": 0.2, "b": 0.2, "c": 0.2, "z": 0.1})
 
 
 def series(spark, values, trader="t"):

@@ -117,3 +117,17 @@ def test_value_grid_is_monotone(spark):
     got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").coalesce(1)
            .select(od.value_grid(F.col("v"))).collect()]
     assert got == sorted(got)
+
+
+def test_hot_groups_keep_rows_without_time_or_key(spark):
+    from pyspark.sql import functions as F
+
+    from tradewright.operators.ordering import position_in_group
+
+    data = [("a", t, k) for k, t in enumerate([1, None, 3, None, 5])] + [(None, t, k) for k, t in enumerate([None, 2])]
+    df = spark.createDataFrame(data, "g string, t long, k long")
+    order = [F.col("t"), F.col("k")]
+    plain = position_in_group(df, ["g"], order, "t", hot=None)
+    hot = position_in_group(df, ["g"], order, "t", hot=df.select("g").distinct())
+    key = lambda d: sorted((str(r["g"]), str(r["t"]), r["k"], r["pos"], r["cnt"]) for r in d.collect())
+    assert key(plain) == key(hot) and len(key(hot)) == 7

@@ -65,6 +65,13 @@ def split_hot(df: DataFrame, keys: list[str], hot: DataFrame) -> tuple[DataFrame
     return df.join(listed, match, "left_anti"), df.join(listed, match, "left_semi")
 
 
+def join_null_safe(df: DataFrame, looked_up: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys of which NULLs compare equal, so rows without a time or key stay."""
+    renamed = looked_up.select(*[F.col(k).alias(f"_to_{k}") if k in keys else F.col(k) for k in looked_up.columns])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_to_{k}")) for k in keys])
+    return df.join(renamed, match).drop(*[f"_to_{k}" for k in keys])
+
+
 def exclusive_prefix(df: DataFrame, keys: list[str], chunk: str, order: list, weight: str | Column, out: str) -> DataFrame:
     """`out` = sum of `weight` over the rows of the group that sort before this one."""
     part = [*keys, chunk]
@@ -73,8 +80,7 @@ def exclusive_prefix(df: DataFrame, keys: list[str], chunk: str, order: list, we
     offsets = totals.select(*part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        df.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-        .join(offsets, part)
+        join_null_safe(df.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))), offsets, part)
         .withColumn(out, F.col("_offset") + F.col("_inside"))
         .drop("_offset", "_inside")
     )
@@ -88,8 +94,7 @@ def running_max(df: DataFrame, keys: list[str], chunk: str, order: list, value:
     earlier = tops.select(*part, F.max("_top").over(before).alias("_earlier"))
     inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        df.withColumn("_inside", F.max(value).over(inside))
-        .join(earlier, part)
+        join_null_safe(df.withColumn("_inside", F.max(value).over(inside)), earlier, part)
         .withColumn(out, F.greatest("_inside", "_earlier"))
         .drop("_inside", "_earlier")
     )

@@ -683,7 +683,7 @@ def equity_floor_cost(snapshot: DataFrame, floors: tuple[float, ...] = (1e3, 5e3
 
 def copy_scaling(rows: DataFrame, equity: DataFrame, min_notional: DataFrame, capitals: tuple[float, ...] = (500.0, 1000.0, 5000.0)) -> DataFrame:
     """Copying with a capital: orders that fall below the exchange minimum and the worst oversizing."""
-    sized = rows.join(equity.select(*TRADER, "aum").filter(F.col("aum") > 0), TRADER).join(F.broadcast(min_notional), "symbol")
+    sized = rows.join(equity.select(*TRADER, "aum").filter(F.col("aum") > 0), TRADER).join(min_notional, "symbol")
     g = sized.withColumn("capital", F.explode(F.array(*[F.lit(c) for c in capitals]))).withColumn(
         "_scaled", F.col("notional") * F.col("capital") / F.col("aum"))
     below = F.col("_scaled") < F.col("min_notional")
