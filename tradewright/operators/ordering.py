@@ -114,7 +114,7 @@ def position_in_group(df: DataFrame, keys: list[str], order: list, time_col: str
     chunked = big.withColumn("_chunk", time_grid(F.col(time_col)))
     placed = exclusive_prefix(chunked, keys, "_chunk", order, F.lit(1), "pos").drop("_chunk")
     sizes = big.groupBy(*keys).agg(F.count(counted).alias("cnt"))
-    placed = placed.join(F.broadcast(sizes), keys).withColumn("pos", F.col("pos").cast("long"))
+    placed = join_null_safe(placed, sizes, keys).withColumn("pos", F.col("pos").cast("long"))
     return _window_position(cold, keys, order, counted).unionByName(placed)
 
 
