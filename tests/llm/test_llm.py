@@ -103,7 +103,7 @@ def test_mix_meets_its_targets(docs):
 
 def vectors(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(300)] + [(300, None), (301, [1.0, None, 0, 0, 0, 0]), (350, [float("nan")] * 6), (400, [0.0] * 6), (None, [1.0] * 6), (50, [1.0, 2.0])]
+    rows = [(i, [float(x) for x in rng.integers(-9, 9, 6)]) for i in range(300)] + [(300, None), (301, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (350, [float("nan")] * 6), (400, [0.0] * 6), (None, [1.0] * 6), (50, [1.0, 2.0])]
     return spark.createDataFrame([(i, v, 7) for i, v in rows], "vec_id long, embedding array<float>, score int")
 
 
