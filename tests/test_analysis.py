@@ -209,6 +209,22 @@ def test_funnel_buckets_sum_to_universe(spark):
         assert r["reject_reason"] == (r["failed"][0] if r["failed"] else None)
 
 
+def test_age_and_drawdown_as_the_source_publishes_them(spark):
+    data = [position(t, 0.01 - 0.02 * (i % 2), 10 * k + i, JUL + i * 86_400_000, pnl=5.0 - 6.0 * (i % 2)) for k, t in enumerate(("old", "new", "silent")) for i in range(4)]
+    df = frame(spark, data)
+    key = df.select("trader_id", "snapshot_date", "exchange").distinct()
+    published = spark.createDataFrame([("old", 400.0, 0.1), ("new", 5.0, 0.5)], "trader_id string, lead_days double, mdd30 double")
+    known = key.join(published, "trader_id")
+
+    def flags(exchange, name):
+        return {r["trader_id"]: r[name] for r in rows(fn.funnel(df, FUNNELS[exchange], sc.trade_screen(df), headline=known))}
+
+    assert flags("okx", "fresh_start") == {"old": False, "new": True, "silent": True}
+    assert flags("kucoin", "fresh_start") == {"old": True, "new": True, "silent": True}
+    assert set(flags("phemex", "fresh_start").values()) == {False}
+    assert flags("phemex", "hidden_loss") == {"old": False, "new": True, "silent": False}
+
+
 def test_dedup_rules(spark):
     df = spark.createDataFrame([("a", 1, 10, True), ("a", 2, 20, False), ("a", 3, 30, True), (None, 4, 40, True), (None, 5, 50, True)],
                                "k string, file_pos int, v int, is_raw boolean")

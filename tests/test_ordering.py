@@ -56,6 +56,20 @@ def test_quantiles_of_everything(data):
     assert got == [{"med": st.median(xs), "cut": float(ms[len(ms) // 2])}]
 
 
+@pytest.mark.parametrize("limit", LIMITS)
+def test_groups_without_values_or_key_give_a_row(spark, limit):
+    df = spark.createDataFrame([("a", None)] * 5 + [("b", 1.0)] * 4 + [(None, 2.0)] * 4 + [(None, None)], "g string, v double")
+    got = od.group_quantiles(df, ["g"], {"med": od.median("v"), "p": od.index_quantile("v", 0.9)}, od.hot_keys(df, ["g"], limit))
+    assert {r["g"]: (r["med"], r["p"]) for r in rows(got)} == {"a": (None, None), "b": (1.0, 1.0), None: (2.0, 2.0)}
+    for none in (df.filter("g = 'a'"), df.limit(0)):
+        assert rows(od.group_quantiles(none, [], {"med": od.median("v")})) == [{"med": None}]
+
+
+def test_ordinal_rank_keeps_missing_values(spark):
+    df = spark.createDataFrame([("x", 2.0), ("y", None), ("z", 1.0), ("w", None)], "t string, v double")
+    assert {r["t"]: r["pos"] for r in rows(od.ordinal_rank(df, [], "v", "t", "pos"))} == {"w": 0, "y": 1, "z": 2, "x": 3}
+
+
 @pytest.mark.parametrize("limit", LIMITS)
 def test_positions(data, limit):
     df, recs = data

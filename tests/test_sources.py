@@ -37,6 +37,8 @@ def test_binance_and_phemex(spark):
     assert a["trader_id"] == "9007199254740993" and a["leverage"] == 1.0 and a["notional"] == 200.0 and a["dur_h"] == 1.0
     assert a["pnl"] is None and a["partial"] is True and a["p_pnl"] is None
     assert b["margin"] == 20.0 and b["dur_h"] is None
+    again = {r["position_key"] for r in rows(ps.read_binance(lines(spark, ["", {**doc, "nick": "renamed"}])))}
+    assert again == {a["position_key"], b["position_key"]} and len(again) == 2 and None not in again
     ph = {"userId": 7, "nick": "p", "positions": [
         {"positionId": 1, "symbol": "X", "side": "Buy", "posSide": "Merged", "openPositionVal": "100", "margin": "20", "realizedPnl": "1", "closedPnl": "2",
          "openedTime": 0, "createdAt": 5, "updatedTime": 10},
@@ -103,7 +105,7 @@ def test_listing_status_pivots(spark):
     assert {r["trader_id"]: r["status"] for r in rows(st)} == {"x": "protected", "y": "ok"}
     ku = pg.extract_status(lines(spark, [{"trader": "z", "success": False, "code": "200"}]), "kucoin")
     assert rows(ku)[0]["status"] == "not_found"
-    df = spark.sql("select array(named_struct('showColumnCode','a','comparedValue','1'), named_struct('showColumnCode','a','comparedValue','2')) i, array('ROI','MDD') n, array('+5%','-') v")
+    df = spark.sql("select array(named_struct('showColumnCode','a','comparedValue','1'), named_struct('showColumnCode','a','comparedValue','2')) i, array('MDD','ROI','MDD') n, array('9','+5%','-') v")
     r = df.select(pg.pivot_items("i").alias("m"), pg.pivot_columns("n", "v").alias("c")).first()
     assert r["m"] == {"a": "2"} and r["c"] == {"ROI": "+5%", "MDD": "-"}
 

@@ -39,7 +39,10 @@ def test_as_of(market):
 
 def test_interval_extremes(market):
     cdf, candles, tdf, trades = market
-    got = {r["position_key"]: r for r in rows(cd.interval_extremes(tdf, cdf, levels=8))}
+    long = [(1000, "A", "Long", 0, 10**6 * H, 10.0), (1001, "B", "Short", 101 * H, 178 * H, 10.0)]
+    tdf, trades = tdf.unionByName(tdf.sparkSession.createDataFrame(long, tdf.schema)), trades + long
+    got = {r["position_key"]: r for r in rows(cd.interval_extremes(tdf, cdf))}
+    assert got.keys() == {t[0] for t in trades}
     for k, s, _, o, c, _ in trades:
         seg = [x for x in candles if x[0] == s and o <= x[1] <= c]
         assert got[k]["hi"] == (max(x[3] for x in seg) if seg else None)
@@ -80,6 +83,9 @@ def test_hedge_overlaps(spark):
         data.append(("x", "d", f"t{rng.randrange(3)}", rng.choice("AB"), i, rng.choice(["Long", "Short"]), o, o + rng.randrange(1, 40) * 1_000_000))
     df = spark.createDataFrame(data, "exchange string, snapshot_date string, trader_id string, symbol string, position_key long, side string, opened_ms long, closed_ms long")
     got = {r["position_key"]: r["n_overlaps"] for r in rows(sd.hedge_legs(df))}
+    lower = df.withColumn("side", F.lower("side"))
+    assert {r["position_key"]: r["n_overlaps"] for r in rows(sd.hedge_legs(lower))} == got
+    assert rows(sd.hedge_overlap(lower)) == rows(sd.hedge_overlap(df))
     for a in data:
         want = sum(a[2:4] == b[2:4] and a[5] != b[5] and b[6] < a[7] and b[7] > a[6] for b in data)
         assert got[a[4]] == want

@@ -96,16 +96,20 @@ class FunnelConfig:
     native_window_days: int = 90
     # order | symbol_ms | symbol_id_second
     concentration: str = "order"
+    # what tells a trader's age: span_days | lead_days | locate_days; None: not judged
+    age: str | None = None
     fresh_days: int = 120
+    # a published 30-day drawdown above this hints at hidden losses; None: not judged
+    hidden_mdd: float | None = None
 
 
 # The published screen of each exchange.
 FUNNELS = {
     "binance": FunnelConfig("binance", min_cell=20, min_n=60, min_n_alpha=40, active_month="2026-08",
                             drawdown="ratio"),
-    "okx": FunnelConfig("okx", open_loss="always", drawdown="level"),
-    "bybit": FunnelConfig("bybit", open_loss="known", drawdown="level", concentration="symbol_ms"),
-    "bitget": FunnelConfig("bitget", drawdown="points", native_mdd=True, concentration="symbol_id_second"),
-    "kucoin": FunnelConfig("kucoin", open_loss="always", drawdown="principal"),
-    "phemex": FunnelConfig("phemex", drawdown="trades"),
+    "okx": FunnelConfig("okx", open_loss="always", drawdown="level", age="lead_days"),
+    "bybit": FunnelConfig("bybit", open_loss="known", drawdown="level", concentration="symbol_ms", age="locate_days"),
+    "bitget": FunnelConfig("bitget", drawdown="points", native_mdd=True, concentration="symbol_id_second", age="span_days"),
+    "kucoin": FunnelConfig("kucoin", open_loss="always", drawdown="principal", age="span_days"),
+    "phemex": FunnelConfig("phemex", drawdown="trades", hidden_mdd=0.4),
 }

@@ -65,6 +65,11 @@ def side_sign(side: str | Column, mode: str = "strict") -> Column:
     return F.coalesce(strict, F.lit(-1)) if mode == "loose" else strict
 
 
+def is_long(side: str | Column = "side") -> Column:
+    """Sources write `Long` or `long`."""
+    return F.lower(col(side)) == "long"
+
+
 def price_return(kind: str) -> Column:
     """De-leveraged return of one position, by the basis its source makes trustworthy.
 
@@ -101,12 +106,13 @@ def partial_close(closed_volume: str | Column, max_oi: str | Column, tolerance:
     return F.coalesce((oi > 0) & (cv > 0) & (F.abs(cv - oi) / oi > tolerance), F.lit(False))
 
 
-def bucket(value: str | Column, edges: list[tuple[float, str]], beyond: str, inclusive: bool = False) -> Column:
+def bucket(value: str | Column, edges: list[tuple[float, str]], beyond: str, inclusive: bool = False,
+           missing: str | None = None) -> Column:
+    """The first bucket whose edge the value is under; NULL values are `missing`."""
     v = col(value)
-    first, *rest = edges
     under = (lambda e: v <= e) if inclusive else (lambda e: v < e)
-    out = F.when(under(first[0]), first[1])
-    for edge, label in rest:
+    out = F.when(v.isNull(), F.lit(missing))
+    for edge, label in edges:
         out = out.when(under(edge), label)
     return out.otherwise(beyond)
 
@@ -120,7 +126,8 @@ def duration_bucket(value: str | Column = "dur_h", variant: str = "week") -> Col
 
 
 def leverage_bucket(value: str | Column = "leverage") -> Column:
-    return bucket(value, LEVERAGE_EDGES, ">50x", inclusive=True)
+    """Unreadable leverage counts as the lowest."""
+    return bucket(value, LEVERAGE_EDGES, ">50x", inclusive=True, missing=LEVERAGE_EDGES[0][1])
 
 
 def liquidation_band(value: str | Column = "leverage") -> Column:

@@ -88,15 +88,16 @@ def range_table(candles: DataFrame, levels: int, step_ms: int = HOUR_MS) -> Data
     return df.select("symbol", "slot", F.explode(pairs).alias("_x")).select("symbol", "slot", "_x.k", "_x.h", "_x.l")
 
 
-def interval_extremes(trades: DataFrame, candles: DataFrame, levels: int = 17, step_ms: int = HOUR_MS) -> DataFrame:
+def interval_extremes(trades: DataFrame, candles: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     """Adds `hi` and `lo`: highest high and lowest low of the candles with opened_ms <= open_ms <= closed_ms.
 
     Any interval is covered by two overlapping power-of-two ranges, so every trade joins exactly twice,
-    however long it was open. Intervals may span up to 2**levels - 1 steps of the candle table.
+    however long it was open. The longest history of a symbol tells how many powers are needed.
     """
     span = candles.groupBy("symbol").agg(
         (F.min("open_ms") / step_ms).cast("long").alias("_min"), (F.max("open_ms") / step_ms).cast("long").alias("_max"))
-    table = range_table(candles, levels, step_ms)
+    longest = span.agg(F.max(F.col("_max") - F.col("_min") + 1)).first()[0] or 1
+    table = range_table(candles, longest.bit_length(), step_ms)
     first = F.greatest(F.ceil(F.col("opened_ms") / step_ms), F.col("_min"))
     last = F.least(F.floor(F.col("closed_ms") / step_ms), F.col("_max"))
     bounded = (
@@ -113,13 +114,13 @@ def interval_extremes(trades: DataFrame, candles: DataFrame, levels: int = 17, s
     )
 
 
-def excursions(trades: DataFrame, candles: DataFrame, levels: int = 17, step_ms: int = HOUR_MS) -> DataFrame:
+def excursions(trades: DataFrame, candles: DataFrame, step_ms: int = HOUR_MS) -> DataFrame:
     """Worst (`mae`) and best (`mfe`) excursion of every trade with at least one candle in its life."""
     long = F.lower("side") == "long"
     up, down = F.col("hi") / F.col("avg_cost") - 1, F.col("lo") / F.col("avg_cost") - 1
     fall, rise = 1 - F.col("hi") / F.col("avg_cost"), 1 - F.col("lo") / F.col("avg_cost")
     return (
-        interval_extremes(trades.filter(F.col("avg_cost") > 0), candles, levels, step_ms)
+        interval_extremes(trades.filter(F.col("avg_cost") > 0), candles, step_ms)
         .filter(F.col("hi").isNotNull())
         .withColumn("mae", F.when(long, down).otherwise(fall)).withColumn("mfe", F.when(long, up).otherwise(rise))
         .drop("hi", "lo")

