@@ -1,16 +1,16 @@
 """Byte-level BPE encoding and decoding.
 
 Texts split into words by the tokenizer's pattern. Spark's higher-order functions fold the ranked merges over the bytes of each distinct word
-that is frequent in the corpus, and over those of a document's other words in place. The rank map is a literal: an array of small maps,
-indexed by the length and a hash of a piece, since Spark looks a key up in a map by scanning it. Bytes are written as
-two hexadecimal digits inside the fold. Decoding concatenates the pieces' bytes.
+that is frequent in the corpus, and over those of a document's other words in place. The rank map is a literal: for a pair of ids, a slot of
+a few pairs with the rank of what they join to. A word under the fold is an array of longs, one a piece, that hold the rank
+of the piece joined with the next, where the piece starts, and its id, so the least one is the merge to make. Decoding concatenates
+the pieces' bytes.
 """
 
 from __future__ import annotations
 
 import base64
 import json
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -22,8 +22,10 @@ from pyspark.sql import functions as F
 from tradewright.llm.common import cut, utf8
 from tradewright.llm.token_counts import frequent
 
-SLOTS = 1 << 15
+SLOTS = 131_071  # a prime: pairs of ids spread evenly
 FOLDED = 200  # longest word, in bytes, that the fold takes; its work grows with the square of the length
+ID_BITS, PLACE_BITS = 24, 16  # of a piece's id and its start in the word; the rank is above both
+NONE = (1 << 23) - 1  # the rank of a pair that nothing joins; every rank is smaller
 
 
 def ranks_of(path: str) -> dict[bytes, int]:
@@ -32,12 +34,20 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """array<map<string,int>>: the hexadecimal pieces in slot crc32(piece) % SLOTS."""
-    slots: list[dict[str, int]] = [{} for _ in range(SLOTS)]
+    """array<array<long>>: in slot key % SLOTS NONE and then each pair's key and rank, one after the other; NULL for no pair.
+
+    The key of pieces a and b is (a + 1) * 2 ** ID_BITS + b, so no key is a rank.
+    """
+    if max(ranks.values()) >= NONE:
+        raise ValueError("ranks are too large")
+    slots: list[list[int] | None] = [None] * SLOTS
     for piece, rank in ranks.items():
-        text = piece.hex()
-        slots[zlib.crc32(text.encode()) % SLOTS][text] = rank
-    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,int>>")
+        for k in range(1, len(piece)):
+            first, second = ranks.get(piece[:k]), ranks.get(piece[k:])
+            if first is not None and second is not None:
+                key = (first + 1 << ID_BITS) + second
+                slots[key % SLOTS] = [*(slots[key % SLOTS] or [NONE]), key, rank]
+    return F.from_json(F.lit(json.dumps(slots)), "array<array<bigint>>")
 
 
 def let(value: Column, body) -> Column:
@@ -45,37 +55,52 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def fold(word: Column, ranks: Column, longest: int) -> Column:
-    """Token ids of a word (binary): its bytes are merged pair by pair, always the pair of lowest rank that comes first."""
-    none = F.lit(2**31 - 1)
+def long(value: int) -> Column:
+    return F.lit(value).cast("long")
 
-    def rank(piece: Column) -> Column:
-        slot = F.element_at(ranks, (F.crc32(piece.cast("binary")) % SLOTS + 1).cast("int"))
-        return F.when(F.length(piece) <= 2 * longest, F.coalesce(F.element_at(slot, piece), none)).otherwise(none)
 
-    digits = F.lower(F.hex(word))
+def fold(word: Column, pairs: Column, bytes_ids: Column) -> Column:
+    """Token ids of a word (binary): its bytes are merged pair by pair, always the pair of lowest rank that comes first.
+
+    `pairs` is a rank_literal, `bytes_ids` an array of the ids of the 256 bytes. A piece of no rank stands at either end.
+    """
+    own, place, rank_at = long((1 << ID_BITS) - 1), long((1 << PLACE_BITS) - 1 << ID_BITS), ID_BITS + PLACE_BITS
     n = F.octet_length(word)
-    pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(digits, i * 2 + 1, F.lit(2)))
-    pairs = F.when(n < 2, F.array().cast("array<int>")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda i: rank(F.substring(digits, i * 2 + 1, F.lit(4)))))
+
+    def rank(first: Column, second: Column) -> Column:
+        def found(key: Column) -> Column:
+            slot = F.get(pairs, (key % SLOTS).cast("int"))
+            return let(slot, lambda s: F.coalesce(F.get(s, F.array_position(s, key).cast("int")), long(NONE)))
+
+        return let(F.shiftleft(first + 1, ID_BITS) + second, found)
+
+    def pieces(ids: Column) -> Column:
+        def piece(own_id: Column, k: Column) -> Column:
+            joined = F.when((k > 0) & (k < n), rank(own_id, F.get(ids, k + 1))).otherwise(long(NONE))
+            return F.shiftleft(joined, rank_at).bitwiseOR(F.shiftleft(k.cast("long"), ID_BITS)).bitwiseOR(own_id)
+
+        return F.transform(ids, piece)
 
     def step(state: Column, _: Column) -> Column:
-        return let(F.array_min(state["r"]), lambda low: F.when(F.coalesce(low, none) >= none, state).otherwise(
-            let(F.array_position(state["r"], low).cast("int"), lambda i: merged(state["p"], state["r"], i))))
+        def merge(low: Column) -> Column:
+            at = F.array_position(state, low).cast("int")
+            return F.when(low >= long(NONE << rank_at), state).otherwise(let(at, lambda i: merged(state, low, F.shiftright(low, rank_at), i)))
 
-    def merged(p: Column, r: Column, i: Column) -> Column:
-        """The pieces after joining the i-th and the next, and the ranks of neighbouring pieces."""
-        def around(joined: Column) -> Column:
-            beside = F.transform(F.array(F.concat(F.get(p, i - 2), joined), F.concat(joined, F.get(p, i + 1))), rank)
-            return F.struct(
-                F.concat(F.slice(p, F.lit(1), i - 1), F.array(joined), F.slice(p, i + 2, F.size(p))).alias("p"),
-                let(beside, lambda b: F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), F.slice(b, F.lit(1), (i > 1).cast("int")),
-                                               F.slice(b, F.lit(2), (i < F.size(r)).cast("int")), F.slice(r, i + 2, F.size(r)))).alias("r"))
+        return let(F.array_min(state), merge)
 
-        return let(F.concat(F.element_at(p, i), F.element_at(p, i + 1)), around)
+    def merged(state: Column, low: Column, joined: Column, i: Column) -> Column:
+        """The i-th piece becomes `joined`, the next goes, and the ranks on both sides follow."""
+        before, after = F.get(state, i - 2), F.get(state, i + 1).bitwiseAND(own)
+        left = F.shiftleft(rank(before.bitwiseAND(own), joined), rank_at).bitwiseOR(before.bitwiseAND(place.bitwiseOR(own)))
+        right = F.shiftleft(rank(joined, after), rank_at).bitwiseOR(low.bitwiseAND(place)).bitwiseOR(joined)
+        return F.concat(F.slice(state, F.lit(1), i - 2), F.array(left, right), F.slice(state, i + 2, F.lit(1 << PLACE_BITS)))
 
-    start = F.struct(pieces.alias("p"), pairs.alias("r"))
-    return F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(s["p"], rank))
+    characters = F.decode(word, "ISO-8859-1")  # one per byte
+    ids = let(characters, lambda c: F.transform(F.sequence(F.lit(1), n), lambda k: F.get(bytes_ids, F.ascii(F.substring(c, k, F.lit(1))))))
+    edge = F.array(long(NONE))
+    start = let(F.concat(edge, ids, edge), pieces)
+    folded = F.aggregate(F.sequence(F.lit(1), n), start, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(own).cast("int")))
+    return F.when(n > 0, folded).otherwise(F.array().cast("array<int>"))
 
 
 class Splitter:
@@ -131,9 +156,9 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
     """
     spark = docs.sparkSession
     ranks = ranks_of(rank_file)
-    literal, longest = rank_literal(ranks), max(map(len, ranks))
+    pairs, bytes_ids = rank_literal(ranks), F.array(*(long(ranks[bytes([b])]) for b in range(256)))
     words = frequent(cut(word_counts(docs, pattern)), broadcast_words)
-    known = words.select("word", fold(F.col("word").cast("binary"), literal, longest).alias("ids")).toArrow()
+    known = words.select("word", let(pairs, lambda p: fold(F.col("word").cast("binary"), p, bytes_ids)).alias("ids")).toArrow()
     ids = known.column("ids").combine_chunks()
     table = spark.sparkContext.broadcast((known.column("word").combine_chunks(), ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)))
 
@@ -166,7 +191,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
         data, ends = flat.tobytes(), offsets.tolist()
         place = {w: data[4 * a:4 * b] for w, a, b in zip(names.to_pylist(), ends, ends[1:])}
         library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        long: dict[str, bytes] = {}
+        library_ids: dict[str, bytes] = {}
 
         def one(text: str) -> tuple[bytes, list[str]]:
             found, rare, out = split(text), {}, []
@@ -174,10 +199,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
                 hit = place.get(w)
                 if hit is None:
                     if len(w) * 4 > FOLDED and len(w.encode()) > FOLDED:
-                        hit = long.get(w)
+                        hit = library_ids.get(w)
                         if hit is None:
-                            long.clear()
-                            hit = long[w] = np.array(library.encode_ordinary(w), np.int32).tobytes()
+                            library_ids.clear()
+                            hit = library_ids[w] = np.array(library.encode_ordinary(w), np.int32).tobytes()
                     else:
                         hit = (-1 - rare.setdefault(w, len(rare))).to_bytes(4, "little", signed=True)
                 out.append(hit)
@@ -196,7 +221,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
     packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole"))
     whole = packed.schema["whole"].dataType.simpleString()
     known_runs = packed.mapInArrow(split_documents, f"whole {whole}, runs array<array<int>>, places array<int>, rare array<string>")
-    rare_ids = F.transform("rare", lambda w: fold(w.cast("binary"), literal, longest))
+    rare_ids = let(pairs, lambda p: F.transform("rare", lambda w: fold(w.cast("binary"), p, bytes_ids)))
     filled = let(rare_ids, lambda rare: F.transform("runs", lambda run, i: F.when(i < F.size("places"), F.concat(run, F.get(rare, F.get("places", i)))).otherwise(run)))
     return known_runs.select("whole.*", F.flatten(filled).alias("ids"))
 
