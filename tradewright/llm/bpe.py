@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import cut, utf8
+from tradewright.llm.common import cut, sweep, utf8
 from tradewright.llm.token_counts import frequent
 
 SLOTS = 131_071  # a prime: pairs of ids spread evenly
@@ -158,9 +158,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
     ranks = ranks_of(rank_file)
     pairs, bytes_ids = rank_literal(ranks), F.array(*(long(ranks[bytes([b])]) for b in range(256)))
     words = frequent(cut(word_counts(docs, pattern)), broadcast_words)
+    sweep(spark)
     known = words.select("word", let(pairs, lambda p: fold(F.col("word").cast("binary"), p, bytes_ids)).alias("ids")).toArrow()
     ids = known.column("ids").combine_chunks()
     table = spark.sparkContext.broadcast((known.column("word").combine_chunks(), ids.offsets.to_numpy(), ids.flatten().to_numpy().astype(np.int32)))
+    del known, ids
+    sweep(spark)
 
     def segments(made: list[tuple[bytes, list[str]]]) -> list[pa.Array]:
         """The runs of known ids between a document's rare words, the rare words' places in its list of them, and that list."""

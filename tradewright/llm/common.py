@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -79,8 +80,15 @@ SALTS = 64
 
 
 def sweep(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are written: its cleaner works on what the driver's JVM has collected."""
+    """Lets Spark delete the shuffle files of jobs whose results are written: its cleaner works on what the driver's JVM has collected.
+
+    Memory that the driver's Python has freed goes back to the system too, where the C library can do that.
+    """
     gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
     spark.sparkContext._jvm.System.gc()
 
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import held_out, labelled_sample, per_row
+from tradewright.llm.common import held_out, labelled_sample, per_row, sweep
 
 BITS = 22
 WORD = re.compile(r"\w+")
@@ -90,7 +90,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000):
     rows = labelled_sample(docs, labels, "toxic", sample).select("text", "y").toArrow()
     hasher = Hasher()
     features = [np.unique(hasher(t)).astype(np.int32) for t in rows.column("text").to_pylist()]
-    return train(features, rows.column("y").to_numpy())
+    model = train(features, rows.column("y").to_numpy())
+    del rows, hasher, features
+    sweep(docs.sparkSession)
+    return model
 
 
 def scorer(buckets: np.ndarray, weights: np.ndarray, bias: float):
