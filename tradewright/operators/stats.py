@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.operators.ordering import (
@@ -106,19 +106,48 @@ def mean_permutation_p(df: DataFrame, value: str, label: str, n_iter: int = 20_0
                        ident: str = "position_key") -> DataFrame:
     """Two-sided permutation p of the difference of means between label true and false."""
     base = cut(numbered(df.select(ident, value, label), ident))
-    observed = base.agg(
+    observed = cut(base.agg(
         F.count(F.when(F.col(label), 1)).alias("n_a"), F.count(F.lit(1)).alias("n"),
-        F.avg(F.when(F.col(label), F.col(value))).alias("mean_a"), F.avg(F.when(~F.col(label), F.col(value))).alias("mean_b"))
-    placed = _shuffled(base.select("slot", value), n_iter, seed).join(F.broadcast(observed.select("n_a", "mean_a", "mean_b")))
-    in_a = F.col("place") < F.col("n_a")
-    gap = F.abs(F.avg(F.when(in_a, F.col(value))) - F.avg(F.when(~in_a, F.col(value))))
-    sims = placed.groupBy("step", "mean_a", "mean_b").agg(gap.alias("gap"))
-    hits = sims.agg(F.count(F.when(F.col("gap") >= F.abs(F.col("mean_a") - F.col("mean_b")) - 1e-15, 1)).alias("hits"))
+        F.avg(F.when(F.col(label), F.col(value))).alias("mean_a"), F.avg(F.when(~F.col(label), F.col(value))).alias("mean_b")))
+    sims = _split_sums(base.select("slot", F.col(value).alias("v")), observed.select("n_a", "n"), n_iter, seed).select(
+        F.abs(F.try_divide("sum_a", "in_a") - F.try_divide("sum_b", "in_b")).alias("gap"))
+    hits = sims.join(F.broadcast(observed)).agg(
+        F.count(F.when(F.col("gap") >= F.abs(F.col("mean_a") - F.col("mean_b")) - 1e-15, 1)).alias("hits"))
     return observed.crossJoin(hits).select(  # two one-row tables
         "n_a", (F.col("n") - F.col("n_a")).alias("n_b"), "mean_a", "mean_b",
         ((F.col("hits") + 1) / F.lit(float(n_iter + 1))).alias("p"))
 
 
+def _split_sums(df: DataFrame, sizes: DataFrame, n_iter: int, seed: int) -> DataFrame:
+    """Per iteration: sum and count of `v` over the `n_a` rows with the smallest draws (sum_a, in_a) and over the others (sum_b, in_b).
+
+    Draws are summed per iteration and chunk of draws where they are made; chunks are narrow around the expected n_a-th draw.
+    Only the rows of the chunk that holds the n_a-th draw are put in order.
+    """
+    n, n_a = F.greatest(F.col("n"), F.lit(1)).cast("double"), F.col("n_a")
+    width = F.greatest(F.sqrt(n_a * (n - n_a) / n) * (1.5 * MODULUS) / n, F.lit(1.0))
+    spread = df.repartition(df.sparkSession.sparkContext.defaultParallelism).join(F.broadcast(  # one row
+        sizes.select((n_a * float(MODULUS) / n).alias("_middle"), width.alias("_width"))))
+    chunk = F.floor((F.col("draw") - F.col("_middle")) / F.col("_width"))
+    drawn = _repeated(spread, n_iter, seed).select(
+        "slot", "v", "draw", (F.col("step") * 16 + F.greatest(F.least(chunk, F.lit(5)), F.lit(-5)) + 8).alias("_key"))
+    step = F.floor(F.col("_key") / 16).alias("step")
+    before = Window.partitionBy("step").orderBy("_key").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = cut(
+        drawn.groupBy("_key").agg(F.count(F.lit(1)).alias("_rows"), F.sum("v").alias("s"), F.count("v").alias("m"))
+        .select(step, "*").withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
+        .join(F.broadcast(sizes.select("n_a"))).withColumn("_left", n_a - F.col("_before")))
+    mixed = (F.col("_left") > 0) & (F.col("_left") < F.col("_rows"))
+    ordered = Window.partitionBy("_key").orderBy("draw", "slot")
+    edges = drawn.join(F.broadcast(chunks.filter(mixed).select("_key", "_left")), "_key").select(  # at most one row per iteration
+        step, (F.row_number().over(ordered) <= F.col("_left")).alias("a"), F.col("v").alias("s"),
+        F.when(F.col("v").isNotNull(), 1).otherwise(0).cast("long").alias("m"))
+    parts = chunks.filter(~mixed).select("step", (F.col("_left") > 0).alias("a"), "s", "m").unionByName(edges)
+    return parts.groupBy("step").agg(*[
+        F.sum(F.when(side, F.col(c))).alias(f"{out}_{name}")
+        for name, side in (("a", F.col("a")), ("b", ~F.col("a"))) for c, out in (("s", "sum"), ("m", "in"))])
+
+
 def mann_whitney_cells(df: DataFrame, keys: list[str], cell: str, value: str, floor: int = 20) -> DataFrame:
     """z of every cell against the rest of its group, from one ranking per group."""
     counts = df.groupBy(*keys, value, cell).agg(F.count(F.lit(1)).alias("_cc"))

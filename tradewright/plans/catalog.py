@@ -25,7 +25,6 @@ from tradewright.plans.analysis import Analysis, analyse
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_CELL = 20
-N_PERM, N_BOOT = 500, 200
 
 
 def rounded(df: DataFrame, digits: int = 6, **special: int) -> DataFrame:
@@ -506,14 +505,14 @@ QUERIES: dict[str, Query] = {
     "t7_monthly_screen": lambda s, p: rounded(sc.monthly_screen(_valid(s, p)).drop(*SCOPE), 4),
     "m2_style_correlations": correlations, "m5_mann_whitney": mann_whitney, "m9_ols_slope": slopes, "m14_detectable_rho": detectable,
     "m10_composite_ranking": lambda s, p: rounded(sd.composite_ranking(_positions(s, p)), 4),
-    "e1_persistence": lambda s, p: rounded(sd.persistence(_positions(s, p), "own", 10, "pr", N_PERM, N_BOOT)),
+    "e1_persistence": lambda s, p: rounded(sd.persistence(_positions(s, p))),
     "e1_persistence_ordinal": lambda s, p: rounded(sd.persistence_ordinal(_positions(s, p))),
     "e1_persistence_thirds": lambda s, p: rounded(sd.persistence_thirds(_positions(s, p))),
     "e2_pooled_rho": pooled,
-    "e2_pooled_persistence": lambda s, p: rounded(sd.pooled_persistence(_positions(s, p), N_PERM, N_BOOT)),
+    "e2_pooled_persistence": lambda s, p: rounded(sd.pooled_persistence(_positions(s, p))),
     "e4_regime_adaptation": lambda s, p: rounded(sd.regime_adaptation(_trades(s, p), _candles(s, p))),
     "e8_rule_overlay": lambda s, p: rounded(sd.rule_overlay(_rule_rows(s, p))),
-    "e8_rule_significance": lambda s, p: rounded(sd.rule_significance(_rule_rows(s, p), N_PERM)),
+    "e8_rule_significance": lambda s, p: rounded(sd.rule_significance(_rule_rows(s, p))),
     "e9_signal_event_study": lambda s, p: rounded(sd.signal_event_study(_signals(s, p)), 4),
     "e9_signal_by_year": lambda s, p: rounded(sd.signal_by_year(_signals(s, p), _candles(s, p)), 4),
     "e10_random_entry_baseline": lambda s, p: rounded(sd.random_entry_baseline(_candles(s, p), _signals(s, p)), 4),
