@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewright.llm import ann, bpe, mixing, quality, simhash, suffix_dedup, token_counts, topk, toxicity, warc
+from tradewright.llm import ann, bpe, conversations, mixing, quality, simhash, suffix_dedup, token_counts, topk, toxicity, warc
 from tradewright.llm.common import table
 
 
@@ -49,7 +49,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_warc, op4_exact_top_k, op5_token_counts, op6_suffix_array_dedup, op7_simhash, op8_nearest_neighbours, op9_toxicity, op10_mixing)}
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_warc, op4_exact_top_k, op5_token_counts, op6_suffix_array_dedup, op7_simhash, op8_nearest_neighbours, op9_toxicity, op10_mixing, op13_conversation_repair)}
 
 OP3 = """
 with p as (select page_id, sha1(coalesce(html, '')) payload_digest, octet_length(encode(coalesce(html, '')))::bigint payload_bytes from pages),
