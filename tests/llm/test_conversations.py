@@ -4,12 +4,14 @@ import functools
 import hashlib
 import random
 import re
+import sys
 import zlib
 
 import pytest
 
 from tradewright.llm import conversations
 
+sys.setrecursionlimit(20_000)  # search() goes one level deeper with each row
 SCHEMA = "conv_id long, turn long, role string, text string, conv string, block long, copy int, audit string"
 
 
