@@ -110,17 +110,17 @@ def _mixing_sql(shards: int = 16, blocks: int = 4096, seed: int = 10) -> str:
 def _secrets_sql() -> str:
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     found = " union all ".join(
-        f"""select rid, {i} at, '{r.kind}' kind, unnest(range(1, len(h) + 1)) i, unnest(list_transform(h, lambda x: length(x))) len, unnest(list_transform(s[:len(h)], lambda x: length(x))) gap,
+        f"""select rid, {i} as nr, '{r.kind}' kind, unnest(range(1, len(h) + 1)) i, unnest(list_transform(h, lambda x: length(x))) len, unnest(list_transform(s[:len(h)], lambda x: length(x))) gap,
         unnest(list_transform(g, lambda x: length(x))) measured, {r.least} least from (select rid, regexp_extract_all(t, {quoted(r.pattern)}) h,
         regexp_split_to_array(t, {quoted(r.pattern)}) s, regexp_extract_all(t, {quoted(r.pattern)}, {r.measured}) g from d)""" for i, r in enumerate(secrets.RULES))
     n = len(secrets.BASE)
-    counts = ", ".join(f"count(*) filter (kind = '{r.kind}') n_{r.kind}" for r in secrets.BASE)
+    counts = ", ".join(f"count(*) filter (where kind = '{r.kind}') n_{r.kind}" for r in secrets.BASE)
     return f"""
     with d as (select row_number() over () rid, doc_id, coalesce(text, '') t from documents),
     m as ({found}),
-    p as (select *, (sum(gap + len) over (partition by rid, at order by i))::bigint stop from m),
-    f as (select rid, at, kind, stop - len start, kind || ':' || (stop - len) || ':' || stop span from p where measured >= least),
-    a as (select rid, {counts}, coalesce(string_agg(span, ',' order by start, at) filter (at < {n}), '') base, string_agg(span, ',' order by start, at) spans from f group by rid)
+    p as (select *, (sum(gap + len) over (partition by rid, nr order by i))::bigint stop from m),
+    f as (select rid, nr, kind, stop - len as first, kind || ':' || (stop - len) || ':' || stop span from p where measured >= least),
+    a as (select rid, {counts}, coalesce(string_agg(span, ',' order by first, nr) filter (where nr < {n}), '') base, string_agg(span, ',' order by first, nr) spans from f group by rid)
     select doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) n_{r.kind}" for r in secrets.BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
     from d left join a using (rid)"""
 
