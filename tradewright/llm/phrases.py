@@ -106,14 +106,15 @@ def route_keys(hashes: np.ndarray, lang: bytes) -> np.ndarray:
 
 def suffixes(codes: np.ndarray, upto: int | None = None) -> np.ndarray:
     """A row of DEPTH codes for each word (of codes[:upto]), STOP from the end of its piece on."""
-    padded = np.concatenate([codes, np.full(DEPTH - 1, STOP)])
-    rows = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[:upto][codes[:upto] != STOP].copy()
+    padded = np.concatenate([codes, np.full(DEPTH, STOP)])
+    rows = np.lib.stride_tricks.sliding_window_view(padded, DEPTH)[:len(codes)][:upto][codes[:upto] != STOP].copy()
     for d in range(1, DEPTH):
         rows[rows[:, d - 1] == STOP, d] = STOP
     return rows
 
 
-LANG = F.coalesce(F.col("lang").cast("string"), F.lit("und"))
+def texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
 
 def worker_rows(columns: list, names: list[str], types: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
@@ -146,7 +147,7 @@ def survey(docs: DataFrame, seed: int) -> DataFrame:
                     yield rows()
         yield rows()
 
-    found = docs.select(LANG.alias("lang"), "text").mapInArrow(run, SURVEY)
+    found = texts(docs).mapInArrow(run, SURVEY)
     return cut(found.groupBy("lang", "word", "sampled", "hash").agg(F.sum("n").alias("n")))
 
 
@@ -232,7 +233,9 @@ def routed(docs: DataFrame, book, seed: int, edges: np.ndarray) -> DataFrame:
             for lang, arrays in list(held.items()):
                 line = np.concatenate(arrays)
                 open_end = lang == unfinished
-                held[lang] = [line[1 - DEPTH:]] if open_end else []
+                del held[lang]
+                if open_end:
+                    held[lang].append(line[1 - DEPTH:])
                 rows = suffixes(line, 1 - DEPTH if open_end else None)
                 if not len(rows):
                     continue
@@ -259,7 +262,7 @@ def routed(docs: DataFrame, book, seed: int, edges: np.ndarray) -> DataFrame:
                 held[lang].append(np.array([STOP]))
         yield flush(None)
 
-    return docs.select(LANG.alias("lang"), "text").mapInArrow(run, "part int, lang string, block binary")
+    return texts(docs).mapInArrow(run, "part int, lang string, block binary")
 
 
 def frequent_prefixes(columns: np.ndarray, counts: np.ndarray, keys: np.ndarray, floor: int, low: int, high: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -290,7 +293,8 @@ def frequent_prefixes(columns: np.ndarray, counts: np.ndarray, keys: np.ndarray,
             stays = ((totals >= floor) | cut_off[d][pointers[starts]]) & (word[starts] != STOP)
             equal = [(pointers[a:b], int(n)) for a, b, n in zip(starts[stays], ends[stays], totals[stays])]
         else:
-            pivot = np.sort(word[:: max(1, len(word) // 9)])[4]
+            some = np.sort(word[:: max(1, len(word) // 9)])
+            pivot = some[len(some) // 2]
             for side in (word < pivot, word > pivot):
                 part = pointers[side]
                 if len(part) and (counts[part].sum() >= floor or cut_off[d][part].any()):

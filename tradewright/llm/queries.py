@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewright.llm import ann, bpe, conversations, mixing, quality, secrets, simhash, suffix_dedup, token_counts, topk, toxicity, warc
+from tradewright.llm import ann, bpe, conversations, mixing, phrases, quality, secrets, simhash, suffix_dedup, token_counts, topk, toxicity, warc
 from tradewright.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("copies")
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.report(table(spark, sf_dir, "documents"))
+
+
 def op12_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
@@ -57,7 +61,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.audit(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_warc, op4_exact_top_k, op5_token_counts, op6_suffix_array_dedup, op7_simhash, op8_nearest_neighbours, op9_toxicity, op10_mixing, op12_secret_scans, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_byte_bpe, op3_warc, op4_exact_top_k, op5_token_counts, op6_suffix_array_dedup, op7_simhash, op8_nearest_neighbours, op9_toxicity, op10_mixing, op11_phrases, op12_secret_scans, op13_conversation_repair)}
 
 OP3 = """
 with p as (select page_id, sha1(coalesce(html, '')) payload_digest, octet_length(encode(coalesce(html, '')))::bigint payload_bytes from pages),
@@ -125,4 +129,24 @@ def _secrets_sql() -> str:
     from d left join a using (rid)"""
 
 
-SQL = {"op3_warc": OP3, "op4_exact_top_k": OP4, "op10_mixing": _mixing_sql(), "op12_secret_scans": _secrets_sql()}
+OP11 = r"""
+with p as (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[.,;:!?\x0A-\x0D]')) piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') ws from p),
+s as (select lang, sum(len(ws))::bigint n from w group by lang),
+g as (select lang, ws, unnest(range(1, len(ws) + 1)) i from w),
+f as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') phrase, count(*)::hugeint a from g, (select unnest([1, 2, 3, 4]) k) where i + k - 1 <= len(ws) group by all having count(*) >= 30),
+c as (select lang, k, phrase, a, string_split(phrase, ' ') ws from f where k > 1),
+x as (select lang, phrase, ws, a, unnest(range(1, k)) cutting, k from c),
+y as (select x.lang, x.phrase, x.a, x.cutting, l.a l, r.a r, 2000000 * x.a // (l.a + r.a) score from x join f l on l.lang = x.lang and l.phrase = array_to_string(ws[1:cutting], ' ')
+    join f r on r.lang = x.lang and r.phrase = array_to_string(ws[cutting + 1:x.k], ' ')),
+z as (select lang, phrase, a, min({'score': score, 'cutting': cutting, 'l': l, 'r': r}) m from y group by all),
+h as (select lang, a, k, ws, unnest(range(1, k + 1)) i from c where k > 2),
+e as (select lang, array_to_string(ws[i:i + size - 1], ' ') phrase, max(a) longer from h, (select unnest([2, 3]) size) where size < k and i + size - 1 <= k group by all),
+v as (select z.* from z left join e using (lang, phrase) where longer is null or 100 * longer < 80 * a),
+o as (select *, row_number() over (partition by lang order by m.score desc, a desc, phrase) pos from v)
+select lang, pos::bigint rank, phrase, a::bigint a, m.l::bigint l, m.r::bigint r, n, m.score::bigint score from o join s using (lang) where pos <= 2000
+"""
+
+
+SQL = {"op3_warc": OP3, "op4_exact_top_k": OP4, "op10_mixing": _mixing_sql(), "op11_phrases": OP11, "op12_secret_scans": _secrets_sql()}
