@@ -257,7 +257,7 @@ SELECT symbol, count(*) AS n_traders FROM (SELECT *, row_number() OVER (PARTITIO
     "r2_trend": CHAIN_R + f"SELECT trader_id, snapshot_date, {EX}, prev_date, {r('trend_bonus')} AS trend_bonus, array_to_string(flags, ',') AS flags FROM trn",
     "r3_new_disqualified": CHAIN_R + f"""SELECT p.trader_id, p.snapshot_date, {EX}, p.nick, array_to_string(s.bad, ',') AS bad_flags
   FROM prv p JOIN sco s USING (snapshot_date, trader_id) WHERE len(s.bad) > 0""",
-    "r5_tiers": CHAIN_R + f"SELECT trader_id, snapshot_date, {EX}, {r('score')} AS score, tier, {r('weight')} AS weight FROM tie",
+    "r5_tiers": CHAIN_R.replace("\nal AS (", "\nal AS MATERIALIZED (").replace("\nsco AS (", "\nsco AS MATERIALIZED (") + f"SELECT trader_id, snapshot_date, {EX}, {r('score')} AS score, tier, {r('weight')} AS weight FROM tie",
     "r6_unallocated": CHAIN_R + f"SELECT snapshot_date, {EX}, greatest(0, round(1 - sum(weight), 2)) AS unallocated FROM ros GROUP BY ALL",
     "r8_removed": CHAIN_R + f"""SELECT p.trader_id, p.snapshot_date, {EX}, p.nick, CASE WHEN len(t.bad) > 0 THEN array_to_string(t.bad, ', ')
   WHEN t.bad IS NOT NULL THEN 'out of the top-5 by score' ELSE 'out of the universe' END AS reason
@@ -630,15 +630,15 @@ g{tag} AS (SELECT n, {r('rho')} AS rho, {r(f'((SELECT count(*) FROM s{tag} WHERE
 
 
 SQL["e1_persistence"] = _with(POS, V, OWN.format(t="opened_ms"), halves_sql("oh", "pr", 10), *[
-    resample_sql(m, f"{m}1", f"{m}2", "hw", 500, 200) for m in ("wr", "payoff", "exp")]) + " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM g{m}" for m in ("wr", "payoff", "exp"))
+    resample_sql(m, f"{m}1", f"{m}2", "hw", 10_000, 2_000) for m in ("wr", "payoff", "exp")]) + " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM g{m}" for m in ("wr", "payoff", "exp"))
 SQL["e2_pooled_persistence"] = _with(POS, NET, calendar("nt", "nh"), *DEMEAN, halves_sql("nh", "net", 30, False).replace("hp ", "hpr ").replace("hw ", "hwr "),
-                                     halves_sql("dm", "net_dm", 30, False), resample_sql("raw", "exp1", "exp2", "hwr", 500, 200), resample_sql("dem", "exp1", "exp2", "hw", 500, 200)) \
+                                     halves_sql("dm", "net_dm", 30, False), resample_sql("raw", "exp1", "exp2", "hwr", 10_000, 2_000), resample_sql("dem", "exp1", "exp2", "hw", 10_000, 2_000)) \
     + "SELECT *, 'raw' AS control FROM graw UNION ALL SELECT *, 'demeaned' AS control FROM gdem"
 SQL["e8_rule_significance"] = _with(*RUL, "b AS (SELECT row_number() OVER (ORDER BY CAST(position_key AS VARCHAR)) - 1 AS slot, st AS v, r1 AND leverage <= 25 AND dur_h >= 1 AS pk FROM rul WHERE half = 1)",
     "o AS (SELECT count(*) FILTER (WHERE pk) AS n_a, count(*) FILTER (WHERE NOT pk) AS n_b, avg(v) FILTER (WHERE pk) AS ma, avg(v) FILTER (WHERE NOT pk) AS mb FROM b)",
-    f"pl AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY {mix_sql('step', 'slot', 11)}, slot) - 1 AS place FROM b, range(1, 501) s(step))",
+    f"pl AS (SELECT step, v, row_number() OVER (PARTITION BY step ORDER BY {mix_sql('step', 'slot', 11)}, slot) - 1 AS place FROM b, range(1, 20001) s(step))",
     "sm AS (SELECT step, abs(avg(v) FILTER (WHERE place < n_a) - avg(v) FILTER (WHERE place >= n_a)) AS gap FROM pl, o GROUP BY step)") + f"""
-SELECT n_a, n_b, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('((SELECT count(*) FROM sm WHERE gap >= abs(ma - mb) - 1e-15) + 1) / 501e0')} AS p FROM o"""
+SELECT n_a, n_b, {r('ma')} AS mean_a, {r('mb')} AS mean_b, {r('((SELECT count(*) FROM sm WHERE gap >= abs(ma - mb) - 1e-15) + 1) / 20001e0')} AS p FROM o"""
 _pf = f"per AS (SELECT trader_id, {share('pr > 0')} AS wr, {payoff('pr')} AS payoff, avg(pr) AS exp FROM v GROUP BY ALL HAVING count(*) >= 20 AND {payoff('pr')} IS NOT NULL)"
 SQL["m2_style_correlations"] = _with(POS, V, _pf, "k AS (SELECT *, " + ", ".join(f"row_number() OVER (ORDER BY {x}, trader_id) AS k_{x}" for x in ("wr", "payoff", "exp")) + " FROM per)") + "SELECT count(*) AS n, " + ", ".join(
     f"{r(f'coalesce(corr({a}, {b}), 0)')} AS pearson_{a}_{b}, {r(f'coalesce(corr(k_{a}, k_{b}), 0)')} AS spearman_{a}_{b}" for a, b in (("wr", "payoff"), ("wr", "exp"), ("payoff", "exp"))) + " FROM k"
