@@ -42,9 +42,9 @@ class Analysis:
 
 def analyse(positions: DataFrame, snapshot: DataFrame, open_positions: DataFrame | None = None, min_cell: int = 20,
             detect_config: DetectConfig = DetectConfig(), rank_config: RankConfig = RankConfig()) -> Analysis:
-    """The benchmark, the flagged metrics and the roster are stage tables; everything after them is per trader."""
+    """The benchmark, the metrics, the flagged metrics and the roster are stage tables; everything after them is per trader."""
     summary = cut(snapshot_summary(positions))
-    metrics = trader_metrics(positions, min_cell, snapshot, detect_config)
+    metrics = cut(trader_metrics(positions, min_cell, snapshot, detect_config))
     detected = cut(detect(metrics, snapshot, positions, open_positions, detect_config))
     trended = trend.trend(detected, summary)
     candidates = rank.scored(trended, rank_config)

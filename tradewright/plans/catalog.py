@@ -18,6 +18,7 @@ from tradewright.operators import screens as sc
 from tradewright.operators import stats as st
 from tradewright.operators.alpha import cell_benchmark, cell_table, leave_self_out, with_alpha
 from tradewright.operators.ordering import group_quantiles, index_quantile, median, slot_quantile
+from tradewright.plans import ingest as ig
 from tradewright.plans import raw_lines as rl
 from tradewright.plans import studies as sd
 from tradewright.plans import testbed as tb
@@ -52,6 +53,7 @@ def _alpha_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ANALYSES: dict[tuple, Analysis] = {}
+_STORES: dict[tuple, str] = {}
 
 
 def _analysis(spark: SparkSession, sf: str, min_cell: int = MIN_CELL) -> Analysis:
@@ -66,6 +68,7 @@ def _analysis(spark: SparkSession, sf: str, min_cell: int = MIN_CELL) -> Analysi
 
 def forget() -> None:
     _ANALYSES.clear()
+    _STORES.clear()
     tb.forget_stages()
 
 
@@ -414,6 +417,31 @@ def _signals(s, p):
     return tb.staged(s, p, signals)
 
 
+def _store(s, p) -> str:
+    key = (s.sparkContext.applicationId, p)
+    if key not in _STORES:
+        _STORES[key] = rl.ingested(s, p)
+    return _STORES[key]
+
+
+def ingested_sizes(s, p):
+    """What each table of the store holds when one exchange has delivered nothing for the older snapshot the second time."""
+    store = rl.ingested(s, p, vanish=True)
+    parts = [ig.stored(s, store, t).groupBy(*SCOPE).agg(F.count(F.lit(1)).alias("n")).withColumn("stored_table", F.lit(t)) for t in ig.TABLES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def ingested_traders(s, p):
+    _, traders = ig.load(s, _store(s, p))
+    return rounded(traders.select(*TRADER, "nick", "roi", "aum", "mdd", "start_time", "listed", "copier_pnl", "copier_count_total", "retired"), 4)
+
+
+def ingested_ranking(s, p):
+    """Raw lines of two exchanges to tiers: the ingest job and the analysis of what it has stored."""
+    tiers = analyse(*ig.load(s, _store(s, p)), None, MIN_CELL).tiered
+    return rounded(tiers.select(*TRADER, "n", "n_alpha", "alpha", "t_stat", F.array_join(F.array_sort("flags"), ",").alias("flags"), "score", "tier", "weight"))
+
+
 def copy_scale(s, p):
     minimum = tb.table(s, p, "part").groupBy(F.col("p_type").alias("symbol")).agg((F.max("p_size") * 1.0).alias("min_notional"))
     return rounded(sd.copy_scaling(_positions(s, p), tb.trader_snapshot(s, p), minimum).drop(*SCOPE), 3)
@@ -448,6 +476,7 @@ QUERIES: dict[str, Query] = {
     "s16_split_closed_open": rl.split_open, "s17_pivot_and_metric_text": lambda s, p: rounded(rl.metric_text(s, p)),
     "s19_unify_traders": lambda s, p: rl.unified(s, p), "s21_statuses": rl.statuses,
     "s22_detail": lambda s, p: rounded(rl.details(s, p).select("trader_id", "retired", "copier_pnl", "copier_count_total")),
+    "k2_ingest_sizes": ingested_sizes, "k2_ingest_traders": ingested_traders, "k2_ingest_ranking": ingested_ranking,
     "s24_assemble_records": rl.records, "s10_equity_points": lambda s, p: rounded(rl.equity_points(s, p)),
     "s11_latest_status": lambda s, p: rounded(rl.manifest(s, p), 2), "s12_candle_file": lambda s, p: rounded(rl.candle_file(s, p), 2),
     "s20_leaderboards": lambda s, p: rounded(rl.leaderboards(s, p), 2), "s23_recommend_list": lambda s, p: rounded(rl.recommended(s, p), 2),

@@ -741,3 +741,33 @@ SQL["s20_leaderboards"] = """SELECT CAST(o_custkey AS VARCHAR) AS trader_id, 'fi
   UNION ALL SELECT CAST(o_custkey AS VARCHAR), 'last', round(arg_max(o_totalprice, o_orderkey), 2) FROM orders GROUP BY ALL"""
 SQL["s23_recommend_list"] = """SELECT CAST(c_custkey AS VARCHAR) AS trader_id, c_name AS nick, round(c_acctbal, 2) AS pnl30, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) END AS mdd30,
   CAST(NULL AS DOUBLE) AS roi30, c_custkey % 2 = 0 AS show_position FROM customer"""
+
+
+# The ingest job: both exchanges have the same positions; one derives leverage and publishes neither listing nor details.
+ING_SUP = """sup AS (SELECT d.snapshot_date, CAST(s_suppkey AS VARCHAR) AS trader_id, s_name AS nick, s_acctbal / 1e1 AS roi, s_acctbal * 1e3 AS aum,
+  CAST((s_suppkey * 37) % 100 AS DOUBLE) AS mdd, s_suppkey % 5 <> 0 AS listed,
+  CASE WHEN s_suppkey % 6 <> 0 THEN s_suppkey % 50 END AS copier_count_total, CASE WHEN s_suppkey % 6 <> 0 THEN s_acctbal - 4e3 END AS copier_pnl,
+  CASE WHEN s_suppkey % 6 <> 0 THEN FALSE END AS retired,
+  CASE WHEN s_suppkey % 5 <> 0 AND s_suppkey % 9 <> 0 THEN 1009843200000 - (s_suppkey % 400) * 86400000 END AS start_time
+  FROM supplier, (VALUES ('2002-01-01'), ('2000-01-01')) d(snapshot_date))"""
+ING_NONE = ING_SUP.replace("s_acctbal / 1e1 AS roi, s_acctbal * 1e3 AS aum", "NULL::DOUBLE AS roi, NULL::DOUBLE AS aum").replace("FROM supplier,", "FROM supplier JOIN (SELECT 1 WHERE FALSE) ON TRUE,")
+PHEMEX2 = POS2.replace(", pos AS (", ", pos1 AS (SELECT * REPLACE ('u' || trader_id AS trader_id, notional / margin AS leverage) FROM pos0), pos AS (").replace("FROM pos0 WHERE ship", "FROM pos1 WHERE ship").replace(
+    "'binance', *", "'phemex', *").replace("'binance' AS exchange", "'phemex' AS exchange").replace("FROM pos0\n  UNION", "FROM pos1\n  UNION")
+
+
+def _ingested(positions: str, sup: str) -> str:
+    chain = _with(positions, V, sup, OPEN + "", alpha_ctes(), metrics_ctes(), detect_ctes(), rank_ctes()).replace("ship >= DATE '2001-01-01')", "FALSE)")
+    return chain.replace("\nal AS (", "\nal AS MATERIALIZED (").replace("\nsco AS (", "\nsco AS MATERIALIZED (")
+
+
+_RANKING = " UNION ALL ".join(f"""SELECT * FROM ({_ingested(positions, sup)} SELECT trader_id, snapshot_date, '{ex}' AS exchange, n, n_alpha, {r('alpha')} AS alpha,
+  {r('t_stat')} AS t_stat, array_to_string(flags, ',') AS flags, {r('score')} AS score, tier, {r('weight')} AS weight FROM tie)"""
+    for ex, positions, sup in (("binance", POS2, ING_SUP), ("phemex", PHEMEX2, ING_NONE)))
+SQL["k2_ingest_ranking"] = _RANKING
+SQL["k2_ingest_traders"] = _with(POS2, ING_SUP, "tr AS (SELECT DISTINCT snapshot_date, trader_id, nick FROM pos)") + f"""
+SELECT trader_id, snapshot_date, 'binance' AS exchange, tr.nick, {r('roi', 4)} AS roi, {r('aum', 4)} AS aum, mdd, start_time, listed, {r('copier_pnl', 4)} AS copier_pnl, copier_count_total, retired
+  FROM tr LEFT JOIN sup USING (snapshot_date, trader_id)
+UNION ALL SELECT 'u' || trader_id, snapshot_date, 'phemex', nick, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM tr"""
+SQL["k2_ingest_sizes"] = _with(POS2, "c AS (SELECT snapshot_date, exchange, count(*) AS p, count(DISTINCT trader_id) AS t FROM pos GROUP BY ALL)",
+    "b AS (SELECT * FROM c UNION ALL SELECT snapshot_date, 'phemex', p, t FROM c WHERE snapshot_date = '2002-01-01')") + """
+SELECT snapshot_date, exchange, unnest([p, t, 1]) AS n, unnest(['positions', 'trader_snapshot', 'snapshots']) AS stored_table FROM b"""

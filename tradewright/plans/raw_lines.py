@@ -5,13 +5,18 @@ Lines hold one position, or the few positions of one order and trader; no trader
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewright.operators import quality as ql
+from tradewright.plans import ingest as ig
 from tradewright.plans import testbed as tb
 from tradewright.sources import pages as pg
 from tradewright.sources import positions as ps
+from tradewright.session import stage_dir
+
 
 def _tie():
     return F.lit(0).cast("long")
@@ -211,3 +216,49 @@ def equity_points(s, p):
         F.array(F.struct(text("event_id").alias("beginTs"), text("value").alias("pnlRatio")),
                 F.struct(F.lit("x").alias("beginTs"), F.lit("1").alias("pnlRatio"))).alias("pnlRatios"))
     return pg.equity_points(series, "pnlRatios", "beginTs", "pnlRatio", 0.01).select("trader_id", "ts", "value")
+
+
+def deliver(s: SparkSession, p: str, date: str, folder: str, exchanges: tuple[str, ...] = ("binance", "phemex")) -> str:
+    """Writes what the exchanges delivered for a snapshot to its folder: the positions of its time as record lines, a listing and details of one."""
+    seen = F.lit(True) if date == tb.CURRENT else F.col("_ship") < F.lit(tb.PREVIOUS).cast("date")
+    sup = tb.table(s, p, "supplier").withColumn("k", F.col("s_suppkey"))
+    head = sup.select(text("s_suppkey").alias("trader_id"), (F.col("s_acctbal") / 10.0).alias("roi"), (F.col("s_acctbal") * 1000.0).alias("aum"),
+                      F.expr("cast((s_suppkey * 37) % 100 as double)").alias("mdd"))
+    rows = tb.raw_positions(s, p).filter(seen).withColumn("k", F.col("position_key")).withColumnRenamed("roi", "position_roi")
+    binance_item = F.struct(
+        "symbol", "side", text("leverage").alias("leverage"), "isolated", text("avg_cost").alias("avgCost"), text("avg_close").alias("avgClosePrice"),
+        text("pnl").alias("closingPnl"), text("position_roi").alias("roi"), text("max_oi").alias("maxOpenInterest"), text("closed_volume").alias("closedVolume"),
+        F.col("opened_ms").alias("opened"), F.col("closed_ms").alias("closed"))
+    phemex_item = F.struct(
+        text("position_key").alias("positionId"), "symbol", F.when(F.col("side") == "Long", "Buy").otherwise("Sell").alias("side"), F.col("side").alias("posSide"),
+        text("notional").alias("openPositionVal"), text("margin").alias("margin"), text("pnl").alias("realizedPnl"), text("avg_cost").alias("openPrice"),
+        text("avg_close").alias("closePrice"), F.col("opened_ms").alias("openedTime"), F.col("closed_ms").alias("updatedTime"))
+    listed = sup.filter("s_suppkey % 5 <> 0")
+    measured = sup.filter("s_suppkey % 6 <> 0")
+    listing = F.to_json(F.collect_list(F.struct(text("s_suppkey").alias("leadPortfolioId"), F.when(F.col("k") % 9 != 0, F.expr(
+        "1009843200000 - (s_suppkey % 400) * 86400000")).alias("startTime")))).alias("value")
+    files = {
+        "binance_raw.jsonl": _lines(rows.join(head, "trader_id"), F.col("trader_id").alias("portfolioId"), "nick", "roi", "aum", "mdd", F.array(binance_item).alias("positions")),
+        "binance_list.json": listed.groupBy(F.floor(F.col("k") / 1000)).agg(listing),
+        "binance_detail.jsonl": _lines(measured, text("s_suppkey").alias("portfolioId"), (F.col("s_acctbal") - 4000.0).alias("copierPnl"),
+                                       (F.col("k") % 50).alias("totalCopyCount"), F.lit(False).alias("retired")),
+        "phemex_raw.jsonl": _lines(rows, F.concat(F.lit("u"), F.col("trader_id")).alias("userId"), "nick", F.array(phemex_item).alias("positions")),
+    }
+    for name, lines in files.items():
+        if name.startswith(exchanges):
+            lines.select("value").write.mode("overwrite").text(f"{folder}/{date}/{name}")
+    return f"{folder}/{date}"
+
+
+def ingested(s: SparkSession, p: str, vanish: bool = False) -> str:
+    """A store of both snapshots of both exchanges. The older one is ingested twice; with `vanish` the second time without one exchange.
+
+    The newer snapshot is far larger, so the gate is asked to let it pass.
+    """
+    home = f"{stage_dir(s)}/stage-store-{uuid.uuid4().hex}"
+    both, store = ("binance", "phemex"), f"{home}/store"
+    ig.ingest_folder(s, deliver(s, p, tb.PREVIOUS, f"{home}/raw"), tb.PREVIOUS, store, both)
+    again = deliver(s, p, tb.PREVIOUS, f"{home}/again", both[:1]) if vanish else f"{home}/raw/{tb.PREVIOUS}"
+    ig.ingest_folder(s, again, tb.PREVIOUS, store, both)
+    ig.ingest_folder(s, deliver(s, p, tb.CURRENT, f"{home}/raw"), tb.CURRENT, store, both, force=True)
+    return store

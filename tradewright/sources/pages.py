@@ -119,6 +119,22 @@ def latest_detail(details: DataFrame) -> DataFrame:
     return last_wins(details.filter(F.col("trader_id").isNotNull()), ["trader_id"], "file_pos")
 
 
+SAVED_DETAIL = (
+    "portfolioId string, code string, retired string, copierPnl string, currentCopyCount string, totalCopyCount string, "
+    "aumAmount string, marginBalance string, fixedAmountMinCopyUsd string")
+
+
+def read_saved_detail(lines: DataFrame) -> DataFrame:
+    """Detail records as the collector saves them, flat and with `retired` decided: the last line of a trader wins, malformed ones are dropped."""
+    r = parse(lines, SAVED_DETAIL).select("r.*", "file_pos")
+    whole = lambda c: fc.to_double(c).cast("bigint")
+    return latest_detail(r.select(
+        F.col("portfolioId").alias("trader_id"), F.coalesce(F.col("retired") == "true", F.lit(False)).alias("retired"),
+        fc.to_double("copierPnl").alias("copier_pnl"), whole("currentCopyCount").alias("copier_count_current"),
+        whole("totalCopyCount").alias("copier_count_total"), fc.to_double("aumAmount").alias("aum_amount"),
+        fc.to_double("marginBalance").alias("margin_balance"), fc.to_double("fixedAmountMinCopyUsd").alias("min_copy_usd"), "file_pos"))
+
+
 def pivot_items(items: str | Column, code: str = "showColumnCode", value: str = "comparedValue") -> Column:
     """[{code, value}, ...] as a map; the last entry of a code wins."""
     entries = F.filter(fc.col(items), lambda m: m[code].isNotNull())
