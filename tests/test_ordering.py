@@ -145,3 +145,32 @@ def test_hot_groups_keep_rows_without_time_or_key(spark):
     hot = position_in_group(df, ["g"], order, "t", hot=df.select("g").distinct())
     key = lambda d: sorted((str(r["g"]), str(r["t"]), r["k"], r["pos"], r["cnt"]) for r in d.collect())
     assert key(plain) == key(hot) and len(key(hot)) == 7
+
+
+@pytest.mark.parametrize("widest, limit", [(256, 1_000_000), (256, 3), (2, 3)])
+def test_middle_of_odd_distributions(spark, monkeypatch, widest, limit):
+    """Ties, a gap in the very middle, outliers beyond any histogram, one trader with most rows: medians by sorting."""
+    monkeypatch.setattr(al, "WIDEST", widest)
+    rng = random.Random(3)
+    cells = {
+        "ties": [1.0] * 40 + [2.0] * 40, "gap": [-1.0] * 5 + [1.0] * 5, "outliers": [1e300, -1e300, 1e-300, 0.0] + [rng.random() for _ in range(60)],
+        "same": [0.5] * 30, "two": [1.0, 3.0], "one": [7.0], "near": [1.0 + i * 2 ** -52 for i in range(50)], "mixed": [rng.choice([0.0, -0.0, 0.25, rng.gauss(0, 1)]) for _ in range(200)]}
+    data = [(g, f"t{0 if rng.random() < 0.5 else rng.randint(1, 9)}", v) for g, values in cells.items() for v in values]
+    df = spark.createDataFrame([(*r, i) for i, r in enumerate(data)], "g string, t string, v double, k long")
+    table = al.cell_table(df, 1, ["g"], "v")
+    got = {(r["g"], r["t"]): r for r in al.leave_self_out(df, table, ["g"], "t", "v", "k", limit).join(table.select("g", "cell_no"), "cell_no").collect()}
+    middle = lambda v: (sorted(v)[(len(v) - 1) // 2] + sorted(v)[len(v) // 2]) / 2 if v else None
+    assert set(got) == {(g, t) for g, t, _ in data}
+    for (g, t), r in got.items():
+        whole, others = [v for h, _, v in data if h == g], [v for h, u, v in data if h == g and u != t]
+        assert (r["n_cell"], r["n_own"], r["bench"], r["lso"]) == (len(whole), len(whole) - len(others), middle(whole), middle(others)), (g, t)
+    bench = {r["g"]: r["bench"] for r in al.cell_benchmark(df, 1, ["g"], "v").collect()}
+    assert bench == {g: middle(v) for g, v in cells.items()}
+
+
+def test_cell_medians_move_few_values(spark, data):
+    """No window runs over the rows themselves: each one's input is an aggregate of them."""
+    df = spark.range(20_000).selectExpr("cast(id % 3 as string) g", "cast(id % 50 as string) t", "(id * 7919 % 10007) / 1000.0D v", "id k")
+    table = al.cell_table(df, 3, ["g"], "v")
+    bounds = al.narrowed(df.join(table, "g").select("cell_no", "v"), table.selectExpr("cell_no", "n_cell div 2 _from", "n_cell div 2 _to", "_low", "_high", "0L _below")).collect()
+    assert all(r["_inside"] < 20_000 / 3 / 20 for r in bounds)

@@ -1,8 +1,9 @@
 """Benchmark cells and the leave-self-out benchmark.
 
 Alpha is a position's return minus the median return of the *other* traders who traded the same symbol in the
-same month on the same side. The median without trader t is found from ranks, without forming pairs: in the
-sorted cell the k-th row not owned by t stands at rank k + (t's own rows with at most k others before them).
+same month on the same side. No cell is sorted: the ranks that can matter lie around its middle, and the values there are found for all
+cells at once by refining a histogram per cell. Only the few values in the middle move. The median without trader t follows from ranks:
+the k-th row not owned by t stands at rank k + (t's own rows with at most k others before them).
 """
 
 from __future__ import annotations
@@ -11,37 +12,125 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.config import CELL
-from tradewright.operators.ordering import exclusive_prefix, group_quantiles, lookup_ranks, median, value_grid
+from tradewright.operators.ordering import exclusive_prefix, lookup_ranks, value_grid
 from tradewright.session import cut, hot_rows
 
+BINS = 64  # of a cell's histogram in one round
+ROUNDS = 9  # 64**9 > 2**52: after that only equal values are left in a bin
+# A trader with more rows in one cell moves its middle so far that the rows are counted by value instead.
+WIDEST = 256
+
 
 def cell_benchmark(rows: DataFrame, min_cell: int, cell: list[str] = CELL, value: str = "pr") -> DataFrame:
     """Median return and row count of every cell with at least `min_cell` rows."""
-    usable = rows.filter(F.col(value).isNotNull())
-    sizes = usable.groupBy(*cell).agg(F.count(F.lit(1)).alias("n_cell")).filter(F.col("n_cell") >= min_cell)
-    return sizes.join(group_quantiles(usable, cell, {"bench": median(value)}), cell)
+    cells = cell_table(rows, min_cell, cell, value)
+    mine = _numbered(rows.filter(F.col(value).isNotNull()).select(*cell, value), cells, cell)
+    middle = middle_values(mine.select("cell_no", F.col(value).alias("v")), cells.select("cell_no", "n_cell", "_low", "_high", *_centre_ranks()), hot_rows(rows))
+    return cells.join(middle, "cell_no").select(*cell, "n_cell", _centre("at_v").alias("bench"))
 
 
 def cell_table(rows: DataFrame, min_cell: int, cell: list[str] = CELL, value: str = "pr") -> DataFrame:
-    """Stage table of the qualifying cells with their size and a compact number for sorting and joining."""
-    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*cell).agg(F.count(F.lit(1)).alias("n_cell"))
+    """Stage table of the qualifying cells with their size, range and a compact number for sorting and joining."""
+    sizes = rows.filter(F.col(value).isNotNull()).groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("n_cell"), F.min(value).alias("_low"), F.max(value).alias("_high"))
     return cut(sizes.filter(F.col("n_cell") >= min_cell).withColumn("cell_no", F.monotonically_increasing_id()))
 
 
+def _centre_ranks(width: Column | None = None) -> tuple[Column, Column]:
+    """The ranks between which the middle of a cell lies when up to `width` of its rows, all of one trader, are left out."""
+    w = F.lit(0) if width is None else width
+    n = F.col("n_cell")
+    return (F.greatest(F.floor((n - w - 1) / 2), F.lit(0)).cast("long").alias("_from"), F.least(F.floor((n + w) / 2), n - 1).cast("long").alias("_to"))
+
+
+def narrowed(rows: DataFrame, bounds: DataFrame) -> DataFrame:
+    """One round: each cell's range of values is cut into BINS, and those that hold ranks _from to _to become its new range.
+
+    `bounds`: cell_no, _from, _to, _low, _high, _below (rows under _low). The histogram is counted map-side, so that what moves is at most
+    BINS + 1 rows a cell and task, however many rows the cell has.
+    """
+    inside = rows.join(bounds, "cell_no").filter(F.col("v").between(F.col("_low"), F.col("_high")))
+    share = (F.col("v") - F.col("_low")) / (F.col("_high") - F.col("_low"))
+    bins = inside.groupBy("cell_no", "_from", "_to", "_below", F.when(F.col("_high") > F.col("_low"), F.floor(share * BINS)).otherwise(0).cast("int").alias("_bin")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("v").alias("_low"), F.max("v").alias("_high"))
+    before = Window.partitionBy("cell_no").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # at most BINS + 1 rows
+    placed = bins.withColumn("_before", F.col("_below") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return placed.filter((F.col("_before") <= F.col("_to")) & (F.col("_before") + F.col("_c") > F.col("_from"))).groupBy("cell_no", "_from", "_to").agg(
+        F.min("_low").alias("_low"), F.max("_high").alias("_high"), F.min("_before").alias("_below"), F.sum("_c").alias("_inside"))
+
+
+def middle_values(rows: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
+    """Per cell the values that stand at ranks _from to _to: stage table cell_no, _low, _high, _below, at_v (array of (at, v): v from rank `at` on).
+
+    rows: cell_no, v. cells: cell_no, n_cell, _low, _high, _from, _to. One round for all cells, more for cells that still have more than `limit`
+    rows in range. Equal values count as one element of the array.
+    """
+    bounds = narrowed(rows, cells.select("cell_no", "_from", "_to", "_low", "_high", F.lit(0).cast("long").alias("_below")))
+    rounds = 0 if cells.filter(F.col("n_cell") > limit).isEmpty() else ROUNDS - 1
+    bounds = cut(bounds) if rounds else bounds
+    for _ in range(rounds):
+        big = (F.col("_inside") > limit) & (F.col("_low") < F.col("_high"))
+        if bounds.filter(big).isEmpty():
+            break
+        bounds = cut(bounds.filter(~big).unionByName(narrowed(rows, bounds.filter(big).drop("_inside"))))
+    kept = rows.join(bounds.select("cell_no", "_low", "_high", "_below"), "cell_no").filter(F.col("v").between(F.col("_low"), F.col("_high")))
+    counts = kept.groupBy("cell_no", "_low", "_high", "_below", "v").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy("cell_no").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)  # distinct values in range
+    placed = counts.withColumn("at", F.col("_below") + F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    return cut(placed.groupBy("cell_no", "_low", "_high", "_below").agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("at_v")))
+
+
+def _value_at(at_v: str, rank: Column) -> Column:
+    return F.element_at(F.filter(at_v, lambda x: x["at"] <= rank), -1)["v"]
+
+
+def _centre(at_v: str) -> Column:
+    """Mean of the two middle values of the whole cell."""
+    n = F.col("n_cell")
+    return (_value_at(at_v, F.floor((n - 1) / 2)) + _value_at(at_v, F.floor(n / 2))) / 2
+
+
 def leave_self_out(rows: DataFrame, cells: DataFrame, cell: list[str] = CELL, trader: str = "trader_id",
                    value: str = "pr", key: str = "position_key", limit: int | None = None) -> DataFrame:
     """One row per (cell, trader) of the qualifying cells: n_cell, n_own, bench, lso (NULL when alone)."""
     limit = hot_rows(rows) if limit is None else limit
-    usable = rows.filter(F.col(value).isNotNull()).select(*cell, trader, value, key)
-    hot = cells.filter(F.col("n_cell") > limit)
-    out = _by_window(_numbered(usable, cells.filter(F.col("n_cell") <= limit), cell), trader, value, key)
-    if not hot.isEmpty():
-        out = out.unionByName(_by_value(_numbered(usable, hot, cell), trader, value))
+    usable = rows.filter(F.col(value).isNotNull()).select(*cell, trader, value)
+    mine = _numbered(usable, cells, cell).withColumnRenamed(value, "v")
+    widths = cut(mine.groupBy("cell_no", trader).agg(F.count(F.lit(1)).alias("_own")).groupBy("cell_no").agg(F.max("_own").alias("_width"))
+                 .join(cells.select("cell_no", "n_cell", "_low", "_high"), "cell_no"))
+    out = _by_middle(mine, widths.filter(F.col("_width") <= WIDEST), trader, limit)
+    wide = widths.filter(F.col("_width") > WIDEST)
+    if not wide.isEmpty():
+        out = out.unionByName(_by_value(mine.withColumnRenamed("v", value).join(wide.select("cell_no", "n_cell"), "cell_no"), trader, value))
     return out
 
 
 def _numbered(rows: DataFrame, cells: DataFrame, cell: list[str]) -> DataFrame:
-    return rows.join(cells, cell).drop(*cell)
+    return rows.join(cells.select(*cell, "cell_no"), cell).drop(*cell)
+
+
+def _by_middle(rows: DataFrame, cells: DataFrame, trader: str, limit: int) -> DataFrame:
+    """Each trader's rows are counted once: all of them, those under the cell's middle, and those in it by value.
+
+    Among equal values the trader's own are taken first, which leaves the value at every rank as it is.
+    """
+    middle = middle_values(rows.select("cell_no", "v"), cells.select("cell_no", "n_cell", "_low", "_high", *_centre_ranks(F.col("_width"))), limit)
+    ranges = middle.select("cell_no", "_low", "_high")
+    own = rows.join(ranges, "cell_no").groupBy("cell_no", trader).agg(
+        F.count(F.lit(1)).alias("n_own"), F.count(F.when(F.col("v") < F.col("_low"), 1)).alias("_under"),
+        F.sort_array(F.collect_list(F.when(F.col("v").between(F.col("_low"), F.col("_high")), F.col("v")))).alias("_mine"))
+    found = own.join(middle.select("cell_no", "at_v").join(cells.select("cell_no", "n_cell"), "cell_no"), "cell_no")
+    # rank of the trader's j-th row in the middle, less the own rows before it
+    first = lambda v: F.filter("at_v", lambda x: x["v"] == v)[0]["at"]
+    others = F.transform("_mine", lambda v, j: first(v) + j - (F.array_position("_mine", v) - 1) - (F.col("_under") + j))
+
+    def at(k: Column) -> Column:
+        return _value_at("at_v", k + F.col("_under") + F.size(F.filter("_others", lambda x: x <= k)))
+
+    n = F.col("n_cell") - F.col("n_own")
+    lso = (at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2
+    return found.withColumn("_others", others).select(
+        "cell_no", trader, "n_cell", F.col("n_own").cast("long").alias("n_own"), _centre("at_v").alias("bench"), F.when(n > 0, lso).alias("lso"))
 
 
 def _targets(ranked: DataFrame, trader: str, weight: Column) -> DataFrame:
@@ -53,30 +142,8 @@ def _targets(ranked: DataFrame, trader: str, weight: Column) -> DataFrame:
         (k2 + F.sum(F.when(F.col("_others") <= k2, weight).otherwise(F.lit(0)))).cast("long").alias("_g2"))
 
 
-def _centre(rank: Column) -> Column:
-    """Is this 0-based rank one of the two middle ranks of the whole cell?"""
-    return (rank == F.floor((F.col("n_cell") - 1) / 2)) | (rank == F.floor(F.col("n_cell") / 2))
-
-
-def _by_window(rows: DataFrame, trader: str, value: str, key: str) -> DataFrame:
-    """Ordinary cells: rank inside the cell's task, then keep only the few middle ranks that are asked for."""
-    in_cell, in_own = Window.partitionBy("cell_no"), Window.partitionBy("cell_no", trader)
-    ranked = rows.select("cell_no", "n_cell", trader, value,
-                         (F.row_number().over(in_cell.orderBy(value, key)) - 1).cast("long").alias("_g"))
-    placed = (
-        ranked.select("*", (F.col("_g") - F.row_number().over(in_own.orderBy("_g")) + 1).alias("_others"))
-        .select("*", F.count(F.lit(1)).over(in_own).alias("n_own"))
-    )
-    targets = cut(_targets(placed, trader, F.lit(1)))
-    band = targets.groupBy("cell_no").agg(F.min("_g1").alias("_from"), F.max("_g2").alias("_to"))
-    values = ranked.join(band, "cell_no").filter(
-        F.col("_g").between(F.col("_from"), F.col("_to")) | _centre(F.col("_g")))
-    return _assemble(targets, cut(values.select("cell_no", "n_cell", F.col("_g").alias("_rank"),
-                                                F.col(value).alias("_v"))), trader)
-
-
 def _by_value(rows: DataFrame, trader: str, value: str) -> DataFrame:
-    """Hot cells: equal values are counted first and the ordering is cut into chunks."""
+    """Cells in which one trader has very many rows: equal values are counted first and the ordering is cut into chunks."""
     own = (
         rows.groupBy("cell_no", "n_cell", trader, value).agg(F.count(F.lit(1)).alias("_own_c"))
         .withColumn("_chunk", value_grid(F.col(value)))
@@ -102,7 +169,7 @@ def _assemble(targets: DataFrame, values: DataFrame, trader: str) -> DataFrame:
     """`values` holds only the middle ranks, so it is usually small enough for a broadcast; Catalyst decides."""
     first = values.select("cell_no", F.col("_rank").alias("_g1"), F.col("_v").alias("_v1"))
     second = values.select("cell_no", F.col("_rank").alias("_g2"), F.col("_v").alias("_v2"))
-    bench = values.filter(_centre(F.col("_rank"))).groupBy("cell_no").agg(F.avg("_v").alias("bench"))
+    bench = values.filter(_central(F.col("_rank"))).groupBy("cell_no").agg(F.avg("_v").alias("bench"))
     alone = F.col("n_cell") == F.col("n_own")
     return (
         targets.join(first, ["cell_no", "_g1"], "left").join(second, ["cell_no", "_g2"], "left").join(bench, "cell_no")
@@ -111,6 +178,11 @@ def _assemble(targets: DataFrame, values: DataFrame, trader: str) -> DataFrame:
     )
 
 
+def _central(rank: Column) -> Column:
+    """Is this 0-based rank one of the two middle ranks of the whole cell?"""
+    return (rank == F.floor((F.col("n_cell") - 1) / 2)) | (rank == F.floor(F.col("n_cell") / 2))
+
+
 def with_alpha(rows: DataFrame, cells: DataFrame, benchmark: DataFrame, cell: list[str] = CELL,
                trader: str = "trader_id", value: str = "pr") -> DataFrame:
     """Adds alpha (leave-self-out) and alpha_incl (against the whole cell); NULL outside qualifying cells."""
