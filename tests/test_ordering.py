@@ -31,8 +31,7 @@ def test_quantiles_match_definition(data, limit):
     df, recs = data
     wanted = {"med": od.median("v"), "p90": od.index_quantile("v", 0.9), "q": od.exclusive_quantile("v", 9, 10),
               "wmed": od.median("w"), "cut": od.slot_quantile("ms", 1, 3)}
-    got = {r["g"]: r for r in rows(od.group_quantiles(df, ["g"], wanted, od.hot_keys(df, ["g"], limit),
-                                                      {"ms": od.time_grid}))}
+    got = {r["g"]: r for r in rows(od.group_quantiles(df, ["g"], wanted, od.hot_keys(df, ["g"], limit)))}
     groups = defaultdict(list)
     for r in recs:
         groups[r[0]].append(r)
@@ -73,7 +72,7 @@ def test_ordinal_rank_keeps_missing_values(spark):
 @pytest.mark.parametrize("limit", LIMITS)
 def test_positions(data, limit):
     df, recs = data
-    got = rows(od.position_in_group(df, ["g"], ["ms", "k"], "ms", od.hot_keys(df, ["g"], limit)))
+    got = rows(od.position_in_group(df, ["g"], ["ms", "k"], od.hot_keys(df, ["g"], limit)))
     assert len(got) == len(recs)
     expect = {}
     groups = defaultdict(list)
@@ -126,11 +125,46 @@ def test_leave_self_out_ignores_partitioning(data):
     assert a == b
 
 
-def test_value_grid_is_monotone(spark):
-    vals = sorted([0.0, -0.0, 1e-9, -1e-9] + [random.Random(1).uniform(-1, 1) * 10 ** e for e in range(-8, 12) for _ in range(40)])
-    got = [r[0] for r in spark.createDataFrame([(v,) for v in vals], "v double").coalesce(1)
-           .select(od.value_grid(F.col("v"))).collect()]
-    assert got == sorted(got)
+def exchanges(df):
+    """Hash exchanges of the plan without AQE and broadcasts."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+@pytest.fixture
+def plain_plans(spark):
+    keys = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    old = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in old.items():
+        spark.conf.set(k, v)
+
+
+def test_prefix_moves_the_rows_once(spark, plain_plans):
+    df = spark.createDataFrame([("a", None, 1, 2.0), (None, 3, 1, 1.0), (None, None, 2, 5.0)], "g string, h int, c int, v double")
+    out = od.exclusive_prefix(df, ["g", "h"], "c", ["v"], F.lit(1), "p")
+    assert exchanges(out) == 4 and out.count() == 3  # rows; totals; their windows; their way to the join
+    assert exchanges(od.running_max(df, ["g", "h"], "c", ["v"], "v", "p")) == 4
+
+
+@pytest.mark.parametrize("column", ["ident", "price", "ms", "same"])
+def test_splitters_are_even(spark, plain_plans, column):
+    """Ids of one prefix, prices of one level, times of one day, and equal rows: no range has more than twice its share."""
+    df = spark.range(40_000).selectExpr("concat('Supplier#0000', lpad(cast(id as string), 9, '0')) ident", "100 + (id * 7919 % 40000) / 1e7D price",
+                                        "1700000000000 + id * 2000 ms", "1 same", "'hot' g", "id k")
+    sizes = [r["count"] for r in od.split_by_order(df.repartition(8), ["g"], [column]).groupBy("_chunk").count().collect()]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert sum(sizes) == 40_000 and len(sizes) == parts and max(sizes) <= 2 * 40_000 / parts
+    got = od.global_positions(df, [column], "pos")
+    assert [r["pos"] for r in got.orderBy("pos").select("pos").collect()] == list(range(40_000))
+    assert got.selectExpr(f"min_by({column}, pos) = min({column}) and max_by({column}, pos) = max({column}) ok").first()["ok"]
+
+
+def test_global_positions_take_nulls_and_nothing(spark):
+    df = spark.createDataFrame([("b",), (None,), ("a",), ("b",)], "x string")
+    assert [r["x"] for r in od.global_positions(df, ["x"], "p").orderBy("p").collect()] == [None, "a", "b", "b"]
+    assert od.global_positions(df.limit(0), ["x"], "p").count() == 0
 
 
 def test_hot_groups_keep_rows_without_time_or_key(spark):
@@ -141,8 +175,8 @@ def test_hot_groups_keep_rows_without_time_or_key(spark):
     data = [("a", t, k) for k, t in enumerate([1, None, 3, None, 5])] + [(None, t, k) for k, t in enumerate([None, 2])]
     df = spark.createDataFrame(data, "g string, t long, k long")
     order = [F.col("t"), F.col("k")]
-    plain = position_in_group(df, ["g"], order, "t", hot=None)
-    hot = position_in_group(df, ["g"], order, "t", hot=df.select("g").distinct())
+    plain = position_in_group(df, ["g"], order, hot=None)
+    hot = position_in_group(df, ["g"], order, hot=df.select("g").distinct())
     key = lambda d: sorted((str(r["g"]), str(r["t"]), r["k"], r["pos"], r["cnt"]) for r in d.collect())
     assert key(plain) == key(hot) and len(key(hot)) == 7
 

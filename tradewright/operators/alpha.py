@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.config import CELL
-from tradewright.operators.ordering import exclusive_prefix, lookup_ranks, value_grid
+from tradewright.operators.ordering import exclusive_prefix, lookup_ranks, split_by_order
 from tradewright.session import cut, hot_rows
 
 BINS = 64  # of a cell's histogram in one round
@@ -144,13 +144,9 @@ def _targets(ranked: DataFrame, trader: str, weight: Column) -> DataFrame:
 
 def _by_value(rows: DataFrame, trader: str, value: str) -> DataFrame:
     """Cells in which one trader has very many rows: equal values are counted first and the ordering is cut into chunks."""
-    own = (
-        rows.groupBy("cell_no", "n_cell", trader, value).agg(F.count(F.lit(1)).alias("_own_c"))
-        .withColumn("_chunk", value_grid(F.col(value)))
-    )
-    pooled = cut(exclusive_prefix(
-        own.groupBy("cell_no", "_chunk", value).agg(F.sum("_own_c").alias("c")),
-        ["cell_no"], "_chunk", [value], "c", "lo"))
+    own = split_by_order(rows.groupBy("cell_no", "n_cell", trader, value).agg(F.count(F.lit(1)).alias("_own_c")), ["cell_no", trader], [value])
+    counts = own.groupBy("cell_no", value).agg(F.sum("_own_c").alias("c"))
+    pooled = cut(exclusive_prefix(split_by_order(counts, ["cell_no"], [value]), ["cell_no"], "_chunk", [value], "c", "lo").drop("_chunk"))
     n_own = own.groupBy("cell_no", trader).agg(F.sum("_own_c").alias("n_own"))
     ranked = (
         exclusive_prefix(own, ["cell_no", trader], "_chunk", [value], "_own_c", "_own_lo")

@@ -26,7 +26,7 @@ def profile(alpha_rows: DataFrame, hot=AUTO, min_alphas: int = 5, keys: list[str
     """
     ordered = alpha_rows.withColumn(
         "_when", F.when(F.col("alpha").isNull(), F.lit(10**15)).otherwise(F.lit(0)) + F.col("opened_ms"))
-    placed = position_in_group(ordered, keys, ["_when", "position_key"], "_when", hot, counted=F.col("alpha"))
+    placed = position_in_group(ordered, keys, ["_when", "position_key"], hot, counted=F.col("alpha"))
     half1 = F.when(F.col("pos") < F.floor(F.col("cnt") / 2), F.col("alpha"))
     half2 = F.when(F.col("pos") >= F.floor(F.col("cnt") / 2), F.col("alpha"))
     win, loss = F.when(F.col("pr") > 0, F.col("pr")), F.when(F.col("pr") < 0, F.col("pr"))

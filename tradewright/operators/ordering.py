@@ -4,42 +4,27 @@ A window or a percentile over one key runs in one task. That is right for ordina
 hot one, so every operator here splits its input on the group's row count:
 
 * ordinary groups (at most `spark.tradewright.hotGroupRows` rows) use the built-in aggregate or window;
-* hot groups are cut into chunks along the ordering itself. Equal values are pre-aggregated, each chunk is
-  ordered on its own, and a prefix sum over the chunk totals turns local positions into group positions.
+* hot groups are cut into chunks along the ordering itself, at splitters that Spark draws from a distributed sample, so chunks are
+  even whatever the values are. Equal values are pre-aggregated, each chunk is ordered on its own, and a prefix sum over the chunk
+  totals turns local positions into group positions.
 
 The list of hot groups has at most rows / hotGroupRows entries, which is what bounds its broadcast.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewright.config import DAY_MS
 from tradewright.session import cut, hot_rows
 
-Grid = Callable[[Column], Column]
-
 # Ranks per block when positions are looked up; bounds the rows one task orders.
 RANK_BLOCK = 65_536
 
 
-def value_grid(v: Column) -> Column:
-    """Order-preserving chunk number: logarithmic in |v|, so money, hours and returns all spread.
-
-    log1p is monotone and so are scaling and flooring, hence a <= b implies grid(a) <= grid(b).
-    """
-    return (F.signum(v) * F.floor(F.log1p(F.abs(v) * 1e6) * 64)).cast("int")
-
-
-def time_grid(v: Column) -> Column:
-    return F.floor(v / DAY_MS).cast("int")
-
-
 AUTO = object()  # "find the hot groups of the input yourself"
 
 
@@ -72,47 +57,80 @@ def join_null_safe(df: DataFrame, looked_up: DataFrame, keys: list[str]) -> Data
     return df.join(renamed, match).drop(*[f"_to_{k}" for k in keys])
 
 
+def split_by_order(df: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """Stage table with `_chunk`: the number of the range, in order of (keys, order), that a row falls in.
+
+    Ranges are about equal whatever the values are: ids with one prefix, prices of one level, times of one day, and equal rows too.
+    """
+    tied = df.withColumn("_tie", F.rand(7))
+    return cut(tied.repartitionByRange(*keys, *order, "_tie").drop("_tie").withColumn("_chunk", F.spark_partition_id()))
+
+
+def global_positions(df: DataFrame, order: list, out: str) -> DataFrame:
+    """`out`: 0-based position among all rows. Ranges are sorted where they lie; only their sizes are added up. Equal rows stand in any order."""
+    tied = df.withColumn("_tie", F.rand(7))
+    ranged = tied.repartitionByRange(*order, "_tie").sortWithinPartitions(*order, "_tie").drop("_tie")
+    placed = cut(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33).alias("_chunk")
+    before = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = placed.groupBy(part).agg(F.count(F.lit(1)).alias("_n")).select("_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return placed.withColumn("_chunk", part).join(F.broadcast(sizes), "_chunk").withColumn(
+        out, (F.col("_offset") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).cast("long")).drop("_chunk", "_offset", "_id")
+
+
+def _marked(df: DataFrame, keys: list[str], chunk: str) -> tuple[DataFrame, list[Column]]:
+    """`_part`, the group and chunk as one column that is never NULL itself, so that NULL keys meet in a plain equi-join; and the group's keys in it."""
+    return df.withColumn("_part", F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col(chunk).alias("chunk"))), [
+        F.col(f"_to.k{i}") for i in range(len(keys))]
+
+
+def _from_chunks_before(marked: DataFrame, group: list[Column], total: Column, combine, out: str) -> DataFrame:
+    """(_to, out): what the earlier chunks of the group add up to."""
+    before = Window.partitionBy(*group).orderBy("_to.chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return marked.groupBy(F.col("_part").alias("_to")).agg(total.alias("_t")).select("_to", combine("_t").over(before).alias(out))
+
+
 def exclusive_prefix(df: DataFrame, keys: list[str], chunk: str, order: list, weight: str | Column, out: str) -> DataFrame:
     """`out` = sum of `weight` over the rows of the group that sort before this one."""
-    part = [*keys, chunk]
-    totals = df.groupBy(*part).agg(F.sum(weight).alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*part, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    marked, group = _marked(df, keys, chunk)
+    offsets = _from_chunks_before(marked, group, F.sum(weight), F.sum, "_offset")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
-        join_null_safe(df.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0))), offsets, part)
-        .withColumn(out, F.col("_offset") + F.col("_inside"))
-        .drop("_offset", "_inside")
+        marked.withColumn("_inside", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+        .join(offsets, F.col("_part") == F.col("_to"))
+        .withColumn(out, F.coalesce("_offset", F.lit(0)) + F.col("_inside")).drop("_offset", "_inside", "_part", "_to")
     )
 
 
 def running_max(df: DataFrame, keys: list[str], chunk: str, order: list, value: str, out: str) -> DataFrame:
     """`out` = largest `value` of the group up to and including this row."""
-    part = [*keys, chunk]
-    tops = df.groupBy(*part).agg(F.max(value).alias("_top"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = tops.select(*part, F.max("_top").over(before).alias("_earlier"))
-    inside = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    marked, group = _marked(df, keys, chunk)
+    earlier = _from_chunks_before(marked, group, F.max(value), F.max, "_earlier")
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        join_null_safe(df.withColumn("_inside", F.max(value).over(inside)), earlier, part)
-        .withColumn(out, F.greatest("_inside", "_earlier"))
-        .drop("_inside", "_earlier")
+        marked.withColumn("_inside", F.max(value).over(inside)).join(earlier, F.col("_part") == F.col("_to"))
+        .withColumn(out, F.greatest("_inside", "_earlier")).drop("_inside", "_earlier", "_part", "_to")
     )
 
 
-def position_in_group(df: DataFrame, keys: list[str], order: list, time_col: str, hot=AUTO,
-                      counted: Column | None = None) -> DataFrame:
-    """Adds `pos` (0-based position by `order`) and `cnt` (rows of the group, or non-NULL values of `counted`).
+def prefix_in_group(df: DataFrame, keys: list[str], order: list, weight: str | Column, out: str, hot: DataFrame | None) -> DataFrame:
+    """exclusive_prefix() for any group: a window for ordinary ones, chunks for the hot ones listed."""
+    plain = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    by_window = lambda rows: rows.withColumn(out, F.coalesce(F.sum(weight).over(plain), F.lit(0)))
+    if hot is None:
+        return by_window(df)
+    cold, big = split_hot(df, keys, hot)
+    return by_window(cold).unionByName(exclusive_prefix(split_by_order(big, keys, order), keys, "_chunk", order, weight, out).drop("_chunk"))
 
-    `order` starts with `time_col`, whose days are the chunks of a hot group.
-    """
+
+def position_in_group(df: DataFrame, keys: list[str], order: list, hot=AUTO, counted: Column | None = None) -> DataFrame:
+    """Adds `pos` (0-based position by `order`) and `cnt` (rows of the group, or non-NULL values of `counted`)."""
     counted = F.lit(1) if counted is None else counted
     hot = _resolve(hot, df, keys)
     if hot is None:
         return _window_position(df, keys, order, counted)
     cold, big = split_hot(df, keys, hot)
-    chunked = big.withColumn("_chunk", time_grid(F.col(time_col)))
-    placed = exclusive_prefix(chunked, keys, "_chunk", order, F.lit(1), "pos").drop("_chunk")
+    placed = exclusive_prefix(split_by_order(big, keys, order), keys, "_chunk", order, F.lit(1), "pos").drop("_chunk")
     sizes = big.groupBy(*keys).agg(F.count(counted).alias("cnt"))
     placed = join_null_safe(placed, sizes, keys).withColumn("pos", F.col("pos").cast("long"))
     return _window_position(cold, keys, order, counted).unionByName(placed)
@@ -124,34 +142,29 @@ def _window_position(df: DataFrame, keys: list[str], order: list, counted: Colum
                      F.count(counted).over(w).alias("cnt"))
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str, grid: Grid = value_grid, carry: list | None = None) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, hot=AUTO, carry: list | None = None) -> DataFrame:
     """One row per (group, distinct value): `c` copies, `lo` rows below, plus carried aggregates."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), *(carry or [])).withColumn(
-        "_chunk", grid(F.col(value)))
-    return exclusive_prefix(counts, keys, "_chunk", [value], "c", "lo").drop("_chunk")
+    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"), *(carry or []))
+    return prefix_in_group(counts, keys, [value], "c", "lo", _resolve(hot, df, keys))
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str, grid: Grid = value_grid) -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
     """1-based rank of `value` in its group, ties sharing the mean of their ranks."""
     grouped, keys, tmp = _with_group(df, keys)
-    ranks = value_ranks(grouped.filter(F.col(value).isNotNull()), keys, value, grid).select(
+    ranks = value_ranks(grouped.filter(F.col(value).isNotNull()), keys, value).select(
         *keys, value, (F.col("lo") + (F.col("c") + 1) / 2.0).alias(out))
     return grouped.join(ranks, [*keys, value], "left").drop(*tmp)
 
 
-def ordinal_rank(df: DataFrame, keys: list[str], value: str, ident: str, out: str, grid: Grid = value_grid) -> DataFrame:
-    """0-based rank of `value` in its group, NULLs first, ties in the order of `ident`.
-
-    Rows below come from the value counts; the order among equal values is chunked by a prefix of `ident`.
-    """
+def ordinal_rank(df: DataFrame, keys: list[str], value: str, ident: str, out: str) -> DataFrame:
+    """0-based rank of `value` in its group, NULLs first, ties in the order of `ident` as text."""
     grouped, keys, tmp = _with_group(df, keys)
-    below = value_ranks(grouped, keys, value, grid).select(*keys, value, "lo")
-    tied = exclusive_prefix(
-        grouped.withColumn("_prefix", F.substring(F.col(ident).cast("string"), 1, 6)),
-        [*keys, value], "_prefix", [F.col(ident).cast("string")], F.lit(1), "_tied")
+    below = value_ranks(grouped, keys, value).select(*keys, value, "lo")
+    by_ident = grouped.withColumn("_ident", F.col(ident).cast("string"))
+    tied = prefix_in_group(by_ident, [*keys, value], ["_ident"], F.lit(1), "_tied", hot_keys(grouped, [*keys, value])).drop("_ident")
     return (
         join_null_safe(tied, below, [*keys, value]).withColumn(out, F.col("lo") + F.col("_tied"))
-        .drop("lo", "_tied", "_prefix", *tmp)
+        .drop("lo", "_tied", *tmp)
     )
 
 
@@ -214,18 +227,16 @@ def exclusive_quantile(column: str, num: int, den: int) -> Quantile:
     return Quantile(column, "exclusive", num=num, den=den)
 
 
-def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], hot=AUTO,
-                    grids: dict[str, Grid] | None = None) -> DataFrame:
+def group_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], hot=AUTO) -> DataFrame:
     """Exact order statistics per group, one row per group. Without keys: of the whole input, always one row."""
-    grids = grids or {}
     if not keys:
-        whole = _chunked_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted, grids)
+        whole = group_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], wanted)
         return whole.agg(*[F.max(name).alias(name) for name in wanted])
     hot = _resolve(hot, df, keys)
     if hot is None:
         return _collected_quantiles(df, keys, wanted)
     cold, big = split_hot(df, keys, hot)
-    return _collected_quantiles(cold, keys, wanted).unionByName(_chunked_quantiles(big, keys, wanted, grids))
+    return _collected_quantiles(cold, keys, wanted).unionByName(_chunked_quantiles(big, keys, wanted))
 
 
 def _collected_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile]) -> DataFrame:
@@ -242,16 +253,13 @@ def _collected_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quant
     return arrays.select(*out)
 
 
-def _chunked_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile], grids: dict[str, Grid]) -> DataFrame:
+def _chunked_quantiles(df: DataFrame, keys: list[str], wanted: dict[str, Quantile]) -> DataFrame:
     columns = list(dict.fromkeys(q.column for q in wanted.values()))
     long = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(i).alias("m"), F.col(c).cast("double").alias("v")) for i, c in enumerate(columns)])).alias("_x"))
     long = long.select(*keys, F.col("_x.m").alias("_m"), F.col("_x.v").alias("_v"))
-    chunk = F.lit(None).cast("int")
-    for i, c in enumerate(columns):
-        chunk = F.when(F.col("_m") == i, grids.get(c, value_grid)(F.col("_v"))).otherwise(chunk)
     # NULL is a value that counts for nothing, so that a group without values still gives a row
-    counts = long.groupBy(*keys, "_m", "_v").agg(F.count("_v").alias("c")).withColumn("_chunk", chunk)
+    counts = split_by_order(long.groupBy(*keys, "_m", "_v").agg(F.count("_v").alias("c")), [*keys, "_m"], ["_v"])
     placed = exclusive_prefix(counts, [*keys, "_m"], "_chunk", ["_v"], "c", "lo")
     sizes = long.groupBy(*keys, "_m").agg(F.count("_v").alias("_n"))
     placed = join_null_safe(placed, F.broadcast(sizes), [*keys, "_m"])

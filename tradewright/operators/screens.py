@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.config import DAY_MS, SCOPE, TRADER
-from tradewright.operators.ordering import AUTO, _resolve, exclusive_prefix, running_max, split_hot, time_grid
+from tradewright.operators.ordering import AUTO, _resolve, exclusive_prefix, running_max, split_by_order, split_hot
 
 # Exchanges differ on what a trader without a series gets: passed as safe, or rejected as unproven.
 PASSES_WITHOUT_SERIES = {"ratio", "level", "trades"}
@@ -69,14 +69,14 @@ def positional_series(traders: DataFrame, values: str, end_ms: DataFrame) -> Dat
 
 
 def running_pnl(rows: DataFrame, hot=AUTO) -> DataFrame:
-    """Cumulative PnL and its running peak per trader, by close; a hot trader's history is chunked by day."""
+    """Cumulative PnL and its running peak per trader, by close; a hot trader's history is chunked."""
     hot = _resolve(hot, rows, TRADER)
     order = ["closed_ms", "position_key"]
     slim = rows.select(*TRADER, *order, "pnl")
     if hot is None:
         return _running_by_window(slim, order)
     cold, big = split_hot(slim, TRADER, hot)
-    chunked = big.withColumn("_chunk", time_grid(F.col("closed_ms")))
+    chunked = split_by_order(big, TRADER, order)
     summed = exclusive_prefix(chunked, TRADER, "_chunk", order, "pnl", "_before").withColumn(
         "cum_pnl", F.col("_before") + F.col("pnl"))
     peaked = running_max(summed, TRADER, "_chunk", order, "cum_pnl", "peak_pnl").drop("_before", "_chunk")

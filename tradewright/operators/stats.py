@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradewright.operators.ordering import (
-    average_rank, exclusive_prefix, group_quantiles, index_quantile, ordinal_rank, value_grid, value_ranks,
+    average_rank, exclusive_prefix, global_positions, group_quantiles, hot_keys, index_quantile, ordinal_rank, prefix_in_group, value_ranks,
 )
 from tradewright.session import cut
 
@@ -47,9 +47,8 @@ def spearman(df: DataFrame, pairs: dict[str, tuple[str, str]], ties: str = "aver
 
 
 def numbered(df: DataFrame, ident: str = "trader_id") -> DataFrame:
-    """Adds `slot`: 0-based position by ident."""
-    one = df.withColumn("_all", F.lit(0)).withColumn("_prefix", F.substring(F.col(ident).cast("string"), 1, 6))
-    return exclusive_prefix(one, ["_all"], "_prefix", [F.col(ident).cast("string")], F.lit(1), "slot").drop("_all", "_prefix")
+    """Adds `slot`: 0-based position by ident as text."""
+    return global_positions(df.withColumn("_ident", F.col(ident).cast("string")), ["_ident"], "slot").drop("_ident")
 
 
 def _repeated(df: DataFrame, n_iter: int, seed: int) -> DataFrame:
@@ -87,8 +86,8 @@ def bootstrap_ci(df: DataFrame, a: str, b: str, n_iter: int = 2_000, seed: int =
     )
     sample = cut(drawn.join(base.select("slot", a, b), "slot"))
     for c in (a, b):
-        counts = sample.groupBy("step", c).agg(F.sum("copies").alias("c")).withColumn("_chunk", value_grid(F.col(c)))
-        ranks = exclusive_prefix(counts, ["step"], "_chunk", [c], "c", "lo").select(
+        counts = sample.groupBy("step", c).agg(F.sum("copies").alias("c"))
+        ranks = prefix_in_group(counts, ["step"], [c], "c", "lo", hot_keys(counts, ["step"])).select(
             "step", c, (F.col("lo") + (F.col("c") + 1) / 2.0).alias(f"rank_{c}"))
         sample = sample.join(ranks, ["step", c])
     x, y, w = F.col(f"rank_{a}"), F.col(f"rank_{b}"), F.col("copies")

@@ -10,8 +10,8 @@ from tradewright.functions import columns as fc
 from tradewright.operators import stats
 from tradewright.operators.candles import as_of, excursions, regime, with_features
 from tradewright.operators.ordering import (
-    AUTO, exclusive_quantile, group_quantiles, hot_keys, index_quantile, median, ordinal_rank, position_in_group,
-    slot_quantile, time_grid,
+    AUTO, exclusive_quantile, group_quantiles, hot_keys, index_quantile, median, ordinal_rank, position_in_group, prefix_in_group,
+    slot_quantile,
 )
 from tradewright.session import cut
 
@@ -20,13 +20,13 @@ from tradewright.session import cut
 
 def own_halves(rows: DataFrame, order: str = "opened_ms", keys: list[str] | None = None, hot=AUTO) -> DataFrame:
     """half = 0 for the first n div 2 positions of each trader's own history."""
-    placed = position_in_group(rows, keys or ["trader_id"], [order, "position_key"], order, hot)
+    placed = position_in_group(rows, keys or ["trader_id"], [order, "position_key"], hot)
     return placed.withColumn("half", (F.col("pos") >= F.floor(F.col("cnt") / 2)).cast("int")).drop("pos", "cnt")
 
 
 def calendar_halves(rows: DataFrame, order: str = "opened_ms") -> DataFrame:
     """half by one cut for everybody: the element n div 2 of all times in order."""
-    edge = group_quantiles(rows, [], {"cut_ms": slot_quantile(order, 1, 2)}, grids={order: time_grid})
+    edge = group_quantiles(rows, [], {"cut_ms": slot_quantile(order, 1, 2)})
     return rows.crossJoin(F.broadcast(edge)).withColumn("half", (F.col(order) >= F.col("cut_ms")).cast("int"))  # one row
 
 
@@ -698,10 +698,8 @@ def hedge_legs(rows: DataFrame) -> DataFrame:
 
     Opening and closing instants are put on one time line per trader and symbol and the opposite side's open
     count is read off it: a leg overlaps when an opposite leg is open at its start or starts before its end.
-    No pairs are formed. The time line of a hot (trader, symbol) is chunked by day.
+    No pairs are formed. The time line of a hot (trader, symbol) is chunked.
     """
-    from tradewright.operators.ordering import exclusive_prefix
-
     keys = ["exchange", "snapshot_date", "trader_id", "symbol"]
     closed = rows.filter(F.col("closed_ms").isNotNull() & (F.col("closed_ms") > F.col("opened_ms")))
     slim = closed.select(*keys, "position_key", "side", "opened_ms", "closed_ms")
@@ -712,10 +710,11 @@ def hedge_legs(rows: DataFrame) -> DataFrame:
         F.struct(F.col("closed_ms").alias("t"), F.lit(0).alias("o"), F.lit(0).alias("sl"), F.lit(0).alias("ss"), is_long.alias("el"), (1 - is_long).alias("es"), F.lit(0).alias("q")),
         F.struct(F.col("opened_ms").alias("t"), F.lit(1).alias("o"), F.lit(0).alias("sl"), F.lit(0).alias("ss"), F.lit(0).alias("el"), F.lit(0).alias("es"), F.lit(1).alias("q")),
         F.struct(F.col("closed_ms").alias("t"), F.lit(1).alias("o"), F.lit(0).alias("sl"), F.lit(0).alias("ss"), F.lit(0).alias("el"), F.lit(0).alias("es"), F.lit(2).alias("q")),
-    )).alias("_m")).select(*keys, "position_key", "side", "_m.*").withColumn("_chunk", time_grid(F.col("t")))
+    )).alias("_m")).select(*keys, "position_key", "side", "_m.*")
     # Opposite legs that started before my end minus those that ended by my start = opposite legs overlapping me.
-    started = exclusive_prefix(marks.withColumn("_w", F.col("sl") + F.col("ss") * F.lit(2**31)), keys, "_chunk", ["t", "o"], "_w", "_started")
-    both = exclusive_prefix(started.withColumn("_w2", F.col("el") + F.col("es") * F.lit(2**31)), keys, "_chunk", ["t", "o"], "_w2", "_ended")
+    hot = hot_keys(slim, keys)
+    started = prefix_in_group(marks.withColumn("_w", F.col("sl") + F.col("ss") * F.lit(2**31)), keys, ["t", "o"], "_w", "_started", hot)
+    both = prefix_in_group(started.withColumn("_w2", F.col("el") + F.col("es") * F.lit(2**31)), keys, ["t", "o"], "_w2", "_ended", hot)
     long_of = lambda c: (F.col(c) % F.lit(2**31)).cast("long")
     short_of = lambda c: F.floor(F.col(c) / F.lit(2**31)).cast("long")
     opp = lambda c: F.when(fc.is_long(), short_of(c)).otherwise(long_of(c))

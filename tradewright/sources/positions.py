@@ -172,7 +172,7 @@ def assemble_records(rows: DataFrame, page_rows: int = 1000) -> DataFrame:
     """
     from tradewright.operators.ordering import position_in_group
 
-    placed = position_in_group(rows, ["exchange", "trader_id"], ["opened_ms", "position_key"], "opened_ms")
+    placed = position_in_group(rows, ["exchange", "trader_id"], ["opened_ms", "position_key"])
     item = F.struct("opened_ms", "position_key", "symbol", "side", "closed_ms", "leverage", "notional", "pnl")
     return placed.groupBy("exchange", "trader_id", F.floor(F.col("pos") / page_rows).alias("page")).agg(
         F.max("cnt").alias("n_pos"), F.sort_array(F.collect_list(item)).alias("positions"))
