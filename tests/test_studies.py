@@ -91,6 +91,38 @@ def test_hedge_overlaps(spark):
         assert got[a[4]] == want
 
 
+def test_alpha_without_hedges(spark):
+    """Nested, touching and crossing intervals in either case of the side; the second benchmark is made of unhedged positions only."""
+    day = 86_400_000
+    spans = [("h", "Long", 0, 10), ("h", "short", 2, 3), ("h", "LONG", 20, 22), ("h", "Short", 22, 24), ("h", "long", 30, 35), ("h", "Long", 31, 33),
+             ("c", "Short", 0, 5), ("c", "long", 4, 8), ("n", "Long", 0, 9), ("n", "Long", 1, 9), ("m", "Short", 0, 9), ("o", "Long", 3, 3)]
+    data = [("x", "d", t, "A", i, side, a * day, b * day, "1970-01", (i * 37 % 11 - 5) / 100) for i, (t, side, a, b) in enumerate(spans)]
+    schema = "exchange string, snapshot_date string, trader_id string, symbol string, position_key long, side string, opened_ms long, closed_ms long, month string, pr double"
+    df = spark.createDataFrame(data, schema).withColumn("side", F.initcap("side"))
+    rec = [(r[2], r[5].capitalize(), r[6], r[7], r[9]) for r in data]
+    hedge = [any(b[0] == a[0] and b[1] != a[1] and b[2] < a[3] and b[3] > a[2] and b[3] > b[2] and a[3] > a[2] for b in rec) for a in rec]
+    assert sum(hedge) == 4
+
+    def mean_alpha(trader, part):
+        out = []
+        for t, side, _, _, pr in part:
+            others = sorted(x[4] for x in part if x[1] == side and x[0] != trader)
+            if t == trader and others:
+                out.append(pr - (others[(len(others) - 1) // 2] + others[len(others) // 2]) / 2)
+        return sum(out) / len(out) if out else None
+
+    got = {r["trader_id"]: r for r in rows(sd.alpha_without_hedges(df, 1))}
+    assert set(got) == {"h", "c"}
+    rest = [a for a, g in zip(rec, hedge) if not g]
+    for t, r in got.items():
+        assert r["n_hedge_legs"] == 2 and r["n_all"] == sum(a[0] == t for a in rec)
+        assert r["alpha_all"] == pytest.approx(mean_alpha(t, rec))
+        assert (r["n_unhedged"] or 0) == sum(a[0] == t for a in rest)
+        assert r["alpha_unhedged"] == (None if mean_alpha(t, rest) is None else pytest.approx(mean_alpha(t, rest)))
+    lower = {r["trader_id"]: (r["n_hedge_legs"], r["n_unhedged"]) for r in rows(sd.alpha_without_hedges(df.withColumn("side", F.lower("side")), 1))}
+    assert lower == {t: (r["n_hedge_legs"], r["n_unhedged"]) for t, r in got.items()}
+
+
 def test_greedy_selection(spark):
     df = spark.createDataFrame([([200, 201, 230, 248, 300, 310],)], "i array<long>")
     assert df.select(sd._non_overlapping(F.col("i"), F.lit(24))).first()[0] == [200, 230, 300]

@@ -147,6 +147,12 @@ def _split_sums(df: DataFrame, sizes: DataFrame, n_iter: int, seed: int) -> Data
         for name, side in (("a", F.col("a")), ("b", ~F.col("a"))) for c, out in (("s", "sum"), ("m", "in"))])
 
 
+def rank_sum_z(rank_sum: Column, na: Column, nb: Column, floor: int = 20) -> Column:
+    """z of a rank sum over na rows against nb others; 0 where either side is small."""
+    u = rank_sum - na * (na + 1) / 2.0
+    return F.when((na >= floor) & (nb >= floor), (u - na * nb / 2.0) / F.sqrt(na * nb * (na + nb + 1) / 12.0)).otherwise(F.lit(0.0))
+
+
 def mann_whitney_cells(df: DataFrame, keys: list[str], cell: str, value: str, floor: int = 20) -> DataFrame:
     """z of every cell against the rest of its group, from one ranking per group."""
     counts = df.groupBy(*keys, value, cell).agg(F.count(F.lit(1)).alias("_cc"))
@@ -155,9 +161,7 @@ def mann_whitney_cells(df: DataFrame, keys: list[str], cell: str, value: str, fl
         F.sum(F.col("_cc") * F.col("_rank")).alias("_r"), F.sum("_cc").alias("_na"))
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     na, nb = F.col("_na"), F.col("_n") - F.col("_na")
-    u = F.col("_r") - na * (na + 1) / 2.0
-    sd = F.sqrt(na * nb * (na + nb + 1) / 12.0)
-    z = F.when((na >= floor) & (nb >= floor), (u - na * nb / 2.0) / sd).otherwise(F.lit(0.0))
+    z = rank_sum_z(F.col("_r"), na, nb, floor)
     return per_cell.join(totals, keys).select(*keys, cell, F.col("_na").alias("n_cell"), nb.alias("n_rest"), z.alias("z"))
 
 

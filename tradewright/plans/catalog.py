@@ -555,6 +555,7 @@ QUERIES: dict[str, Query] = {
     "e20_equity_floor_cost": lambda s, p: sd.equity_floor_cost(tb.trader_snapshot(s, p)).drop(*SCOPE),
     "e21_copy_scaling": copy_scale,
     "e22_hedge_overlap": lambda s, p: rounded(sd.hedge_overlap(_positions(s, p)).drop(*SCOPE)),
+    "e22_alpha_without_hedges": lambda s, p: rounded(sd.alpha_without_hedges(_positions(s, p)).drop(*SCOPE)),
     "e23_cell_drift": drift,
     "e24_marginal_flag_cost": lambda s, p: sd.marginal_flag_cost(_analysis(s, p).trended),
     "e25_closest_misses": misses,

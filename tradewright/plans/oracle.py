@@ -671,6 +671,13 @@ SQL["e22_hedge_overlap"] = _with(POS, "lg AS (SELECT * FROM pos WHERE closed_ms
   AND b.opened_ms < a.closed_ms AND b.closed_ms > a.opened_ms GROUP BY ALL)""",
     "pt AS (SELECT trader_id, sum(CASE WHEN side = 'Long' THEN c ELSE 0 END) AS p, count(*) FILTER (WHERE c > 0) AS l FROM ov GROUP BY ALL)") + f"""
 SELECT CAST(sum(p) AS BIGINT) AS n_pairs, CAST(sum(l) AS BIGINT) AS n_hedged_legs, {r(share('l > 0'))} AS share_traders FROM pt"""
+_PER = "SELECT trader_id, count(*) AS n, avg(alpha) AS alpha, " + t_of("alpha") + " AS t FROM al GROUP BY ALL"
+SQL["e22_alpha_without_hedges"] = _with(POS, """hl AS (SELECT p.*, EXISTS (SELECT 1 FROM pos b WHERE b.trader_id = p.trader_id AND b.symbol = p.symbol AND b.side <> p.side AND b.closed_ms > b.opened_ms
+  AND p.closed_ms > p.opened_ms AND b.opened_ms < p.closed_ms AND b.closed_ms > p.opened_ms) AS hedge FROM pos p WHERE pr IS NOT NULL)""",
+    f"whole AS ({_with('v AS (SELECT * FROM hl)', alpha_ctes())} {_PER})", f"rest AS ({_with('v AS (SELECT * FROM hl WHERE NOT hedge)', alpha_ctes())} {_PER})",
+    "h AS (SELECT trader_id, count(*) AS n_hedge_legs FROM hl WHERE hedge GROUP BY ALL)") + f"""
+SELECT trader_id, whole.n AS n_all, n_hedge_legs, {r('whole.alpha')} AS alpha_all, {r('whole.t')} AS t_all, rest.n AS n_unhedged, {r('rest.alpha')} AS alpha_unhedged, {r('rest.t')} AS t_unhedged
+  FROM h JOIN whole USING (trader_id) LEFT JOIN rest USING (trader_id)"""
 SQL["e23_cell_drift"] = _with(POS2, V, f"cb AS (SELECT snapshot_date, symbol, month, side, count(*) AS n, {med('pr')} AS b FROM v GROUP BY ALL)",
     "o AS (SELECT * FROM cb WHERE snapshot_date = '2000-01-01')", "w AS (SELECT * FROM cb WHERE snapshot_date = '2002-01-01')") + f"""
 SELECT coalesce(o.symbol, w.symbol) AS symbol, coalesce(o.month, w.month) AS month, coalesce(o.side, w.side) AS side, o.n AS n_old, {r('o.b')} AS bench_old, w.n AS n_new, {r('w.b')} AS bench_new,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tradewright.config import BAD, CELL, SCOPE, TRADER
 from tradewright.functions import columns as fc
 from tradewright.operators import stats
+from tradewright.operators.alpha import cell_benchmark, cell_table, leave_self_out, with_alpha
 from tradewright.operators.candles import as_of, excursions, regime, with_features
 from tradewright.operators.ordering import (
     AUTO, exclusive_quantile, group_quantiles, hot_keys, index_quantile, median, ordinal_rank, position_in_group, prefix_in_group,
@@ -345,16 +346,27 @@ def entry_features(trades: DataFrame, candles: DataFrame) -> DataFrame:
 FEATURES = ["r4", "r24", "r72", "ma", "range_pos", "vol"]
 
 
-def _compare_periods(df: DataFrame, keys: list[str], cell: str, value: str, floor: int = 30) -> DataFrame:
-    """Per cell: n and median in both periods, sign agreement, and z of the cell against the rest in the second."""
-    k = [*keys, cell]
-    wide = df.withColumn("_v1", F.when(F.col("half") == 0, F.col(value))).withColumn(
-        "_v2", F.when(F.col("half") == 1, F.col(value)))
-    n = wide.groupBy(*k).agg(F.count("_v1").alias("n1"), F.count("_v2").alias("n2"))
-    meds = group_quantiles(wide, k, {"med1": median("_v1"), "med2": median("_v2")})
-    z = stats.mann_whitney_cells(df.filter(F.col("half") == 1), keys, cell, value).select(*k, "z")
-    return n.filter((F.col("n1") >= floor) & (F.col("n2") >= floor)).join(meds, k).join(z, k).withColumn(
-        "consistent", (F.col("med1") > 0) == (F.col("med2") > 0))
+def _compare_periods(df: DataFrame, features: dict[str, Column], value: str, floor: int = 30) -> DataFrame:
+    """Per cell of each feature: n and median in both periods, sign agreement, and z of the cell against the rest in the second.
+
+    All features share one ranking of the second period. A row stands in one cell of each feature; those copies are made and counted inside a task,
+    and of their values only the few in the middle of a cell move.
+    """
+    cells = F.array(*[F.struct(F.lit(name).alias("feature"), c.alias("cell")) for name, c in features.items()])
+    slim = cut(df.select("half", F.col(value).alias("v"), cells.alias("cells")))
+    second = slim.filter(F.col("half") == 1).withColumn("_all", F.lit(0))
+    ranks = stats.value_ranks(second.select("_all", "v"), ["_all"], "v").select(
+        F.lit(1).alias("half"), "v", (F.col("lo") + (F.col("c") + 1) / 2.0).alias("_rank"))
+    long = slim.join(ranks, ["half", "v"], "left").select("half", "v", "_rank", F.explode("cells").alias("_f")).select("half", "v", "_rank", "_f.*")
+    long = long.filter(F.col("cell").isNotNull())
+    sums = long.groupBy("feature", "cell").agg(
+        F.count(F.when(F.col("half") == 0, F.col("v"))).alias("n1"), F.count(F.when(F.col("half") == 1, F.col("v"))).alias("n2"), F.sum("_rank").alias("_r"))
+    meds = cell_benchmark(long.select("half", "v", "feature", "cell"), 1, ["feature", "cell", "half"], "v").groupBy("feature", "cell").agg(
+        *[F.max(F.when(F.col("half") == i, F.col("bench"))).alias(f"med{i + 1}") for i in (0, 1)])
+    z = stats.rank_sum_z(F.col("_r"), F.col("n2"), F.col("_n") - F.col("n2"))
+    found = sums.filter((F.col("n1") >= floor) & (F.col("n2") >= floor)).join(meds, ["feature", "cell"])
+    return found.join(F.broadcast(second.agg(F.count(F.lit(1)).alias("_n")))).select(  # one row
+        "feature", "cell", "n1", "n2", "med1", "med2", z.alias("z"), ((F.col("med1") > 0) == (F.col("med2") > 0)).alias("consistent"))
 
 
 def entry_context(trades: DataFrame, candles: DataFrame) -> DataFrame:
@@ -363,16 +375,12 @@ def entry_context(trades: DataFrame, candles: DataFrame) -> DataFrame:
     edges = group_quantiles(df.filter(F.col("half") == 0), [], {
         f"{f}_{i}": slot_quantile(f, i, 3) for f in FEATURES for i in (1, 2)})
     cell = lambda f: F.when(F.col(f) < F.col(f"{f}_1"), "low").when(F.col(f) < F.col(f"{f}_2"), "mid").otherwise("high")
-    long = df.crossJoin(F.broadcast(edges)).select("net", "half", F.explode(F.array(*[  # one row
-        F.struct(F.lit(f).alias("feature"), cell(f).alias("cell")) for f in FEATURES])).alias("_f")).select(
-        "net", "half", "_f.feature", "_f.cell")
-    return _compare_periods(long, ["feature"], "cell", "net")
+    return _compare_periods(df.crossJoin(F.broadcast(edges)), {f: cell(f) for f in FEATURES}, "net")  # one row
 
 
 def momentum_side(trades: DataFrame, candles: DataFrame) -> DataFrame:
-    df = cut(entry_features(trades, candles)).withColumn("feature", F.lit("momentum x side")).withColumn(
-        "cell", F.concat(F.when(F.col("r24") > 0, "up").otherwise("down"), F.lit("+"), F.col("side")))
-    return _compare_periods(df, ["feature"], "cell", "net")
+    side = F.concat(F.when(F.col("r24") > 0, "up").otherwise("down"), F.lit("+"), F.col("side"))
+    return _compare_periods(cut(entry_features(trades, candles)), {"momentum x side": side}, "net")
 
 
 def exit_paths(trades: DataFrame, candles: DataFrame) -> DataFrame:
@@ -419,10 +427,7 @@ def rules_oos(trades: DataFrame, candles: DataFrame) -> DataFrame:
         "partial close": F.when(partial, "partial").otherwise("full"), "day of week": fc.weekday("opened_ms"),
         "hour UTC": fc.six_hour_block("opened_ms"),
     }
-    long = r.select("pr", "half", F.explode(F.array(*[
-        F.struct(F.lit(name).alias("feature"), c.alias("cell")) for name, c in features.items()])).alias("_f")).select(
-        "pr", "half", "_f.feature", "_f.cell")
-    return _compare_periods(long, ["feature"], "cell", "pr")
+    return _compare_periods(r, features, "pr")
 
 
 def rule_rows(trades: DataFrame, candles: DataFrame) -> DataFrame:
@@ -470,9 +475,9 @@ def rule_significance(rows: DataFrame, n_iter: int = 20_000) -> DataFrame:
 
 def stop_level_grid(rows: DataFrame, stops: tuple[float, ...] = (0.01, 0.02, 0.024, 0.05, 0.10)) -> DataFrame:
     """Mean outcome per stop level and period, beside no stop."""
-    grid = rows.withColumn("stop", F.explode(F.array(*[F.lit(s) for s in stops])))
-    return grid.groupBy("half", "stop").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(overlay(stop=F.col("stop"))).alias("mean_stopped"), F.avg("net").alias("mean_free"))
+    means = F.array(*[F.struct(F.lit(s).alias("stop"), F.avg(overlay(stop=s)).alias("mean_stopped")) for s in stops])
+    per = rows.groupBy("half").agg(F.count(F.lit(1)).alias("n"), means.alias("_means"), F.avg("net").alias("mean_free"))
+    return per.select("half", "n", F.explode("_means").alias("_m"), "mean_free").select("half", "_m.stop", "n", "_m.mean_stopped", "mean_free")
 
 
 def relative_thresholds(trades: DataFrame, candles: DataFrame, hours: int = 720, share: float = 2 / 3) -> DataFrame:
@@ -722,6 +727,27 @@ def hedge_legs(rows: DataFrame) -> DataFrame:
         (F.max(F.when(F.col("q") == 2, opp("_started"))) - F.max(F.when(F.col("q") == 1, opp("_ended")))).alias("n_overlaps"))
 
 
+def alpha_without_hedges(rows: DataFrame, min_cell: int = 20) -> DataFrame:
+    """For traders who hedge: alpha and t of all their positions, and again in a market from which every hedge leg is taken out.
+
+    A leg that overlaps an opposite one hedges, whichever of the two came first or encloses the other. The second benchmark is made of the
+    remaining positions of everyone, so neither side of the comparison holds a hedge.
+    """
+    keys = [*TRADER, "symbol", "position_key"]
+    legs = hedge_legs(rows).filter(F.col("n_overlaps") > 0).select(*keys, F.lit(True).alias("_hedge"))
+    marked = cut(rows.filter(F.col("pr").isNotNull()).select(*keys, "month", "side", "pr").join(legs, keys, "left"))
+
+    def per_trader(part: DataFrame, tag: str) -> DataFrame:
+        cells = cell_table(part, min_cell)
+        al = with_alpha(part, cells, leave_self_out(part, cells))
+        per = al.groupBy(*TRADER).agg(F.count(F.lit(1)).alias(f"n_{tag}"), F.count("_hedge").alias(f"_h_{tag}"), F.count("alpha").alias("_n"),
+                                      F.avg("alpha").alias(f"alpha_{tag}"), F.stddev_pop("alpha").alias("_sd"))
+        return per.withColumn(f"t_{tag}", fc.t_stat(F.col(f"alpha_{tag}"), F.col("_sd"), F.col("_n"))).drop("_sd", "_n")
+
+    whole = per_trader(marked, "all").filter(F.col("_h_all") > 0).withColumnRenamed("_h_all", "n_hedge_legs")
+    return whole.join(per_trader(marked.filter(F.col("_hedge").isNull()), "unhedged").drop("_h_unhedged"), TRADER, "left")
+
+
 def hedge_overlap(rows: DataFrame) -> DataFrame:
     """Overlapping opposite pairs per snapshot, and the share of traders who hedge."""
     legs = hedge_legs(rows)
