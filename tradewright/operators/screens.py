@@ -59,11 +59,11 @@ def principal_screen(series: DataFrame, principal: DataFrame) -> DataFrame:
 
 
 def positional_series(traders: DataFrame, values: str, end_ms: DataFrame) -> DataFrame:
-    """A series without timestamps: its last value belongs to the scope's last close, one day per step back."""
+    """A series without timestamps: its last value belongs to the end of its scope, one day per step back."""
     long = traders.select(*TRADER, F.size(values).alias("_len"), F.posexplode(values).alias("_i", "value"))
     return (
         long.join(F.broadcast(end_ms), SCOPE)  # one row per scope
-        .select(*TRADER, (F.col("series_end_ms") - (F.col("_len") - 1 - F.col("_i")) * DAY_MS).alias("ts"), "value")
+        .select(*TRADER, (F.col("series_end_ms") - (F.col("_len") - 1 - F.col("_i")).cast("bigint") * DAY_MS).alias("ts"), "value")
         .filter(F.col("value").isNotNull())
     )
 

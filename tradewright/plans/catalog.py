@@ -477,6 +477,17 @@ QUERIES: dict[str, Query] = {
     "s19_unify_traders": lambda s, p: rl.unified(s, p), "s21_statuses": rl.statuses,
     "s22_detail": lambda s, p: rounded(rl.details(s, p).select("trader_id", "retired", "copier_pnl", "copier_count_total")),
     "k2_ingest_sizes": ingested_sizes, "k2_ingest_traders": ingested_traders, "k2_ingest_ranking": ingested_ranking,
+    "s13_bybit_open": lambda s, p: rounded(rl.bybit_open(s, p).drop("file_pos", "leader_user_id"), 8),
+    "s13_bybit_traders": lambda s, p: rounded(rl.bybit_traders(s, p).select(
+        "trader_id", "nick", "leader_user_id", "win_rate_7d", "win_rate_3w", "locate_days", "wallet_balance", "n_followers")),
+    "s10_bybit_yields": lambda s, p: rounded(rl.bybit_yields(s, p)), "s10_bitget_returns": lambda s, p: rounded(rl.bitget_returns(s, p)),
+    "s14_bitget_open": _cols(rl.bitget_open, "trader_id", "position_key", "symbol_id", "side", "leverage", "avg_cost", "size", "margin", "opened_ms"),
+    "s14_bitget_cycles": _cols(rl.bitget_cycles, "trader_id", "nick", "cycle_days", "aum", "max_drawdown", "n_trades", "n_loss"),
+    "s14_bitget_details": lambda s, p: rounded(rl.bitget_details(s, p).drop("file_pos")),
+    "s15_kucoin_leaders": lambda s, p: rounded(rl.kucoin_leaders(s, p).select(
+        "trader_id", "nick", "principal", "days_as_leader", "total_pnl", "d7_pnl", F.size("pnl_series_90d").alias("n_days"))),
+    "s15_kucoin_summaries": lambda s, p: rl.kucoin_summaries(s, p).drop("file_pos"), "s23_okx_stats": lambda s, p: rounded(rl.okx_stats(s, p).drop("file_pos")),
+    "t5_positional_series": lambda s, p: rounded(rl.kucoin_positional(s, p).drop(*SCOPE), 4),
     "s24_assemble_records": rl.records, "s10_equity_points": lambda s, p: rounded(rl.equity_points(s, p)),
     "s11_latest_status": lambda s, p: rounded(rl.manifest(s, p), 2), "s12_candle_file": lambda s, p: rounded(rl.candle_file(s, p), 2),
     "s20_leaderboards": lambda s, p: rounded(rl.leaderboards(s, p), 2), "s23_recommend_list": lambda s, p: rounded(rl.recommended(s, p), 2),

@@ -778,3 +778,34 @@ UNION ALL SELECT 'u' || trader_id, snapshot_date, 'phemex', nick, NULL, NULL, NU
 SQL["k2_ingest_sizes"] = _with(POS2, "c AS (SELECT snapshot_date, exchange, count(*) AS p, count(DISTINCT trader_id) AS t FROM pos GROUP BY ALL)",
     "b AS (SELECT * FROM c UNION ALL SELECT snapshot_date, 'phemex', p, t FROM c WHERE snapshot_date = '2002-01-01')") + """
 SELECT snapshot_date, exchange, unnest([p, t, 1]) AS n, unnest(['positions', 'trader_snapshot', 'snapshots']) AS stored_table FROM b"""
+
+
+# Pages decoded by field tables.
+_ITEM = """it AS (SELECT (l_orderkey * 8 + l_linenumber) * 100000000 + l_partkey AS k, CAST(l_suppkey AS VARCHAR) AS t, 'nick' || l_suppkey AS nick, 'P' || (l_partkey % 50) AS sym,
+  l_orderkey AS o, l_linenumber AS ln, l_quantity AS qty, l_extendedprice AS px, l_tax AS tax, l_returnflag AS flag, l_linestatus AS st, epoch_ms(l_shipdate) AS ms FROM lineitem)"""
+SQL["s13_bybit_open"] = _with(_ITEM) + """SELECT t AS trader_id, nick, sym AS symbol, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, CASE WHEN st = 'O' THEN 'Buy' ELSE 'Sell' END AS side_raw,
+  ln::DOUBLE AS leverage, CASE WHEN ln = 3 THEN 0e0 ELSE px END AS entry_price, qty AS size, qty AS margin, CASE WHEN ln = 4 THEN tax END AS stop_loss, NULL::DOUBLE AS take_profit,
+  round(CASE flag WHEN 'A' THEN k % 1000000 WHEN 'R' THEN k % 777777 END / 1e8, 8) AS unrealized_pnl FROM it"""
+SQL["s13_bybit_traders"] = f"""SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, s_name AS nick, CAST(s_nationkey AS VARCHAR) AS leader_user_id, {r('(s_suppkey * 137 % 10000) / 1e4')} AS win_rate_7d,
+  {r('CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey * 91 % 10000) / 1e4 ELSE 0 END')} AS win_rate_3w, CASE WHEN s_suppkey % 5 <> 0 THEN s_nationkey::BIGINT END AS locate_days,
+  {r('s_acctbal')} AS wallet_balance, NULL::BIGINT AS n_followers FROM supplier"""
+SQL["s10_bybit_yields"] = f"SELECT CAST(user_id AS VARCHAR) AS trader_id, event_id AS ts, {r('round(value * 1e4) / 1e4')} AS value FROM events WHERE event_id % 3 <> 0"
+SQL["s10_bitget_returns"] = f"SELECT CAST(user_id AS VARCHAR) AS trader_id, event_id AS ts, {r('value * 1e-2')} AS value FROM events WHERE event_id % 4 <> 0 AND event_id % 7 <> 0"
+SQL["s14_bitget_open"] = _with(_ITEM) + """SELECT t AS trader_id, CAST(k AS VARCHAR) AS position_key, sym AS symbol_id, CASE WHEN st = 'O' THEN 'long' ELSE 'short' END AS side, ln::DOUBLE AS leverage,
+  CASE WHEN ln = 3 THEN 0e0 ELSE px END AS avg_cost, 0e0 AS size, qty AS margin, ms AS opened_ms FROM it WHERE o % 11 <> 0"""
+SQL["s14_bitget_cycles"] = """SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, s_name AS nick, CASE WHEN s_suppkey % 3 = 0 THEN 30 ELSE 90 END::BIGINT AS cycle_days, s_acctbal AS aum,
+  CASE WHEN s_suppkey % 4 <> 0 THEN s_suppkey % 97 ELSE 0 END::DOUBLE AS max_drawdown, (s_suppkey % 13)::BIGINT AS n_trades, NULL::BIGINT AS n_loss FROM supplier WHERE s_suppkey % 10 <> 0"""
+SQL["s14_bitget_details"] = """SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, s_acctbal AS aum, s_suppkey::BIGINT AS followers, 0e0 AS profit_share, (s_suppkey * 3)::DOUBLE AS follow_profit_7d,
+  CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey * 5 ELSE 0 END::DOUBLE AS follow_profit_30d, 0e0 AS follow_profit_90d, 0e0 AS follow_profit_180d, (s_suppkey % 89)::DOUBLE AS mdd, 0e0 AS roi,
+  0e0 AS win_rate, s_acctbal AS total_income FROM supplier"""
+_KC = """kc AS (SELECT c_custkey AS k, c_name, c_acctbal, list_filter(list_transform(range(0, 60), lambda i: CASE WHEN (c_custkey + i) % 17 <> 0 THEN ((c_custkey * 7919 + i * 104729) % 997 - 300) * (i + 1) END),
+  lambda v: v IS NOT NULL) AS s FROM customer)"""
+SQL["s15_kucoin_leaders"] = _with(_KC) + """SELECT CAST(k AS VARCHAR) AS trader_id, c_name AS nick, c_acctbal AS principal, CASE WHEN k % 3 <> 0 THEN k % 211 ELSE 0 END::BIGINT AS days_as_leader,
+  c_acctbal AS total_pnl, 0e0 AS d7_pnl, CASE WHEN k % 7 <> 0 THEN len(s)::INT END AS n_days FROM kc"""
+SQL["s15_kucoin_summaries"] = """SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, CAST(s_suppkey * 2 AS VARCHAR) AS uid, CASE WHEN s_suppkey % 2 = 0 THEN s_suppkey ELSE 0 END::BIGINT AS followers, 0::BIGINT AS following,
+  0::BIGINT AS copied_traders, 0::BIGINT AS allowed_copiers, (s_suppkey % 50)::BIGINT AS lead_days, NULL::VARCHAR AS position_visibility, s_suppkey % 3 = 0 AS on_leaderboard FROM supplier WHERE s_suppkey % 9 <> 0"""
+SQL["s23_okx_stats"] = f"""SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, {r('s_suppkey % 100 / 1e2')} AS win_ratio, s_nationkey::BIGINT AS profit_days, NULL::BIGINT AS loss_days,
+  CASE WHEN s_suppkey % 3 <> 0 THEN s_acctbal END AS invest_amount, NULL::DOUBLE AS avg_position_value, NULL::DOUBLE AS copier_pnl FROM supplier WHERE s_suppkey % 8 <> 0"""
+SQL["t5_positional_series"] = _with(_KC, "pt AS (SELECT k, unnest(range(1, len(s) + 1)) AS i, len(s) AS n, unnest(s) / c_acctbal * 1e2 AS v FROM kc WHERE k % 7 <> 0 AND c_acctbal > 0)",
+    "pk AS (SELECT *, max(v) OVER (PARTITION BY k ORDER BY i) - v AS d FROM pt)", "mx AS (SELECT k, max(d) AS depth FROM pk GROUP BY ALL)") + f"""
+SELECT CAST(k AS VARCHAR) AS trader_id, {r('depth', 4)} AS depth, 1009843200000 - (n - min(i)) * 86400000 AS trough_ts FROM pk JOIN mx USING (k) WHERE d = depth GROUP BY k, n, depth"""

@@ -10,9 +10,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tradewright.config import TRADER
 from tradewright.operators import quality as ql
 from tradewright.plans import ingest as ig
 from tradewright.plans import testbed as tb
+from tradewright.operators import screens as sc
+from tradewright.sources import fields as fl
 from tradewright.sources import pages as pg
 from tradewright.sources import positions as ps
 from tradewright.session import stage_dir
@@ -262,3 +265,100 @@ def ingested(s: SparkSession, p: str, vanish: bool = False) -> str:
     ig.ingest_folder(s, again, tb.PREVIOUS, store, both)
     ig.ingest_folder(s, deliver(s, p, tb.CURRENT, f"{home}/raw"), tb.CURRENT, store, both, force=True)
     return store
+
+
+# ---- pages that are decoded by field tables ----------------------------------------------------------------
+
+def bybit_open(s, p):
+    item = [F.col("sym").alias("symbol"), F.when(F.col("st") == "O", "Buy").otherwise("Sell").alias("side"), (F.col("ln") * 100).cast("string").alias("leverageE2"),
+            F.when(F.col("ln") != 3, text("px")).otherwise("n/a").alias("entryPrice"), F.when(F.col("ln") == 2, text("qty")).alias("size"), text("qty").alias("sizeX"),
+            F.round(F.col("qty") * 1e8).cast("long").cast("string").alias("orderCostE8"), F.when(F.col("ln") == 4, text("tax")).alias("stopLossPrice"),
+            F.when(F.col("flag") == "A", F.col("k") % 1000000).alias("uPnlE8"), F.when(F.col("flag") == "R", F.col("k") % 777777).alias("positionPnlE8")]
+    return fl.decode(_lines(_nested(_items(s, p), *item), F.col("t").alias("leaderMark"), F.col("nick").alias("nickName"), F.struct(
+        F.col("positions").alias("data")).alias("result")), fl.BYBIT_OPEN)
+
+
+def _suppliers(s, p):
+    return tb.table(s, p, "supplier").withColumn("k", F.col("s_suppkey"))
+
+
+def bybit_traders(s, p):
+    k = F.col("k")
+    return fl.decode(_lines(_suppliers(s, p), text("k").alias("leaderMark"), F.col("s_name").alias("nickName"), F.struct(
+        text("s_nationkey").alias("leaderUserId"), (k * 137 % 10000).alias("last7DaysWinRateE4"), F.when(k % 4 != 0, (k * 91 % 10000).cast("string")).alias("last3WeeksWinRateE4"),
+        F.when(k % 5 == 0, "x").otherwise(text("s_nationkey")).alias("locateDays"), F.round(F.col("s_acctbal") * 1e8).cast("long").alias("walletBalanceE8")).alias("result")), fl.BYBIT_TRADER)
+
+
+def _points(s, p):
+    return tb.spread(tb.table(s, p, "events")).withColumn("k", F.col("event_id"))
+
+
+def bybit_yields(s, p):
+    """One page per event: a point, an unreadable one, and the window it belongs to."""
+    point = F.struct(text("event_id").alias("statisticDate"), F.round(F.col("value") * 1e4).cast("long").alias("totalYieldRateE4"))
+    bad = F.struct(F.lit("x").alias("statisticDate"), F.lit(1).cast("long").alias("totalYieldRateE4"))
+    window = F.when(F.col("k") % 3 == 0, "7D").otherwise("90D")
+    return fl.bybit_yields(_lines(_points(s, p), text("user_id").alias("leaderMark"), window.alias("duration"), F.struct(
+        F.array(bad, point).alias("yieldTrend")).alias("result")), ["trader_id"])
+
+
+def bitget_returns(s, p):
+    point = F.struct(text("event_id").alias("dataTime"), text("value").alias("amount"))
+    return fl.bitget_returns(_lines(_points(s, p), text("user_id").alias("traderUid"), F.when(F.col("k") % 4 == 0, 30).otherwise(90).alias("cycleTime"),
+                                    F.when(F.col("k") % 7 == 0, "30066").otherwise("00000").alias("code"), F.struct(F.struct(
+                                        F.array(point, F.struct(F.lit("1").alias("dataTime"), F.lit("").alias("amount"))).alias("rows")).alias("roiRows")).alias("data")), ["trader_id"])
+
+
+def bitget_open(s, p):
+    item = [text("k").alias("orderNo"), F.col("sym").alias("symbolId"), F.when(F.col("st") == "O", 1).otherwise(0).alias("position"), text("ln").alias("openLevel"),
+            F.when(F.col("ln") != 3, text("px")).alias("openAvgPrice"), text("qty").alias("openMarginCount"), text("ms").alias("openTime")]
+    code = F.when(F.col("o") % 11 == 0, "30066").otherwise("00000")
+    return fl.decode(_lines(_nested(_items(s, p), *item), F.col("t").alias("traderUid"), F.col("nick").alias("displayName"), code.alias("code"), F.struct(
+        F.col("positions").alias("items")).alias("data")), fl.BITGET_OPEN)
+
+
+def bitget_cycles(s, p):
+    k = F.col("k")
+    return fl.decode(_lines(_suppliers(s, p), text("k").alias("traderUid"), F.col("s_name").alias("displayName"), F.when(k % 3 == 0, 30).otherwise(90).alias("cycleTime"), F.when(
+        k % 10 == 0, "500").otherwise("00000").alias("code"), F.struct(F.struct(text("s_acctbal").alias("aum"), F.when(k % 4 != 0, (k % 97).cast("string")).alias("maxRetracement"),
+        (k % 13).alias("totalTrades")).alias("statisticsDTO")).alias("data")), fl.BITGET_CYCLE)
+
+
+def bitget_details(s, p):
+    k, metric = F.col("k"), lambda code, v: F.struct(F.lit(code).alias("showColumnCode"), v.cast("string").alias("comparedValue"))
+    return fl.bitget_details(_lines(_suppliers(s, p), text("k").alias("traderUid"), F.lit("00000").alias("code"), F.struct(
+        text("s_acctbal").alias("aum"), k.alias("followerCount"), F.struct((k * 3).alias("day7"), F.when(k % 2 == 0, k * 5).alias("day30")).alias("followProfits"), F.array(
+            metric("max_retracement", k % 89), metric("income", F.lit(-1)), metric("other", k), metric("income", F.col("s_acctbal"))).alias("itemVoList")).alias("data")))
+
+
+def _leader_lines(s, p):
+    """Leaderboard pages, one per nation: customers as traders with a daily PnL series that has unreadable entries."""
+    k = F.col("c_custkey")
+    days = F.transform(F.sequence(F.lit(0), F.lit(59)), lambda i: F.when((k + i) % 17 == 0, "n/a").otherwise((((k * 7919 + i * 104729) % 997 - 300) * (i + 1)).cast("string")))
+    item = F.struct(k.alias("leadConfigId"), F.col("c_name").alias("nickName"), text("c_acctbal").alias("leadPrincipal"), F.when(k % 3 != 0, k % 211).alias("daysAsLeader"),
+                    text("c_acctbal").alias("totalPnl"), F.when(k % 7 != 0, days).alias("ninetyDayPnlDate"))
+    cust = tb.table(s, p, "customer").groupBy(F.floor(k / 20).alias("k")).agg(F.collect_list(item).alias("items"))
+    return _lines(cust, F.lit(True).alias("success"), F.struct("items").alias("data"))
+
+
+def kucoin_leaders(s, p):
+    return fl.decode(_leader_lines(s, p), fl.KUCOIN_LEADER)
+
+
+def kucoin_positional(s, p):
+    """Drawdown of series without times, dated back from the day they were collected, over the trader's principal."""
+    leaders = kucoin_leaders(s, p).withColumns({"snapshot_date": F.lit(tb.CURRENT), "exchange": F.lit("kucoin")})
+    end = s.range(1).select(F.lit(tb.CURRENT).alias("snapshot_date"), F.lit("kucoin").alias("exchange"), F.lit(1_009_843_200_000).alias("series_end_ms"))
+    return sc.principal_screen(sc.positional_series(leaders, "pnl_series_90d", end), leaders.select(*TRADER, "principal"))
+
+
+def kucoin_summaries(s, p):
+    k = F.col("k")
+    return fl.decode(_lines(_suppliers(s, p), text("k").alias("leadConfigId"), (k % 9 != 0).alias("success"), F.struct(
+        (k * 2).alias("uid"), F.when(k % 2 == 0, k).alias("followersSum"), (k % 50).cast("string").alias("leadDays"), (k % 3 == 0).alias("onLeaderboard")).alias("data")), fl.KUCOIN_SUMMARY)
+
+
+def okx_stats(s, p):
+    k = F.col("k")
+    return fl.decode(_lines(_suppliers(s, p), text("k").alias("uniqueCode"), F.when(k % 8 == 0, "50001").otherwise("0").alias("code"), F.array(F.struct(
+        (k % 100 / 100).cast("string").alias("winRatio"), text("s_nationkey").alias("profitDays"), F.when(k % 3 == 0, "").otherwise(text("s_acctbal")).alias("investAmt"))).alias("data")), fl.OKX_STATS)

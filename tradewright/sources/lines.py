@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -23,7 +24,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                           F.lit(0).cast("long").alias("row")).alias("file_pos"))
 
 
-def parse(lines: DataFrame, schema: str, out: str = "r") -> DataFrame:
+def parse(lines: DataFrame, schema: str | StructType, out: str = "r") -> DataFrame:
     """Parses `value`; malformed lines are dropped."""
     parsed = lines.withColumn(out, F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     return parsed.filter(F.get_json_object("value", "$").isNotNull() & F.col(out).isNotNull()).drop("value")
