@@ -10,7 +10,7 @@ Words are 64-bit codes. The most frequent ones (`page`, which bounds the broadca
 A hash that a frequent word shares with another word is found beforehand, over the whole vocabulary, and the hashes are then drawn anew. Words that
 occur too seldom for any phrase end phrases: a bit map of fixed size tells nearly all of them apart, and lets the rest pass to be abandoned later.
 
-Broadcast are the page (at most 2**17 words of 64 bytes), the bit map (8 MB) and the splitters (8 bytes per 2**21 suffixes: 64 MB at 100 TB).
+Broadcast are the page (at most 2**17 words of 64 bytes), the bit map (8 MB) and the splitters (8 bytes per 2**20 suffixes: 128 MB at 100 TB).
 
 Every language (`und` for NULL) is a corpus of its own. Defined results: NULL text is empty; words and pieces follow the byte rules below, whatever the language;
 repeated rows count each; an empty table gives no row; other columns are not read. Scores are exact (decimal arithmetic).
@@ -39,8 +39,8 @@ HASHED = np.uint64(1 << 63)  # marks the code of a word that is not on the page
 STOP, SKIP = np.uint64((1 << 64) - 1), np.uint64((1 << 64) - 2)  # the codes of a piece's end, and of no word
 MIX = np.uint64(0x9E3779B97F4A7C15)
 SLICE = 4 << 20  # bytes of a text taken at once
-FLUSH = 1 << 20  # words held before they are counted or routed
-RANGE = 2 << 20  # suffixes a range should have
+FLUSH = 1 << 19  # words held before they are counted or routed
+RANGE = 1 << 20  # suffixes a range should have
 EVERY = RANGE // 128  # words a sampled suffix stands for
 SMALL = 2048  # pointers below which a part is sorted by its word directly
 PAGE, PAGE_WORD = 1 << 17, 64  # words on the page, and bytes of one
