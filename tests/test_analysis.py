@@ -234,3 +234,26 @@ def test_dedup_rules(spark):
     assert (first, last, shaped) == ([10, 40, 50], [30, 40, 50], [20, 40, 50])
     assert rows(ql.missing_keys(df, ["k"])) == [{"n_missing_key": 2, "n_rows": 5}]
     assert DetectConfig().min_n == 60
+
+
+def test_allocation_fills_up_to_the_caps(spark):
+    """Against raising one common level of weight per score until the pool is spent or all stand at the cap."""
+    import random
+    rng = random.Random(4)
+    data, want = [], {}
+    for g in range(60):
+        tiers = {"A": [rng.choice([1.0, 2.0, rng.uniform(0.01, 9)]) for _ in range(rng.randrange(0, 6))], "B": [rng.uniform(0.1, 3) for _ in range(rng.randrange(0, 6))]}
+        for t, scores in tiers.items():
+            cap = {"A": 0.2, "B": 0.1}[t]
+            pool = {"A": 0.7, "B": 0.3}[t] if tiers["A"] and tiers["B"] else 1.0
+            low, high = 0.0, 1e3
+            for _ in range(200):
+                level = (low + high) / 2
+                low, high = (level, high) if sum(min(cap, level * s) for s in scores) < pool else (low, level)
+            for i, s in enumerate(scores):
+                data.append((f"s{g}", "x", f"{t}{i}", t, s))
+                want[f"s{g}", f"{t}{i}"] = min(cap, low * s)
+    got = rows(rk.allocate(spark.createDataFrame(data, "snapshot_date string, exchange string, trader_id string, tier string, score double")))
+    assert len(got) == len(want)
+    for r in got:
+        assert abs(r["weight"] - want[r["snapshot_date"], r["trader_id"]]) <= 0.025 + 1e-6, r

@@ -8,10 +8,11 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tradewright.config import DetectConfig
 from tradewright.operators import candles as cd
 from tradewright.operators import stats as st
 from tradewright.plans import studies as sd
-from tradewright.streaming.live import dedup_stream, mass_close_stream
+from tradewright.streaming.live import dedup_stream, live_mass_closes, mass_close_stream
 
 H = 3_600_000
 
@@ -130,18 +131,42 @@ def test_greedy_selection(spark):
 
 def test_streams_equal_batch(spark):
     root = tempfile.mkdtemp(prefix="run-")
-    base = spark.sql("select timestamp_seconds(1700000000 + id div 6) closed_ts, concat('t', id % 2) trader_id, if(id % 2 = 0, -1.0D, 1.0D) pnl, id % 40 k from range(60)")
-    late = spark.sql("select timestamp_seconds(1700009999) closed_ts, 'end' trader_id, 0.0D pnl, 99L k")
+    base = spark.sql("select timestamp_seconds(1700000000 + id div 6) closed_ts, 'x' exchange, concat('t', id % 2) trader_id, if(id % 2 = 0, -1.0D, 1.0D) pnl, id % 40 k from range(60)")
+    late = spark.sql("select timestamp_seconds(1700009999) closed_ts, 'x' exchange, 'end' trader_id, 0.0D pnl, 99L k")
     dense = base.withColumn("closed_ts", F.expr("timestamp_seconds(1700000000 + (k div 20))"))
     dense.unionByName(late).coalesce(1).write.parquet(f"{root}/in")
     stream = spark.readStream.schema(dense.schema).parquet(f"{root}/in")
     q = mass_close_stream(stream).writeStream.outputMode("append").format("memory").queryName("mass").trigger(availableNow=True).start()
     q.awaitTermination(120)
     got = sorted(map(tuple, spark.table("mass").collect()))
-    want = sorted(map(tuple, dense.groupBy("trader_id", F.unix_seconds("closed_ts").alias("second")).agg(
+    want = sorted(map(tuple, dense.groupBy("exchange", "trader_id", F.unix_seconds("closed_ts").alias("second")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("net")).filter("n >= 5 and net < 0").collect()))
     assert got == want and got
     q = dedup_stream(spark.readStream.schema(dense.schema).parquet(f"{root}/in"), ["k"], "closed_ts").writeStream.outputMode("append").format(
         "memory").queryName("dd").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("dd").count() == 41
+
+
+def test_live_clusters_count_each_position_once(spark):
+    """Repeated deliveries, one id on two exchanges, and a row far too late; against the batch result over distinct positions in time."""
+    root = tempfile.mkdtemp(prefix="run-")
+    schema = "seq int, closed_ts long, exchange string, trader_id string, position_key string, pnl double"
+    base = [(1, 1_700_000_000 + i // 8, "a" if i % 2 else "b", "same", f"p{i}", -1.0) for i in range(64)]
+    again = [(2, *r[1:]) for r in base[:40]] + [(2, 1_700_000_003, "a", "same", f"q{i}", -2.0) for i in range(3)]
+    ahead = [(3, 1_700_009_000, "a", "end", "z", 0.0)]
+    late = [(4, 1_700_000_000, "a", "same", f"late{i}", -9.0) for i in range(9)] + [(4, 1_700_019_000, "a", "end", "zz", 0.0)]
+    schema_ts = schema.replace("closed_ts long", "closed_ts timestamp")
+    for part in (base, again, ahead, late):  # one micro-batch each
+        spark.createDataFrame(part, schema).withColumn("closed_ts", F.timestamp_seconds("closed_ts")).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(schema_ts).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+        q = live_mass_closes(stream, "1 minute", DetectConfig(mass_close_positions=4)).writeStream.outputMode("append").format("parquet").option(
+            "checkpointLocation", f"{root}/state").option("path", f"{root}/out").trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{root}/out").select("exchange", "trader_id", "second", "n", "net").collect())
+    distinct = {(r[2], r[3], r[4]): r for r in base + again}.values()
+    counts = {}
+    for _, second, exchange, trader, _, pnl in distinct:
+        n, net = counts.get((exchange, trader, second), (0, 0.0))
+        counts[exchange, trader, second] = (n + 1, net + pnl)
+    assert got == sorted((*k, *v) for k, v in counts.items() if v[0] >= 4) and len(got) == 16

@@ -39,6 +39,11 @@ class Analysis:
     def roster_rows(self) -> DataFrame:
         return rank.roster_rows(self.roster, self.candidates)
 
+    def report_tables(self) -> dict[str, DataFrame]:
+        """The data behind the report, to be published as one set."""
+        return {"roster": self.roster_rows(), "changes": self.diff(), "removed": self.removed(), "ages": rank.portfolio_ages(self.roster_rows()),
+                "exclusions": rank.notable_exclusions(self.tiered)}
+
 
 def analyse(positions: DataFrame, snapshot: DataFrame, open_positions: DataFrame | None = None, min_cell: int = 20,
             detect_config: DetectConfig = DetectConfig(), rank_config: RankConfig = RankConfig()) -> Analysis:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,6 +25,8 @@ from tradewright.plans import raw_lines as rl
 from tradewright.plans import studies as sd
 from tradewright.plans import testbed as tb
 from tradewright.plans.analysis import Analysis, analyse
+from tradewright.session import stage_dir
+from tradewright.sources import publish as pb
 
 Query = Callable[[SparkSession, str], DataFrame]
 MIN_CELL = 20
@@ -442,6 +446,15 @@ def ingested_ranking(s, p):
     return rounded(tiers.select(*TRADER, "n", "n_alpha", "alpha", "t_stat", F.array_join(F.array_sort("flags"), ",").alias("flags"), "score", "tier", "weight"))
 
 
+def published_report(s, p):
+    """What a reader of the latest report finds."""
+    root = f"{stage_dir(s)}/stage-report-{uuid.uuid4().hex}"
+    pb.publish(s, _analysis(s, p).report_tables(), root, tb.CURRENT)
+    pb.promote(s, root, tb.CURRENT)
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).withColumn("report_table", F.lit(name)) for name, t in pb.read(s, root).items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
 def copy_scale(s, p):
     minimum = tb.table(s, p, "part").groupBy(F.col("p_type").alias("symbol")).agg((F.max("p_size") * 1.0).alias("min_notional"))
     return rounded(sd.copy_scaling(_positions(s, p), tb.trader_snapshot(s, p), minimum).drop(*SCOPE), 3)
@@ -488,6 +501,7 @@ QUERIES: dict[str, Query] = {
         "trader_id", "nick", "principal", "days_as_leader", "total_pnl", "d7_pnl", F.size("pnl_series_90d").alias("n_days"))),
     "s15_kucoin_summaries": lambda s, p: rl.kucoin_summaries(s, p).drop("file_pos"), "s23_okx_stats": lambda s, p: rounded(rl.okx_stats(s, p).drop("file_pos")),
     "t5_positional_series": lambda s, p: rounded(rl.kucoin_positional(s, p).drop(*SCOPE), 4),
+    "s20_board_pages": rl.board_pages, "k5_published_report": published_report,
     "s24_assemble_records": rl.records, "s10_equity_points": lambda s, p: rounded(rl.equity_points(s, p)),
     "s11_latest_status": lambda s, p: rounded(rl.manifest(s, p), 2), "s12_candle_file": lambda s, p: rounded(rl.candle_file(s, p), 2),
     "s20_leaderboards": lambda s, p: rounded(rl.leaderboards(s, p), 2), "s23_recommend_list": lambda s, p: rounded(rl.recommended(s, p), 2),

@@ -161,14 +161,6 @@ def _list(names: list[str]) -> str:
 
 
 def rank_ctes() -> str:
-    rounds = []
-    prev = "w0"
-    for i in range(1, 6):
-        rounds.append(f"""x{i} AS (SELECT *, sum(greatest(0, weight - cap)) OVER g AS exc,
-  sum(CASE WHEN least(weight, cap) < cap - 1e-9 THEN score END) OVER g AS room FROM {prev} WINDOW g AS (PARTITION BY snapshot_date, tier)),
-w{i} AS (SELECT * EXCLUDE (weight, exc, room), least(weight, cap) + CASE WHEN exc >= 1e-9 AND least(weight, cap) < cap - 1e-9
-  THEN exc * score / room ELSE 0 END AS weight FROM x{i})""")
-        prev = f"w{i}"
     return f"""snaps AS (SELECT snapshot_date, lag(snapshot_date) OVER (ORDER BY snapshot_date) AS prev_date,
   row_number() OVER (ORDER BY snapshot_date) AS snapshot_no FROM (SELECT DISTINCT snapshot_date FROM pos)),
 trn0 AS (SELECT d.*, s.prev_date, s.snapshot_no, o.alpha AS prev_alpha, o.lev_med AS prev_lev, o.marg_med AS prev_marg,
@@ -187,13 +179,15 @@ sco AS (SELECT *, list_sort(list_intersect(flags, {_list(BAD)})) AS bad, list_so
 seat AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY snapshot_date ORDER BY score DESC, trader_id) AS rank_now,
   CASE WHEN len(warnings) = 0 AND (seen >= 2 OR (snapshot_no <= 1 AND n > 300)) THEN 'A' ELSE 'B' END AS tier
   FROM sco WHERE len(bad) = 0 AND score > 0) WHERE rank_now <= 5),
-w0 AS (SELECT *, CASE WHEN tier = 'A' THEN 0.2e0 ELSE 0.1e0 END AS cap,
-  (CASE WHEN tier = 'A' THEN CASE WHEN nb = 0 THEN 1e0 ELSE 0.7e0 END ELSE CASE WHEN na2 = 0 THEN 1e0 ELSE 0.3e0 END END)
-    * score / sum(score) OVER (PARTITION BY snapshot_date, tier) AS weight
+w0 AS (SELECT *, CASE WHEN tier = 'A' THEN 0.2e0 ELSE 0.1e0 END AS cap, CASE WHEN na2 * nb = 0 THEN 1e0 WHEN tier = 'A' THEN 0.7e0 ELSE 0.3e0 END AS pool,
+  row_number() OVER (PARTITION BY snapshot_date, tier ORDER BY score DESC, trader_id) AS k
   FROM (SELECT *, count(*) FILTER (WHERE tier = 'A') OVER (PARTITION BY snapshot_date) AS na2,
     count(*) FILTER (WHERE tier = 'B') OVER (PARTITION BY snapshot_date) AS nb FROM seat)),
-{','.join(rounds)},
-ros AS (SELECT * EXCLUDE (weight), least(round_even(weight * 20, 0) / 20, cap) AS weight FROM w5),
+lev AS (SELECT snapshot_date, tier, m, any_value(cap) AS c, (any_value(pool) - m * any_value(cap)) / sum(score) AS per_score, max(score) AS top
+  FROM w0, range(0, 5) t(m) WHERE k > m GROUP BY snapshot_date, tier, m),
+lev1 AS (SELECT snapshot_date, tier, min(m) AS m, arg_min(per_score, m) AS per_score FROM lev WHERE per_score * top <= c + 1e-12 GROUP BY ALL),
+ros AS (SELECT w.* EXCLUDE (pool, k), least(round_even((CASE WHEN l.m IS NULL OR k <= l.m THEN cap ELSE l.per_score * score END) * 20, 0) / 20, cap) AS weight
+  FROM w0 w LEFT JOIN lev1 l USING (snapshot_date, tier)),
 tie AS (SELECT s.*, coalesce(r.tier, CASE WHEN len(list_filter(s.bad, lambda x: NOT list_contains({_list(NOT_A_DEFECT)}, x))) = 0 THEN 'W' ELSE 'X' END) AS tier,
   coalesce(r.weight, 0) AS weight FROM sco s LEFT JOIN ros r USING (snapshot_date, trader_id)),
 prv AS (SELECT s.snapshot_date, r.trader_id, r.nick, r.tier AS tier_prev, r.weight AS weight_prev FROM snaps s JOIN ros r ON r.snapshot_date = s.prev_date)"""
@@ -809,3 +803,8 @@ SQL["s23_okx_stats"] = f"""SELECT CAST(s_suppkey AS VARCHAR) AS trader_id, {r('s
 SQL["t5_positional_series"] = _with(_KC, "pt AS (SELECT k, unnest(range(1, len(s) + 1)) AS i, len(s) AS n, unnest(s) / c_acctbal * 1e2 AS v FROM kc WHERE k % 7 <> 0 AND c_acctbal > 0)",
     "pk AS (SELECT *, max(v) OVER (PARTITION BY k ORDER BY i) - v AS d FROM pt)", "mx AS (SELECT k, max(d) AS depth FROM pk GROUP BY ALL)") + f"""
 SELECT CAST(k AS VARCHAR) AS trader_id, {r('depth', 4)} AS depth, 1009843200000 - (n - min(i)) * 86400000 AS trough_ts FROM pk JOIN mx USING (k) WHERE d = depth GROUP BY k, n, depth"""
+SQL["s20_board_pages"] = """WITH o AS (SELECT o_orderkey AS o, CASE WHEN o_orderkey % 31 <> 0 THEN o_custkey END AS c, ['binance', 'okx', 'bybit', 'bitget', 'kucoin'][o_orderkey % 5 + 1] AS exchange
+  FROM orders WHERE (o_orderkey // 20) % 13 <> 0)
+SELECT exchange, CAST(c AS VARCHAR) AS trader_id, CASE WHEN exchange IN ('bitget', 'kucoin') THEN min(o) ELSE max(o) END AS kept FROM o WHERE c IS NOT NULL GROUP BY exchange, c"""
+SQL["k5_published_report"] = " UNION ALL ".join(f"SELECT '{t}' AS report_table, count(*) AS n FROM ({q})" for t, q in (
+    ("roster", SQL["roster"]), ("changes", SQL["r9_snapshot_diff"]), ("removed", SQL["r8_removed"]), ("ages", SQL["r10_portfolio_ages"]), ("exclusions", SQL["r11_notable_exclusions"])))

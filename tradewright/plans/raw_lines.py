@@ -362,3 +362,21 @@ def okx_stats(s, p):
     k = F.col("k")
     return fl.decode(_lines(_suppliers(s, p), text("k").alias("uniqueCode"), F.when(k % 8 == 0, "50001").otherwise("0").alias("code"), F.array(F.struct(
         (k % 100 / 100).cast("string").alias("winRatio"), text("s_nationkey").alias("profitDays"), F.when(k % 3 == 0, "").otherwise(text("s_acctbal")).alias("investAmt"))).alias("data")), fl.OKX_STATS)
+
+
+def board_pages(s, p):
+    """Leaderboard pages of five sources, one per 20 orders of a source: their customers, who stand on many pages."""
+    names = list(fl.BOARDS)
+    order = tb.spread(tb.table(s, p, "orders")).select(
+        F.col("o_orderkey").alias("o"), F.floor(F.col("o_orderkey") / 20).alias("k"), F.when(F.col("o_orderkey") % 31 != 0, F.col("o_custkey")).alias("c"))
+    out = []
+    for i, (name, board) in enumerate(fl.BOARDS.items()):
+        item = F.struct(F.col("c").alias(board.ident), F.col("o").alias("order"))
+        pages = order.filter(F.col("o") % len(names) == i).groupBy("k").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", item.alias("item")))), lambda x: x["item"]).alias("rows"))
+        row_key = board.rows.rsplit(".", 1)[1]
+        inner = F.struct(F.col("rows").alias(row_key))
+        body = F.array(inner) if "[0]" in board.rows else inner
+        ok = F.when(F.col("k") % 13 == 0, "no").otherwise(board.ok)
+        lines = _lines(pages, ok.alias(board.answer[2:]), body.alias(board.rows[2:].split(".")[0].removesuffix("[0]")))
+        out.append(fl.board_rows(lines, name).select("exchange", "trader_id", F.col("row")["order"].cast("bigint").alias("kept")))
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])

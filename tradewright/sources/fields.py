@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tradewright.functions import columns as fc
 from tradewright.sources.lines import parse
+from tradewright.sources.pages import leaderboard
 
 
 @dataclass(frozen=True)
@@ -224,3 +225,38 @@ def bybit_yields(lines: DataFrame, keys: list[str]) -> DataFrame:
 def bitget_returns(lines: DataFrame, keys: list[str]) -> DataFrame:
     """The 90-day return series; percent numbers as fractions."""
     return dated_series(decode(lines, BITGET_CYCLE), keys, "roi_series", F.col("cycle_days") == BITGET_WINDOW, 0.01)
+
+
+@dataclass(frozen=True)
+class Board:
+    """Where a source's leaderboard pages hold their rows, what identifies a trader, and which copy of one counts."""
+
+    rows: str
+    ident: str
+    keep: str
+    answer: str
+    ok: str
+
+
+# The leaderboard pages of five sources.
+BOARDS = {
+    "binance": Board("$.data.list", "leadPortfolioId", "last", "$.code", "000000"),
+    "okx": Board("$.data[0].ranks", "uniqueCode", "last", "$.code", "0"),
+    "bybit": Board("$.result.leaderDetails", "leaderUserId", "last", "$.retCode", "0"),
+    "bitget": Board("$.data.rows", "traderUid", "first", "$.code", "200"),
+    "kucoin": Board("$.data.items", "leadConfigId", "first", "$.success", "true"),
+}
+
+
+def board_rows(pages: DataFrame, exchange: str) -> DataFrame:
+    """(exchange, trader_id, row, place): one row per trader of all pages, as a map of its published fields.
+
+    A trader moves between pages while they are collected. Copies are ordered by file, page within it and row within that, and the first or the last
+    one counts, as the source has it. Rows without an id and pages that are no answer give nothing.
+    """
+    board = BOARDS[exchange]
+    answers = pages.filter(F.get_json_object("value", board.answer) == board.ok)
+    rows = answers.select("file_pos", F.posexplode(F.from_json(F.get_json_object("value", board.rows), "array<map<string,string>>")).alias("_i", "row"))
+    found = rows.select(F.lit(exchange).alias("exchange"), F.try_element_at("row", F.lit(board.ident)).alias("trader_id"), "row",
+                        F.struct("file_pos", "_i").alias("place")).filter(F.col("trader_id").isNotNull())
+    return leaderboard(found, "trader_id", board.keep, "place")

@@ -147,9 +147,9 @@ def pivot_columns(names: str | Column, values: str | Column) -> Column:
     return pivot_items(F.arrays_zip(fc.col(names).alias("n"), fc.col(values).alias("v")), "n", "v")
 
 
-def leaderboard(pages: DataFrame, ident: str, keep: str) -> DataFrame:
+def leaderboard(pages: DataFrame, ident: str, keep: str, place: str = "file_pos") -> DataFrame:
     """Page rows deduplicated by trader; which copy wins differs by source."""
-    return last_wins(pages, [ident], "file_pos") if keep == "last" else first_wins(pages, [ident], "file_pos")
+    return last_wins(pages, [ident], place) if keep == "last" else first_wins(pages, [ident], place)
 
 
 def read_listing(rows: DataFrame, exchange: str) -> DataFrame:
