@@ -111,3 +111,19 @@ def test_every_stage_takes_an_empty_table(spark, folder):
     none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
     for name, stage in STAGES.items():
         assert stage(spark, none, folder).count() == 0, name
+
+
+def test_names_that_need_quoting(spark, folder):
+    """Blanks, dots and backticks in names, also within types, and names that the stages use themselves."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr(
+        "*", "1 `my col`", "2 `a.b`", "3 `c``d`", "named_struct('x y', 4, 'z.w', 'v') `s t`", "array(1) ids", "'k' `c0`", "5 runs")
+    names = docs.columns
+    for name, stage in list(STAGES.items())[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == names, name
+        row = out.first()
+        assert (row["my col"], row["a.b"], row["c`d"], row["s t"]["x y"], row["c0"], row["runs"], row["ids"]) == (1, 2, 3, 4, "k", 5, [1]), name
+    coded = bpe.encode(docs, corpus_pipeline.RANKS, tokenizers.PATTERN)
+    assert coded.columns == [c for c in names if c not in ("text", "ids")] + ["ids"]
+    assert coded.where("doc_id = 0").first()["s t"]["z.w"] == "v" and len(coded.where("doc_id = 0").first()["ids"]) > 10
+    assert STAGES["byte_bpe"](spark, docs, folder).count() == docs.count()

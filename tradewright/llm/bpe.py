@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import cut, sweep, utf8
+from tradewright.llm.common import cut, extended, sweep, utf8, whole_row
 from tradewright.llm.token_counts import frequent
 
 SLOTS = 131_071  # a prime: pairs of ids spread evenly
@@ -152,7 +152,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
 
     NULL and empty texts have no ids. The frequent words' ids are broadcast (at most `broadcast_words`); a document's other words are
     folded where they stand, so neither the texts nor the tokens are shuffled. A word of more than FOLDED bytes is merged by the tiktoken
-    library instead, since the fold's work grows with the square of its length. Every row gives a row with all its columns.
+    library instead, since the fold's work grows with the square of its length. Every row gives a row with all its columns but the text; a column ids of the caller gives way.
     """
     spark = docs.sparkSession
     ranks = ranks_of(rank_file)
@@ -221,12 +221,12 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, broadcast_words: int =
                     at += 1
                 yield pa.RecordBatch.from_arrays([batch.column("whole").slice(start, at - start), *segments(made)], names=["whole", "runs", "places", "rare"])
 
-    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("whole"))
-    whole = packed.schema["whole"].dataType.simpleString()
-    known_runs = packed.mapInArrow(split_documents, f"whole {whole}, runs array<array<int>>, places array<int>, rare array<string>")
+    whole, columns = whole_row(docs, ("text", "ids"))
+    packed = docs.select("text", whole)
+    known_runs = packed.mapInArrow(split_documents, extended(packed, ["whole"], "runs array<array<int>>, places array<int>, rare array<string>"))
     rare_ids = let(pairs, lambda p: F.transform("rare", lambda w: fold(w.cast("binary"), p, bytes_ids)))
     filled = let(rare_ids, lambda rare: F.transform("runs", lambda run, i: F.when(i < F.size("places"), F.concat(run, F.get(rare, F.get("places", i)))).otherwise(run)))
-    return known_runs.select("whole.*", F.flatten(filled).alias("ids"))
+    return known_runs.select("whole", F.flatten(filled).alias("made")).select(*columns.values(), F.col("made").alias("ids"))
 
 
 def decoded(ids: Column, rank_file: str) -> Column:

@@ -10,10 +10,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tradewright.session import cut, release
 
-__all__ = ["cut", "held_out", "labelled_sample", "per_row", "release", "rows_of", "salted_join", "slices", "sweep", "table", "utf8"]
+__all__ = ["cut", "extended", "held_out", "labelled_sample", "per_row", "release", "rows_of", "salted_join", "slices", "sweep", "table", "utf8", "whole_row"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +68,19 @@ def per_row(df: DataFrame, column: str, function, fields: dict[str, pa.DataType]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in kept] + [pa.array(made[n], t) for n, t in fields.items()], names=[*kept, *fields])
 
-    had = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name in kept)
-    return df.mapInArrow(run, f"{had}, {schema}" if had else schema)
+    return df.mapInArrow(run, extended(df, kept, schema))
+
+
+def extended(df: DataFrame, kept: list[str], schema: str) -> StructType:
+    """The schema of the kept columns and the new ones; as an object, since names inside a type can't be quoted in text."""
+    return StructType([df.schema[c] for c in kept] + StructType.fromDDL(schema).fields)
+
+
+def whole_row(docs: DataFrame, but: tuple[str, ...] = (), name: str = "whole") -> tuple[Column, dict[str, Column]]:
+    """A struct `name` of a row's columns, and what gives each of them back; whatever they are called, none clashes with what stands beside it."""
+    names = [c for c in docs.columns if c not in but]
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return F.struct(*(quoted(c).alias(f"c{i}") for i, c in enumerate(names))).alias(name), {c: F.col(f"{name}.c{i}").alias(c) for i, c in enumerate(names)}
 
 
 def rows_of(array: pa.Array, width: int) -> np.ndarray:

@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tradewright.llm.common import whole_row
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,9 +103,10 @@ def mix(docs: DataFrame, weights: tuple = (3, 1, 2), share: float = 1.5, cap: in
 
 def mixture(docs: DataFrame, seed: int = 10, cap: int = 2, **options) -> DataFrame:
     """The rows of docs that the mix takes, as often as it takes them, with all their columns, dealt to shards and shuffled in each."""
-    packed = docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    whole, columns = whole_row(docs, name="kept")
+    packed = docs.select("doc_id", "text", "source", whole.alias("whole"))
     plan = mix(packed, seed=seed, cap=cap, keep="whole", **options)
     taken = plan.select("kept", F.explode(F.array(*(F.struct(F.col(f"shard_{k + 1}").alias("shard"), F.lit(k).alias("pass")) for k in range(cap)))).alias("copy"))
     taken = taken.where("copy.shard is not null")
-    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("copy.pass").cast("string"), F.col("kept.doc_id").cast("string")))
-    return taken.select("kept", "copy.shard", order.alias("place")).repartition("shard").sortWithinPartitions("shard", "place").select("kept.*")
+    order = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("copy.pass").cast("string"), columns["doc_id"].cast("string")))
+    return taken.select("kept", "copy.shard", order.alias("place")).repartition("shard").sortWithinPartitions("shard", "place").select(*columns.values())

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import cut, release, salted_join, utf8
+from tradewright.llm.common import cut, extended, release, salted_join, utf8, whole_row
 
 STRIP = 1 << 20  # pairs compared at once
 
@@ -48,8 +48,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.array([fingerprint(t) for t in utf8(batch.column("text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(fp)], names=[*kept, "fp"])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept)
-    return docs.mapInArrow(run, f"{schema}, fp long")
+    return docs.mapInArrow(run, extended(docs, kept, "fp long"))
 
 
 def linked(a: np.ndarray, b: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -158,7 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     """The row with the smallest doc_id of each component (one of them, if rows repeat), with all its columns."""
-    packed = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    whole, columns = whole_row(docs)
+    packed = docs.select("doc_id", "text", whole)
     prints = cut(with_fingerprints(packed.select("doc_id", "text")))
     groups = near_groups(prints, radius)
     kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("root"), F.col("fp"), F.col("doc_id"))
@@ -166,4 +166,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
     rows = with_fingerprints(packed)
     chosen = rows.join(first, (rows["fp"] == first["fp"]) & rows["doc_id"].eqNullSafe(first["doc_id"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy("doc_id", "fp").orderBy("doc_id"))
-    return chosen.withColumn("rank", rank).where("rank = 1").select("whole.*")
+    return chosen.withColumn("rank", rank).where("rank = 1").select(*columns.values())

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import cut, utf8
+from tradewright.llm.common import cut, extended, utf8
 
 SPACE = "▁"  # the model writes a space like this, and reads it as a space
 
@@ -108,7 +108,7 @@ def frequencies(docs: DataFrame) -> DataFrame:
                      pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([words, n], ["word", "n"]))],
                     names=["doc_id", "tie", "n_bytes", "words"])
 
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, tie long, n_bytes long, words array<struct<word:string,n:int>>"
+    schema = extended(docs, ["doc_id"], "tie long, n_bytes long, words array<struct<word:string,n:int>>")
     source = docs.select("doc_id", F.xxhash64("text").alias("tie"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
     return source.mapInArrow(run, schema)
 

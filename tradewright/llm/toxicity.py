@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewright.llm.common import held_out, labelled_sample, per_row, sweep
+from tradewright.llm.common import held_out, labelled_sample, per_row, sweep, whole_row
 
 BITS = 22
 WORD = re.compile(r"\w+")
@@ -130,7 +130,8 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFram
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, sample: int = 8000) -> DataFrame:
     """The rows of docs that score below 0.7, with all their columns."""
-    packed = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("whole"))
+    whole, columns = whole_row(docs)
+    packed = docs.select("text", whole)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, sample))
     scored = per_row(packed, "text", lambda: scorer(*shared.value), {"score": pa.float64()}, "score double")
-    return scored.where("score < 0.7").select("whole.*")
+    return scored.where("score < 0.7").select(*columns.values())
