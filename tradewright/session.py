@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -26,9 +27,11 @@ def hot_rows(df: DataFrame) -> int:
 
 
 def stage_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where the cluster names none (tests)."""
+    """The shared folder named by the cluster. In local mode, as in tests, one is made where none is named; a cluster must name it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tradewright-"))
         named = spark.sparkContext.getCheckpointDir()
     return named
