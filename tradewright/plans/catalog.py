@@ -560,6 +560,8 @@ QUERIES: dict[str, Query] = {
     "m2_style_correlations": correlations, "m5_mann_whitney": mann_whitney, "m9_ols_slope": slopes, "m14_detectable_rho": detectable,
     "m10_composite_ranking": lambda s, p: rounded(sd.composite_ranking(_positions(s, p)), 4),
     "e1_persistence": lambda s, p: rounded(sd.persistence(_positions(s, p))),
+    "e1_persistence_calendar": lambda s, p: rounded(sd.persistence(_positions(s, p), "calendar")),
+    "e3_style_persistence": lambda s, p: rounded(sd.style_persistence(_positions(s, p))), "o4_symbol_extremes": _d(sd.symbol_extremes, pnl=2, vol=2),
     "e1_persistence_ordinal": lambda s, p: rounded(sd.persistence_ordinal(_positions(s, p))),
     "e1_persistence_thirds": lambda s, p: rounded(sd.persistence_thirds(_positions(s, p))),
     "e2_pooled_rho": pooled,

@@ -808,3 +808,11 @@ SQL["s20_board_pages"] = """WITH o AS (SELECT o_orderkey AS o, CASE WHEN o_order
 SELECT exchange, CAST(c AS VARCHAR) AS trader_id, CASE WHEN exchange IN ('bitget', 'kucoin') THEN min(o) ELSE max(o) END AS kept FROM o WHERE c IS NOT NULL GROUP BY exchange, c"""
 SQL["k5_published_report"] = " UNION ALL ".join(f"SELECT '{t}' AS report_table, count(*) AS n FROM ({q})" for t, q in (
     ("roster", SQL["roster"]), ("changes", SQL["r9_snapshot_diff"]), ("removed", SQL["r8_removed"]), ("ages", SQL["r10_portfolio_ages"]), ("exclusions", SQL["r11_notable_exclusions"])))
+
+SQL["e1_persistence_calendar"] = _with(POS, V, calendar("v", "oh"), halves_sql("oh", "pr", 10), *[
+    resample_sql(m, f"{m}1", f"{m}2", "hw", 10_000, 2_000) for m in ("wr", "payoff", "exp")]) + " UNION ALL ".join(f"SELECT *, '{m}' AS metric FROM g{m}" for m in ("wr", "payoff", "exp"))
+SQL["e3_style_persistence"] = _with(POS, V, OWN.format(t="opened_ms"), halves_sql("oh", "pr", 1), "hk AS (SELECT *, " + ", ".join(
+    f"row_number() OVER (ORDER BY {x}, trader_id) AS k_{x}" for m in ("wr", "payoff", "exp") for x in (f"{m}1", f"{m}2")) + " FROM hw WHERE n1 + n2 >= 30)") + "SELECT count(*) AS n, " + ", ".join(
+    f"{r(f'coalesce(corr(k_{m}1, k_{m}2), 0)')} AS rho_{m}" for m in ("wr", "payoff", "exp")) + " FROM hk"
+SQL["o4_symbol_extremes"] = " UNION ALL ".join(P_ + f"SELECT * FROM (SELECT symbol, count(*) AS n, {r('sum(pnl)', 2)} AS pnl, count(*) FILTER (WHERE pnl > 0) AS wins, {r(share('pnl > 0'))} AS wr, {r('sum(notional)', 2)} AS vol, "
+    f"row_number() OVER (ORDER BY sum(pnl) {d}, symbol) AS place, '{e}' AS end_of FROM pos GROUP BY symbol) WHERE place <= {k})" for P_, e, k, d in (("SELECT * FROM (" + P, "best", 12, "DESC"), ("SELECT * FROM (" + P, "worst", 6, "ASC")))

@@ -55,6 +55,15 @@ def by_symbol(rows: DataFrame) -> DataFrame:
         F.avg((F.col("pnl") > 0).cast("double")).alias("wr"), F.sum("notional").alias("vol"))
 
 
+def symbol_extremes(rows: DataFrame, best: int = 12, worst: int = 6) -> DataFrame:
+    """The symbols that made most and those that made least, from either end of one order."""
+    per = cut(by_symbol(rows))
+    ends = []
+    for name, k, pnl in (("best", best, F.col("pnl").desc()), ("worst", worst, F.col("pnl").asc())):
+        ends.append(per.withColumn("place", F.row_number().over(Window.orderBy(pnl, "symbol"))).filter(F.col("place") <= k).withColumn("end_of", F.lit(name)))
+    return ends[0].unionByName(ends[1])
+
+
 def by_symbol_without_lottery(rows: DataFrame, share: float = 0.30) -> DataFrame:
     """`by_symbol` after dropping each trader's best trade where it makes more than `share` of a positive net."""
     best = rows.groupBy("trader_id").agg(
@@ -291,6 +300,12 @@ def style_vs_skill(rows: DataFrame, min_positions: int = 20) -> DataFrame:
                  *[stats.correlation(f"rank_{a}", f"rank_{b}").alias(f"spearman_{a}_{b}") for a, b in pairs])
 
 
+def style_persistence(rows: DataFrame, min_positions: int = 30) -> DataFrame:
+    """Which of win rate, payoff and expectancy carries over from a trader's own first half to the second? Rank correlations, one row."""
+    per = stats.halves_profile(own_halves(rows.filter(F.col("pr").isNotNull())), "pr", 1).filter(F.col("n1") + F.col("n2") >= min_positions)
+    return stats.spearman(per, {f"rho_{m}": (f"{m}1", f"{m}2") for m in ("wr", "payoff", "exp")}, "ordinal")
+
+
 def partial_share(rows: DataFrame, tolerance: float = 0.02) -> DataFrame:
     p = fc.partial_close("closed_volume", "max_oi", tolerance)
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(p, 1)).alias("n_partial"),
