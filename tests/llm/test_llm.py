@@ -3,8 +3,10 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tradewright.llm import ann, bpe, mixing, quality, simhash, suffix_dedup, token_counts, topk, toxicity, warc
@@ -164,6 +166,21 @@ def test_classifiers_learn_and_take_anything(spark, classify, label):
     assert {r["score"] for r in classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_toxicity_learns_in_little_memory():
+    texts = ["a b c d", "", "bad bad word", "ä\n1 b c"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([0, 0, 1, 0] * 30, pa.int32())], names=["text", "y"])
+    [made] = toxicity.hashed(iter([batch]))
+    hasher, rows = toxicity.Hasher(), toxicity.Unpacked(pa.chunked_array([made.column("buckets")]))
+    assert [x.tolist() for x in rows] == [sorted(set(hasher(t).tolist())) for t in texts]
+    tracemalloc.start()
+    at, weights, bias = toxicity.train(rows, made.column("y").to_numpy())
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # one count a bucket; gradients, squares and weights only of buckets that texts share
+    score = toxicity.scorer(at, weights, bias)([t.encode() for t in texts[:4]])["score"]
+    assert score[2] > 0.7 > max(score[0], score[1], score[3]) and set(at) <= {int(b) for x in rows for b in x}
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     path = tokenizers.path("byte_bpe_50k.tiktoken")

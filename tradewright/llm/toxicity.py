@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +51,7 @@ class Hasher:
         return np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
 
 
-def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.0,
+def train(rows: list[np.ndarray] | Unpacked, labels: np.ndarray, epochs: int = 4, alpha: float = 3.0, beta: float = 1.0, l1: float = 0.001, l2: float = 0.0,
           rare: int = 3, seed: int = 9) -> tuple[np.ndarray, np.ndarray, float]:
     """(buckets, weights, bias) of the non-zero weights; a feature's value is 1 if the text has it. The bias is not pulled to zero.
 
@@ -60,8 +61,11 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: fl
     texts = np.zeros(1 << BITS, np.int32)
     for ids in rows:
         texts[ids] += 1
-    rows = [ids[texts[ids] >= rare] for ids in rows]
-    z, n = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    kept = np.flatnonzero(texts >= rare)  # only these take memory while learning
+    texts[kept] = np.arange(rare, len(kept) + rare, dtype=np.int32)
+    rows = [found[found >= rare] - rare for found in (texts[ids] for ids in rows)]
+    del texts
+    z, n = np.zeros(len(kept), np.float32), np.zeros(len(kept), np.float32)
     bias_z = bias_n = 0.0
     rng = np.random.default_rng(seed)
 
@@ -82,20 +86,54 @@ def train(rows: list[np.ndarray], labels: np.ndarray, epochs: int = 4, alpha: fl
             bias_n += g * g
     w = weight(z, n)
     at = np.flatnonzero(w)
-    return at, w[at].astype(np.float32), float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha))
+    return kept[at], w[at].astype(np.float32), float(-bias_z / ((beta + np.sqrt(bias_n)) / alpha))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000):
-    """Learns from at most sample / 2 rows of either label that are not held out, chosen by a hash of their id over all labels."""
-    rows = labelled_sample(docs, labels, "toxic", sample).select("text", "y").toArrow()
-    hasher = Hasher()
-    features = [np.unique(hasher(t)).astype(np.int32) for t in rows.column("text").to_pylist()]
-    model = train(features, rows.column("y").to_numpy())
-    del rows, hasher, features
+    """Learns from at most sample / 2 rows of either label that are not held out, chosen by a hash of their id over all labels.
+
+    The tasks hash the texts; the driver gets each text's sorted buckets, as compressed differences.
+    """
+    chosen = labelled_sample(docs, labels, "toxic", sample).select("text", "y")
+    rows = chosen.mapInArrow(hashed, "buckets binary, y int").toArrow()
+    labelled, packed = rows.column("y").to_numpy(), rows.column("buckets")
+    del rows
+    model = train(Unpacked(packed), labelled)
+    del packed
     sweep(docs.sparkSession)
     return model
 
 
+def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(buckets, y) of rows (text, y)."""
+    import zstandard
+
+    hasher, press = Hasher(), zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        made = []
+        for text in batch.column("text").to_pylist():
+            gaps = np.diff(np.unique(hasher(text)).astype(np.int32), prepend=np.int32(0))
+            made.append(press.compress(gaps.view(np.uint8).reshape(-1, 4).T.tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column("y")], names=["buckets", "y"])
+
+
+class Unpacked:
+    """The buckets of each row of a column that `hashed` has made, unpacked as they are read."""
+
+    def __init__(self, packed: pa.ChunkedArray):
+        self.packed = packed
+
+    def __len__(self) -> int:
+        return len(self.packed)
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        import zstandard
+
+        for data in self.packed:
+            gaps = np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_py()), np.uint8).reshape(4, -1)
+            yield np.cumsum(np.ascontiguousarray(gaps.T).view(np.int32).ravel(), dtype=np.int32)
+
+
 def scorer(buckets: np.ndarray, weights: np.ndarray, bias: float):
     dense = np.zeros(1 << BITS, np.float32)
     dense[buckets] = weights
