@@ -8,6 +8,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tradewright.llm import ann, bpe, mixing, quality, simhash, suffix_dedup, token_counts, topk, toxicity, warc
 
@@ -75,6 +76,30 @@ def test_suffix_dedup_is_brute_force(docs):
     assert trimmed.columns == docs.columns and trimmed.count() == docs.count()
 
 
+def test_near_copies_are_answered_in_bits(spark, monkeypatch):
+    rng = random.Random(6)
+    words = [str(rng.randrange(10**6)) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) if rng.random() < 0.03 else w for w in words) for _ in range(60)]
+    answered, sizes = suffix_dedup.answers, []
+
+    def measured(asked):
+        made = answered(asked).cache()
+        sizes.append(made.select(F.sum(F.octet_length("entries"))).first()[0])
+        return made
+
+    monkeypatch.setattr(suffix_dedup, "answers", measured)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: bytes(r["kept"]).decode() for r in suffix_dedup.remove_repeats(docs, batches=3, block_size=1 << 13).collect()}
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        hits = [p for p in range(len(t) - 49) if t[p:p + 50] in seen]
+        gone = {q for p in hits for q in range(p, p + 50)}
+        want[i] = "".join(c for q, c in enumerate(t) if q not in gone)
+        seen.update(t[p:p + 50] for p in range(len(t) - 49))
+    assert got == want
+    assert 0 < sizes[0] < sum(map(len, texts)) / 4  # less than two bits a window; keys would take some ten bytes each
+
+
 def test_simhash_groups_are_brute_force(docs):
     prints = [(i, simhash.fingerprint(t.encode())) for i, t in data(docs)]
     group = list(range(len(prints)))
