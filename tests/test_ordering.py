@@ -208,3 +208,21 @@ def test_cell_medians_move_few_values(spark, data):
     table = al.cell_table(df, 3, ["g"], "v")
     bounds = al.narrowed(df.join(table, "g").select("cell_no", "v"), table.selectExpr("cell_no", "n_cell div 2 _from", "n_cell div 2 _to", "_low", "_high", "0L _below")).collect()
     assert all(r["_inside"] < 20_000 / 3 / 20 for r in bounds)
+
+
+def test_only_the_asked_ranks_of_a_cell_are_kept(spark):
+    """However many rows a bin of the histogram leaves in range, what every (cell, trader) row is joined with is as short as the ranks asked for."""
+    df = spark.range(30_000).selectExpr("cast(id % 2 as string) g", "(id * 7919 % 30011) / 1000.0D v")
+    table = al.cell_table(df, 1, ["g"], "v")
+    mine = df.join(table, "g").select("cell_no", "v")
+    cells = table.selectExpr("cell_no", "n_cell", "_low", "_high", "n_cell div 2 - 2 _from", "n_cell div 2 + 2 _to")
+    got = {r["cell_no"]: r for r in al.middle_values(mine, cells, 1_000_000).collect()}
+    for cell, g in [(r["cell_no"], r["g"]) for r in table.collect()]:
+        values = sorted(r["v"] for r in df.filter(F.col("g") == g).collect())
+        mid = len(values) // 2
+        assert got[cell]["_values"] == values[mid - 2:mid + 3] and got[cell]["_from"] == mid - 2
+        assert [x["at"] for x in got[cell]["at_v"]] == list(range(mid - 2, mid + 3))
+    heavy = spark.range(3000).selectExpr("if(id % 10 < 8, 1.0D, 1.0D + id) v", "0L cell_no")
+    bounds = heavy.groupBy("cell_no").agg(F.count("v").alias("n_cell"), F.min("v").alias("_low"), F.max("v").alias("_high")).selectExpr("*", "1490L _from", "1510L _to")
+    r = al.middle_values(heavy, bounds, 1_000_000).first()
+    assert r["_values"] == [1.0] * 21 and [(x["at"], x["v"], x["_c"]) for x in r["at_v"]] == [(0, 1.0, 2400)]

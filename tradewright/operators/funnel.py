@@ -10,6 +10,7 @@ from tradewright.operators import screens
 from tradewright.operators.alpha import cell_table, leave_self_out, self_dominance, with_alpha
 from tradewright.operators.metrics import profile
 from tradewright.operators.ordering import AUTO, _resolve, group_quantiles, index_quantile, median, ordinal_rank
+from tradewright.session import cut
 
 
 def position_concentration(rows: DataFrame, kind: str) -> DataFrame:
@@ -29,7 +30,7 @@ def funnel_metrics(rows: DataFrame, config: FunnelConfig, hot=AUTO) -> DataFrame
     valid = rows.filter(F.col("pr").isNotNull())
     hot = _resolve(hot, valid, TRADER)
     cells = cell_table(valid, config.min_cell)
-    benchmark = leave_self_out(valid, cells)
+    benchmark = cut(leave_self_out(valid, cells))  # read twice
     symbols = valid.groupBy(*TRADER, "symbol").agg(
         F.max((F.col("month") == F.lit(config.active_month or "")).cast("int")).alias("_active"))
     sizes = group_quantiles(valid, TRADER, {
