@@ -6,6 +6,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tradewright.operators import resampling
 from tradewright.operators import stats as st
 from tradewright.plans import catalog, studies as sd
 
@@ -94,3 +95,22 @@ def test_mean_permutation_splits_where_the_sorted_draws_do(spark, picked):
     got = rows(st.mean_permutation_p(spark.createDataFrame(data, "position_key long, v double, ok boolean"), "v", "ok", 300))[0]
     assert (got["n_a"], got["n_b"]) == (picked, 40 - picked)
     assert got["p"] == pytest.approx(gap_by_loop(data, 300) if 0 < picked < 40 else 1 / 301)
+
+
+def test_iterations_in_a_task_agree_with_shuffles(spark):
+    """Ties, missing values, an empty table and one of a single row: a task that holds the table gives what shuffles give, and shuffles nothing."""
+    rng = np.random.default_rng(4)
+    data = [(f"t{i}", None if i % 11 == 0 else float(rng.integers(0, 9)), None if i % 13 == 0 else float(rng.normal())) for i in range(60)]
+    for part in (data, data[1:2], []):
+        df = spark.createDataFrame(part, "trader_id string, a double, b double")
+        for test in (st.permutation_p, st.bootstrap_ci):
+            want, got = (rows(test(df, "a", "b", 40, held_rows=limit)) for limit in (-1, 1_000))
+            assert len(got) == len(want)
+            for g, w in zip(got, want):
+                assert {k: None if v is None else pytest.approx(v, abs=1e-12) for k, v in w.items()} == g
+    step = spark.range(5).select((F.col("id") * 4001).alias("s")).crossJoin(spark.range(2_000))
+    mixed = step.select("s", "id", st.mix(F.col("s"), F.col("id"), 42).alias("h")).orderBy("s", "id").collect()
+    assert [r["h"] for r in mixed] == [int(h) for s in range(5) for h in resampling.draws(s * 4001, 2_000, 42)]
+    df = spark.createDataFrame(data, "trader_id string, a double, b double")
+    held = st.permutation_p(df, "a", "b", 40)
+    assert "mapinarrow" in held._jdf.queryExecution().optimizedPlan().toString().lower() and "Window" not in held._jdf.queryExecution().optimizedPlan().toString()
