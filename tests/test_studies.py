@@ -92,6 +92,17 @@ def test_hedge_overlaps(spark):
         assert got[a[4]] == want
 
 
+def test_a_leg_is_two_marks(spark):
+    """Touching legs don't overlap, legs that start or end together do, a leg without a side is opposite to none; no more than two rows a leg are sorted."""
+    data = [("Long", 0, 10), ("Short", 10, 20), ("Short", 0, 10), ("Long", 15, 20), (None, 5, 18), ("Long", 30, 30)]
+    df = spark.createDataFrame([("x", "d", "t", "A", i, *r) for i, r in enumerate(data)],
+                               "exchange string, snapshot_date string, trader_id string, symbol string, position_key long, side string, opened_ms long, closed_ms long")
+    legs = sd.hedge_legs(df)
+    assert {r["position_key"]: r["n_overlaps"] for r in rows(legs)} == {0: 1, 1: 1, 2: 1, 3: 1, 4: 2}
+    plan = legs._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array(" in plan and plan.split("explode(array(")[1].split("\n")[0].count("struct(") <= 2
+
+
 def test_alpha_without_hedges(spark):
     """Nested, touching and crossing intervals in either case of the side; the second benchmark is made of unhedged positions only."""
     day = 86_400_000
